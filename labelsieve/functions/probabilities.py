@@ -2,19 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Mapping, Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-
-def _bind(value: Column, body: Callable[[Column], Column]) -> Column:
-    """Evaluate ``value`` once per row and hand it to ``body``.
-
-    A plain reuse inside ``transform`` would be evaluated again for every
-    element; a lambda argument is evaluated once.
-    """
-    return F.element_at(F.transform(F.array(value), body), 1)
+from labelsieve.functions.once import once
 
 
 def softmax(logits: Column) -> Column:
@@ -22,11 +15,11 @@ def softmax(logits: Column) -> Column:
 
     def normalise(exps: Column) -> Column:
         total = F.aggregate(exps, F.lit(0.0), lambda acc, x: acc + x)
-        return _bind(total, lambda t: F.transform(exps, lambda x: x / t))
+        return once(total, lambda t: F.transform(exps, lambda x: x / t))
 
-    return _bind(
+    return once(
         F.array_max(logits),
-        lambda top: _bind(F.transform(logits, lambda x: F.exp(x - top)), normalise),
+        lambda top: once(F.transform(logits, lambda x: F.exp(x - top)), normalise),
     )
 
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from labelsieve.functions.once import once
+
 # What separates tokens. ``\\W`` would cut accented letters.
 TOKEN_BREAK = r"[^\p{L}\p{N}]+"
 PAD = "<pad>"
@@ -90,16 +92,11 @@ def encode_batch_text(
     return pad(toks, max_length), attention_mask(toks, max_length)
 
 
-def decimal_text(number: Column) -> Column:
-    """A double the way CSV and JSON writers outside the JVM print it.
-
-    The JVM switches to exponents at 1e7 and below 1e-3; the usual shortest form
-    does so at 1e16 and below 1e-4, and writes ``1e-05`` for ``1.0E-5``.
-    """
-    raw = F.abs(number).cast("string")
-    digits = F.regexp_replace(F.substring_index(raw, "E", 1), r"\.0$|\.", "")
-    power = F.substring_index(raw, "E", -1).try_cast("int")
-    sign = F.when((number < 0) | (number.cast("string").startswith("-")), "-").otherwise("")
+def _without_exponent(raw: Column) -> Column:
+    """The JVM's ``1.5E-5`` in the usual shortest form."""
+    digits = F.regexp_replace(F.substring_index(raw, "E", 1), r"^-|\.0$|\.", "")
+    power = F.substring_index(raw, "E", -1).cast("int")
+    sign = F.when(raw.startswith("-"), "-").otherwise("")
     whole = F.when(
         F.length(digits) > power + 1,
         F.concat(F.substr(digits, F.lit(1), power + 1), F.lit("."), F.substr(digits, power + 2)),
@@ -113,15 +110,24 @@ def decimal_text(number: Column) -> Column:
         F.when(power < 0, "e-").otherwise("e+"), F.lpad(F.abs(power).cast("string"), 2, "0")
     )
     body = (
-        F.when(~raw.contains("E"), raw)
-        .when((power >= 0) & (power < 16), whole)
+        F.when((power >= 0) & (power < 16), whole)
         .when((power < 0) & (power >= -4), small)
         .otherwise(F.concat(mantissa, exponent))
     )
-    return (
-        F.when(F.isnan(number), "nan")
-        .when(F.abs(number) == float("inf"), F.concat(sign, F.lit("inf")))
-        .otherwise(F.concat(sign, body))
+    return F.concat(sign, body)
+
+
+def decimal_text(number: Column) -> Column:
+    """A double the way CSV and JSON writers outside the JVM print it.
+
+    The JVM switches to exponents at 1e7 and below 1e-3; the usual shortest form
+    does so at 1e16 and below 1e-4, and writes ``1e-05`` for ``1.0E-5``.
+    """
+    return once(
+        number.cast("string"),
+        lambda raw: F.when(raw.contains("E"), _without_exponent(raw))
+        .when(raw == "NaN", "nan")
+        .otherwise(F.replace(raw, F.lit("Infinity"), F.lit("inf"))),
     )
 
 

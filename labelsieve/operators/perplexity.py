@@ -12,7 +12,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from labelsieve.functions.probabilities import _bind
+from labelsieve.functions.once import once
 from labelsieve.functions.text import tokens
 from labelsieve.operators.skew import HOT_ROWS, lookup_join
 from labelsieve.session import spool
@@ -41,7 +41,7 @@ def token_rows(df: DataFrame, text: str, keep: list[str]) -> DataFrame:
             ),
         )
 
-    rows = df.select(*keep, F.explode_outer(_bind(tokens(F.col(text)), with_neighbours)).alias("_t"))
+    rows = df.select(*keep, F.explode_outer(once(tokens(F.col(text)), with_neighbours)).alias("_t"))
     return rows.select(*keep, "_t.*")
 
 

@@ -6,9 +6,9 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from labelsieve.functions.text import number_text
+from labelsieve.operators.parts import PART_ROWS, with_parts
 from labelsieve.session import require_columns
 
 # Names of the rating table and of the columns derived from it.
@@ -19,9 +19,6 @@ JOINED = "concatenated_acceptability"
 MEAN = "average_acceptability"
 CLUSTER_MODES = ("all", "cluster 0", "cluster 1")
 
-# Ratings that one output string may hold; a larger group continues in further rows.
-PART_ROWS = 1_000_000
-
 
 def drop_null(df: DataFrame, column: str) -> DataFrame:
     """Rows with a value. NaN is a value and stays."""
@@ -60,32 +57,6 @@ def filter_counts(df: DataFrame, steps: Mapping[str, Column], by: Sequence[str]
     )
 
 
-def _digest(columns: Sequence[str]) -> list[Column]:
-    """128-bit digest of a key in two longs. Null and position are part of it."""
-    cells = [c for k in columns for c in (F.col(k).isNull(), F.col(k))]
-    return [F.xxhash64(F.lit(seed), *cells) for seed in (1, 2)]
-
-
-def large_groups(
-    df: DataFrame, group: Sequence[str], order: str, rating: str, part_rows: int
-) -> DataFrame:
-    """Digest, size, rating sum and first row id of groups above ``part_rows`` rows.
-
-    Shuffles two longs and three numbers per group, combined map-side. At most
-    rows / part_rows groups qualify.
-    """
-    h1, h2 = _digest(group)
-    return (
-        df.groupBy(h1.alias("_h1"), h2.alias("_h2"))
-        .agg(
-            F.count(F.lit(1)).alias("_size"),
-            F.avg(rating).alias("_mean"),
-            F.min(order).alias("_first"),
-        )
-        .where(F.col("_size") > part_rows)
-    )
-
-
 def aggregate_ratings(
     df: DataFrame,
     keys: Sequence[str] = KEYS,
@@ -108,38 +79,17 @@ def aggregate_ratings(
     number of ratings per text is known to be small.
     """
     require_columns(df, [*keys, rating, order, *([split] if split else [])], "ratings table")
-    if not isinstance(df.schema[order].dataType, T.IntegralType):
-        raise ValueError(f"order column {order!r} must be a whole number")
     group = [*([split] if split else []), *keys]
     rest = [c for c in df.columns if c not in (*group, rating, order)]
     dtype = df.schema[rating].dataType.typeName()
 
     first_seen = F.struct(*[F.col(c) for c in rest], F.lit(0).alias("_"))
-    mean = F.avg(rating)
-    if part_rows is None:
-        tagged = df.withColumn("_part", F.lit(0).cast("long"))
-        first_value = first_seen
-    else:
-        large = large_groups(df, group, order, rating, part_rows)
-        h1, h2 = _digest(group)
-        tagged = (
-            df.withColumns({"_h1": h1, "_h2": h2})
-            .join(F.broadcast(large), ["_h1", "_h2"], "left")
-            .withColumn(
-                "_part",
-                F.coalesce(
-                    F.expr(f"(`{order}` - _first) div {int(part_rows)}"), F.lit(0).cast("long")
-                ),
-            )
-        )
-        first_value = F.when(F.col("_part") == 0, first_seen)
-        mean = F.when(
-            F.first("_part") == 0, F.coalesce(F.first("_mean"), F.avg(rating))
-        )
+    tagged = with_parts(df, group, order, part_rows, {"_mean": F.avg(rating)})
+    mean = F.when(F.first("part") == 0, F.coalesce(F.first("_mean"), F.avg(rating)))
     text = number_text(F.col(rating), dtype)
     return (
-        tagged.withColumns({"_text": text, "_rest": first_value})
-        .groupBy(*group, F.col("_part").alias("part"))
+        tagged.withColumns({"_text": text, "_rest": F.when(F.col("part") == 0, first_seen)})
+        .groupBy(*group, "part")
         .agg(
             F.min(order).alias(order),
             F.min_by("_rest", order).alias("_rest"),

@@ -29,6 +29,11 @@ def scratch_dir(spark: SparkSession) -> str:
     return _local_scratch[app]
 
 
+def scratch_path(spark: SparkSession, name: str) -> str:
+    """A path below the shared folder that nobody else uses."""
+    return f"{scratch_dir(spark).rstrip('/')}/labelsieve/{name}-{uuid.uuid4().hex}"
+
+
 def spool(df: DataFrame) -> DataFrame:
     """Write ``df`` once to the shared folder and read it back.
 
@@ -36,7 +41,7 @@ def spool(df: DataFrame) -> DataFrame:
     when executors are lost, and the upstream plan (a model, say) runs only once.
     """
     spark = df.sparkSession
-    path = f"{scratch_dir(spark).rstrip('/')}/labelsieve/{uuid.uuid4().hex}"
+    path = scratch_path(spark, "spool")
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
