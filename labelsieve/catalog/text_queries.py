@@ -13,6 +13,7 @@ from labelsieve.operators.chat import render_chat
 from labelsieve.operators.perplexity import array_perplexity, count_tokens, score_tokens, text_perplexity
 from labelsieve.operators.review import flag_tokens, high_token_count
 from labelsieve.operators.sampling import assign_split
+from labelsieve.session import fill_cores
 
 _TEMPLATE = "### Text:\n{text}\n### {{end}}"
 _CHAT = ("<user>\n", "\n</user>")
@@ -66,17 +67,16 @@ SELECT doc_id, CAST(len(ts) AS INT) AS n_tokens, CAST(least(len(ts), {_LIMIT}) A
 FROM (SELECT doc_id, {_TOKENS} AS ts FROM documents) WHERE len(ts) > 0
 """)
 def token_truncate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "documents").withColumn("ts", txt.tokens(F.col("text")))
-    kept = txt.truncate(F.col("ts"), _LIMIT)
-    ids, mask = txt.encode_batch_text(F.col("text"), _LIMIT, "max_length")
-    return rows.where(F.size("ts") > 0).select(
+    docs = fill_cores(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    rows = docs.withColumn("ts", txt.tokens(F.col("text"))).where(F.size("ts") > 0)
+    return txt.tokenize(rows, "text", _LIMIT, "max_length").select(
         "doc_id",
         F.size("ts").alias("n_tokens"),
-        F.aggregate(mask, F.lit(0), lambda acc, x: acc + x).alias("n_kept"),
-        F.array_join(kept, " ").alias("kept"),
+        F.aggregate("attention_mask", F.lit(0), lambda acc, x: acc + x).alias("n_kept"),
+        F.array_join(txt.truncate(F.col("ts"), _LIMIT), " ").alias("kept"),
         txt.is_truncated(F.col("ts"), _LIMIT).alias("truncated"),
-        F.size(ids).alias("n_padded"),
-        F.array_join(ids, " ").alias("padded"),
+        F.size("tokens").alias("n_padded"),
+        F.array_join("tokens", " ").alias("padded"),
     )
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from labelsieve.functions.once import once
@@ -52,7 +52,7 @@ def append_eos(text: Column, eos: str | None) -> Column:
 
 def tokens(text: Column) -> Column:
     """Lower-cased words of letters and digits."""
-    return F.filter(F.split(F.lower(text), TOKEN_BREAK), lambda t: t != "")
+    return F.array_remove(F.split(F.lower(text), TOKEN_BREAK), "")
 
 
 def effective_length(requested: int, model_max: int) -> int:
@@ -77,19 +77,26 @@ def pad(toks: Column, max_length: int, marker: str = PAD) -> Column:
 def attention_mask(toks: Column, max_length: int) -> Column:
     """1 for each real token of a padded row, 0 for each filler."""
     missing = F.greatest(F.lit(0), F.lit(int(max_length)) - F.size(toks))
-    return F.concat(F.transform(toks, lambda _: F.lit(1)), F.array_repeat(F.lit(0), missing))
-
-
-def encode_batch_text(
-    text: Column, max_length: int, padding: str | bool = False, eos: str | None = None
-) -> tuple[Column, Column]:
-    """Token and mask columns: end marker, cut to ``max_length``, optional filling."""
-    toks = truncate(tokens(append_eos(text, eos)), max_length)
-    if padding in (False, None, "do_not_pad"):
-        return toks, F.transform(toks, lambda _: F.lit(1))
-    if padding != "max_length":
+    return F.concat(F.array_repeat(F.lit(1), F.size(toks)), F.array_repeat(F.lit(0), missing))
+
+
+def tokenize(
+    df: DataFrame,
+    text: str,
+    max_length: int,
+    padding: str | bool = False,
+    eos: str | None = None,
+    ids: str = "tokens",
+    mask: str = "attention_mask",
+) -> DataFrame:
+    """Add tokens and their mask: end marker, cut to ``max_length``, optional filling."""
+    if padding not in (False, None, "do_not_pad", "max_length"):
         raise ValueError("padding is False or 'max_length'")
-    return pad(toks, max_length), attention_mask(toks, max_length)
+    df = df.withColumn(ids, truncate(tokens(append_eos(F.col(text), eos)), max_length))
+    toks = F.col(ids)
+    if padding == "max_length":
+        return df.withColumns({ids: pad(toks, max_length), mask: attention_mask(toks, max_length)})
+    return df.withColumn(mask, F.array_repeat(F.lit(1), F.size(toks)))
 
 
 def _without_exponent(raw: Column) -> Column:

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from labelsieve.operators.prefix import BUCKET_ROWS, running_totals
+from labelsieve.session import spool
 
 # Fixed value: keeps the F1 denominator above zero while tuning.
 F1_EPSILON = 1e-8
@@ -15,6 +16,7 @@ F1_EPSILON = 1e-8
 
 def score_counts(df: DataFrame, score: str, label: str, by: Sequence[str] = ()) -> DataFrame:
     """Rows and positives at each distinct score. Combines before the shuffle."""
+    by = list(by)
     return df.groupBy(*by, F.col(score).alias("threshold")).agg(
         F.sum(F.col(label).cast("long")).alias("pos"), F.count(F.lit(1)).alias("n")
     )
@@ -25,13 +27,12 @@ def cumulative_counts(
 ) -> DataFrame:
     """Running true and false positives from the highest score down.
 
-    ``counts`` comes from :func:`score_counts`. Each row holds its own ``pos`` and
+    ``counts`` comes from :func:`score_counts` and is read more than once: spool
+    it, as the functions below do. Each row holds its own ``pos`` and
     ``n`` as well as ``tp``, ``fp`` up to and including its score, and the
     group's ``positives`` and ``rows``.
     """
-    ranked = running_totals(
-        counts, "threshold", ["pos", "n"], by, True, bucket_rows, spool_large=True
-    )
+    ranked = running_totals(counts, "threshold", ["pos", "n"], by, True, bucket_rows)
     return ranked.select(
         *by,
         "threshold",
@@ -74,13 +75,13 @@ def pr_curve(
     threshold, precision 1, recall 0) closes each group's curve.
     """
     by = list(by)
-    counts = score_counts(df, score, label, by)
+    counts = spool(score_counts(df, score, label, by))
     points = curve_points(counts, by, bucket_rows).select(
         *by, "threshold", "precision", "recall", "tp", "fp"
     )
     if not end_point:
         return points
-    groups = df.groupBy(*by).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > 0)
+    groups = counts.groupBy(*by).agg(F.sum("n").alias("_n")).where(F.col("_n") > 0)
     ends = groups.select(
         *by,
         F.lit(None).cast(points.schema["threshold"].dataType).alias("threshold"),
@@ -115,7 +116,8 @@ def auc_pr(
     df: DataFrame, score: str, label: str, by: Sequence[str] = (), bucket_rows: int = BUCKET_ROWS
 ) -> DataFrame:
     """Area under the precision-recall curve per group."""
-    return area(curve_points(score_counts(df, score, label, by), by, bucket_rows), by)
+    counts = spool(score_counts(df, score, label, by))
+    return area(curve_points(counts, by, bucket_rows), by)
 
 
 def tune_threshold(
@@ -126,7 +128,7 @@ def tune_threshold(
     F1 is measured at ``score >= threshold``. Label prediction applies thresholds
     with a strict ``>``, so the row that set a threshold is itself not predicted.
     """
-    points = curve_points(score_counts(df, score, label, by), by, bucket_rows)
+    points = curve_points(spool(score_counts(df, score, label, by)), by, bucket_rows)
     p, r = F.col("precision"), F.col("recall")
     f1 = 2.0 * (p * r) / (p + r + F1_EPSILON)
     best = F.max(F.struct(f1.alias("f1"), (-F.col("threshold")).alias("low")))

@@ -12,8 +12,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from labelsieve.functions.probabilities import hard_predict
-from labelsieve.operators.curves import area, curve_points
+from labelsieve.operators.curves import area, curve_points, score_counts
+from labelsieve.operators.labels import BINARY_LABELS
 from labelsieve.operators.prefix import BUCKET_ROWS
+from labelsieve.session import spool
 
 # Name of the slice over all rows, epsilons, decision threshold.
 ALL = "all"
@@ -122,59 +124,54 @@ def binary_metrics(
     ``p0 > 0.5``: an even split counts as unsafe only.
     """
     slices = [slice_col] if slice_col else []
-    unsafe = F.element_at(F.col(probs), 2).cast("float")
-    safe = F.element_at(F.col(probs), 1).cast("float")
     truth = F.col(label) == 1
 
-    def view(side: str, score: Column, positive: Column, predicted: Column) -> Column:
+    def view(side: str, place: int, positive: Column) -> Column:
+        score = F.element_at(F.col(probs), place).cast("float")
         return F.struct(
-            F.lit(side).alias("side"),
-            score.alias("threshold"),
-            positive.alias("truth"),
-            (predicted & ~F.isnan(score)).alias("predicted"),
+            F.lit(side).alias("side"), score.alias("threshold"), positive.cast("int").alias("truth")
         )
 
-    # Both views of a row meet in one aggregate: rows at the same score collapse
-    # before the shuffle, and the confusion counts ride along.
-    at_score = (
-        df.select(
-            *slices,
-            F.explode(
-                F.array(
-                    view("unsafe", unsafe, truth, unsafe >= F.lit(DECISION)),
-                    view("safe", safe, ~truth, safe > F.lit(DECISION)),
-                )
-            ).alias("_v"),
-        )
-        .select(*slices, "_v.*")
-        .groupBy(*slices, "side", "threshold")
-        .agg(
-            F.count_if("truth").alias("pos"),
-            F.count(F.lit(1)).alias("n"),
-            *_count_cells(F.col("truth"), F.col("predicted")),
-        )
-    )
-    cells = _sliced(
-        at_score.groupBy(*slices, "side").agg(*[F.sum(c).alias(c) for c in _CELLS]),
-        slice_col,
-        ["side"],
-        _CELLS,
+    # Both views of a row meet in one pass over the data. What is predicted follows
+    # from the score alone, so counts per distinct score are all that is needed,
+    # and only they are read again.
+    views = F.array(view("unsafe", 2, truth), view("safe", 1, ~truth))
+    rows = df.select(*slices, F.explode(views).alias("_v")).select(*slices, "_v.*")
+    at_score = spool(score_counts(rows, "threshold", "truth", [*slices, "side"]))
+
+    chosen = F.when(
+        F.col("side") == "unsafe", F.col("threshold") >= F.lit(DECISION)
+    ).otherwise(F.col("threshold") > F.lit(DECISION)) & ~F.isnan("threshold")
+    neg = F.col("n") - F.col("pos")
+    cells = at_score.groupBy(*slices, "side").agg(
+        *[
+            F.sum(F.when(side, count).otherwise(0)).alias(name)
+            for name, side, count in (
+                ("tn", ~chosen, neg),
+                ("fp", chosen, neg),
+                ("fn", ~chosen, F.col("pos")),
+                ("tp", chosen, F.col("pos")),
+            )
+        ]
     )
+    rated = with_rates(_sliced(cells, slice_col, ["side"], _CELLS))
     scores = _sliced(at_score, slice_col, ["side", "threshold"], ["pos", "n"])
     areas = area(curve_points(scores, ["slice", "side"], bucket_rows), ["slice", "side"])
 
-    rated = with_rates(cells)
-    names = {m: F.col(m) for m in ("precision", "recall", "f1", "fpr")}
-    by_side = _long(rated, names, ("slice", "side")).unionByName(
-        areas.select("slice", "side", F.lit("aucpr").alias("metric"), F.col("aucpr").alias("value"))
-    )
-    return by_side.select(
-        "slice", F.concat_ws("_", "side", "metric").alias("metric"), "value"
-    ).unionByName(
-        rated.where(F.col("side") == "unsafe").select(
-            "slice", F.lit("accuracy").alias("metric"), F.col("accuracy").alias("value")
-        )
+    both = rated.unionByName(areas, allowMissingColumns=True)
+
+    def of(side: str, metric: str) -> Column:
+        return F.max(F.when(F.col("side") == side, F.col(metric)))
+
+    table = both.groupBy("slice").agg(
+        of("unsafe", "accuracy").alias("accuracy"),
+        *[
+            of(side, metric).alias(f"{side}_{metric}")
+            for side in BINARY_LABELS
+            for metric in ("precision", "recall", "f1", "fpr", "aucpr")
+        ],
     )
+    return _long(table, {m: F.col(m) for m in BINARY_METRICS})
 
 
 def label_confusion(
@@ -248,7 +245,8 @@ def multilabel_metrics(
     The threshold reported for a label is the one that was applied to it.
     """
     names = list(names)
-    counts = label_confusion(df, probs, truth, thresholds, slice_col)
+    # A few rows per slice and label; every metric is read off them.
+    counts = spool(label_confusion(df, probs, truth, thresholds, slice_col))
     index = F.col("label_idx")
     rated = with_rates(counts)
 

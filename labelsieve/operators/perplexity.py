@@ -12,10 +12,9 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from labelsieve.functions.once import once
 from labelsieve.functions.text import tokens
 from labelsieve.operators.skew import HOT_ROWS, lookup_join
-from labelsieve.session import spool
+from labelsieve.session import fill_cores, spool
 
 # Neighbours beyond both ends of a text. Tokens hold only letters and digits.
 TEXT_START = "<s>"
@@ -27,22 +26,18 @@ _TRIPLE = ["prev", "token", "next"]
 def token_rows(df: DataFrame, text: str, keep: list[str]) -> DataFrame:
     """One row per token with its neighbours; a text without tokens keeps one null row.
 
-    Neighbours come from the row's own token array: no shuffle.
+    Neighbours come from the row's own token array, shifted by one each way: no
+    shuffle, and no lambda per token.
     """
-
-    def with_neighbours(toks: Column) -> Column:
-        return F.transform(
-            toks,
-            lambda t, i: F.struct(
-                (i + 1).cast("int").alias("position"),
-                F.coalesce(F.get(toks, i - 1), F.lit(TEXT_START)).alias("prev"),
-                t.alias("token"),
-                F.coalesce(F.get(toks, i + 1), F.lit(TEXT_END)).alias("next"),
-            ),
-        )
-
-    rows = df.select(*keep, F.explode_outer(once(tokens(F.col(text)), with_neighbours)).alias("_t"))
-    return rows.select(*keep, "_t.*")
+    toks = df.select(*keep, tokens(F.col(text)).alias("_ts"))
+    size = F.size("_ts")
+    prev = F.slice(F.concat(F.array(F.lit(TEXT_START)), F.col("_ts")), F.lit(1), size)
+    following = F.slice(F.concat(F.col("_ts"), F.array(F.lit(TEXT_END))), F.lit(2), size)
+    zipped = F.arrays_zip(prev.alias("prev"), F.col("_ts").alias("token"), following.alias("next"))
+    rows = toks.select(*keep, zipped.alias("_z")).select(
+        *keep, F.posexplode_outer("_z").alias("_at", "_t")
+    )
+    return rows.select(*keep, (F.col("_at") + 1).alias("position"), "_t.*")
 
 
 @dataclass(frozen=True)
@@ -74,7 +69,7 @@ def _counted(triples: DataFrame) -> MaskedCounts:
 def count_tokens(corpus: DataFrame, text: str = "text") -> MaskedCounts:
     """Fit the counts. The texts are read once; the other counts derive from the triples."""
     triples = (
-        token_rows(corpus, text, [])
+        token_rows(fill_cores(corpus), text, [])
         .where(F.col("token").isNotNull())
         .groupBy(*_TRIPLE)
         .agg(F.count(F.lit(1)).alias("c_triple"))
@@ -92,24 +87,29 @@ def score_tokens(
 ) -> DataFrame:
     """``key``, ``position`` (from 1), ``token``, ``log_prob``, ``token_ppl``.
 
-    Each distinct triple is scored once, then handed to its occurrences. A text
-    without tokens keeps one row of nulls.
+    Each distinct triple is scored once, then handed to its occurrences. The
+    texts are cut into tokens twice rather than kept as tokens, which take
+    several times the room. A text without tokens keeps one row of nulls.
     """
-    rows = token_rows(df, text, [key])
+    rows = token_rows(fill_cores(df, key), text, [key])
     distinct = spool(
-        rows.where(F.col("token").isNotNull()).groupBy(*_TRIPLE).agg(F.count(F.lit(1)).alias("_k"))
+        rows.where(F.col("token").isNotNull()).groupBy(*_TRIPLE).agg(F.count(F.lit(1)).alias("n"))
     )
-    seen = distinct.drop("_k").join(counts.triples, _TRIPLE, "left")
-    seen = lookup_join(spool(seen), counts.contexts(), ["prev", "next"], _TRIPLE, hot_rows)
-    seen = lookup_join(spool(seen), counts.words(), ["token"], _TRIPLE, hot_rows)
+    size = distinct.agg(F.count(F.lit(1)).alias("triples"), F.sum("n").alias("tokens")).first()
+    seen = distinct.drop("n").join(counts.triples, _TRIPLE, "left")
+    for totals, on in ((counts.contexts(), ["prev", "next"]), (counts.words(), ["token"])):
+        seen = lookup_join(seen, totals, on, _TRIPLE, size["triples"], hot_rows)
 
-    n = float(max(counts.total, 1))
-    share = F.lit(float(a)) * F.coalesce(F.col("c_word"), F.lit(1)) / F.lit(n)
+    total = float(max(counts.total, 1))
+    share = F.lit(float(a)) * F.coalesce(F.col("c_word"), F.lit(1)) / F.lit(total)
     p = (F.coalesce(F.col("c_triple"), F.lit(0)) + share) / (
         F.coalesce(F.col("c_context"), F.lit(0)) + F.lit(float(a))
     )
     scored = seen.select(*_TRIPLE, F.ln(p).alias("log_prob"))
-    return lookup_join(spool(rows), scored, _TRIPLE, [key, "position"], hot_rows).select(
+    joined = lookup_join(
+        rows, scored, _TRIPLE, [key, "position"], size["tokens"] or 0, hot_rows, key_counts=distinct
+    )
+    return joined.select(
         key, "position", "token", "log_prob", F.exp(-F.col("log_prob")).alias("token_ppl")
     )
 

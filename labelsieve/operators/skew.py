@@ -7,39 +7,52 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from labelsieve.session import spool
+
 # A key is hot above this many rows, and above this share of all rows. The share
 # bounds how many hot keys there can be, and with them the broadcast.
-HOT_ROWS = 100_000
+HOT_ROWS = 1_000_000
 MAX_HOT_KEYS = 50_000
 _SPREAD = 8192
 
 
+def hot_floor(rows: int, hot_rows: int = HOT_ROWS) -> int:
+    """Row count above which a key is hot; fewer than ``MAX_HOT_KEYS`` keys can be."""
+    return max(hot_rows, rows // MAX_HOT_KEYS)
+
+
 def lookup_join(
     left: DataFrame,
     right: DataFrame,
     on: Sequence[str],
     spread: Sequence[str],
+    rows: int,
     hot_rows: int = HOT_ROWS,
+    key_counts: DataFrame | None = None,
 ) -> DataFrame:
     """Left join on ``on``; ``right`` has one row per key, ``left`` may be skewed.
 
-    Hot keys are counted first. Their right rows (at most ``MAX_HOT_KEYS``) are
-    broadcast; the left rows they serve, and rows with a null key, are spread
-    over all tasks by a hash of the ``spread`` columns. Other rows meet by a
-    normal shuffle. ``left`` is read three times, so pass a table that is cheap
-    to read.
+    ``rows`` is the number of left rows. Only when it exceeds the floor of a hot
+    key are hot keys looked for: in ``key_counts`` (``on`` and ``n``) if the caller
+    has them, else by counting ``left``. Their right rows, at most
+    ``MAX_HOT_KEYS``, are broadcast; the left rows they serve, and rows with a
+    null key, are spread over all tasks by a hash of the ``spread`` columns.
+    Other rows meet by a normal shuffle.
     """
     on = list(on)
     values = [c for c in right.columns if c not in on]
-    n = left.count()
-    floor = max(hot_rows, n // MAX_HOT_KEYS)
+    floor = hot_floor(rows, hot_rows)
     known = F.lit(True)
     for c in on:
         known = known & F.col(c).isNotNull()
-    hot = (
-        left.where(known).groupBy(*on).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > floor)
-    ).select(*on)
-    any_hot = n > floor and not hot.isEmpty()
+
+    any_hot = False
+    if rows > floor:
+        if key_counts is None:
+            left = spool(left)
+            key_counts = left.where(known).groupBy(*on).agg(F.count(F.lit(1)).alias("n"))
+        hot = spool(key_counts.where(F.col("n") > floor).select(*on))
+        any_hot = not hot.isEmpty()
 
     adrift = ~known
     if any_hot:
@@ -49,8 +62,10 @@ def lookup_join(
         left = left.join(F.broadcast(served), on, "left")
         adrift = adrift | F.col("_hot").isNotNull()
     salt = F.when(adrift, F.pmod(F.xxhash64(*spread), F.lit(_SPREAD)) + 1).otherwise(F.lit(0))
+    # Always 0, but not a constant: as one it would be folded out of the join key.
+    unsalted = F.pmod(F.xxhash64(*on), F.lit(1).cast("long"))
     joined = left.withColumn("_salt", salt.cast("long")).join(
-        right.withColumn("_salt", F.lit(0).cast("long")), [*on, "_salt"], "left"
+        right.withColumn("_salt", unsalted), [*on, "_salt"], "left"
     )
     if any_hot:
         joined = joined.withColumns(

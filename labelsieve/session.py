@@ -7,6 +7,7 @@ import uuid
 from collections.abc import Iterable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _SCRATCH_KEY = "spark.checkpoint.dir"
 _local_scratch: dict[str, str] = {}
@@ -46,6 +47,17 @@ def spool(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def fill_cores(df: DataFrame, *keys: str) -> DataFrame:
+    """Spread an input that fills fewer tasks than there are cores.
+
+    For costly work per row on a table of few splits. A table of many splits is
+    left as it is, so at scale this adds no shuffle; finding out reads no column.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    busy = df.select(F.spark_partition_id().alias("p")).distinct().count()
+    return df.repartition(cores, *keys) if busy < cores else df
+
+
 def require_columns(df: DataFrame, columns: Iterable[str], what: str = "table") -> None:
     """Fail before any job starts, naming every absent column."""
     missing = [c for c in columns if c not in df.columns]
