@@ -114,7 +114,9 @@ def _without_exponent(raw: Column) -> Column:
         F.concat(F.substr(digits, F.lit(1), F.lit(1)), F.lit("."), F.substr(digits, F.lit(2))),
     ).otherwise(digits)
     exponent = F.concat(
-        F.when(power < 0, "e-").otherwise("e+"), F.lpad(F.abs(power).cast("string"), 2, "0")
+        F.when(power < 0, "e-").otherwise("e+"),
+        F.when(F.abs(power) < 10, "0").otherwise(""),
+        F.abs(power).cast("string"),
     )
     body = (
         F.when((power >= 0) & (power < 16), whole)
