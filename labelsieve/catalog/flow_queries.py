@@ -84,7 +84,7 @@ def score_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _flag_columns(flagged)
 
 
-@query(_flag_sql("0.6"))
+@query(_flag_sql("0.6"), "stream_flags")
 def stream_review_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = scratch_path(spark, "stream")
     schema = table(spark, sf_dir, "documents").schema

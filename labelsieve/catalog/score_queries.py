@@ -110,7 +110,7 @@ def _with_loss(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fx.scores(spark, sf_dir).withColumn("loss", per_item_loss(F.col("probs"), F.col("y")))
 
 
-@query(f"SELECT row_id, {s6(_LOSS)} AS per_item_loss FROM ({fx.SCORES})")
+@query(f"SELECT row_id, {s6(_LOSS)} AS per_item_loss FROM ({fx.SCORES})", "per_item_loss")
 def per_item_losses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _with_loss(spark, sf_dir).select("row_id", r6("loss").alias("per_item_loss"))
 
@@ -252,7 +252,7 @@ def review_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT lang, count(*) FILTER (manual_review) AS flagged, count(*) AS total,
        {s6("100.0 * count(*) FILTER (manual_review) / count(*)")} AS percent
 FROM ({_FLAGS}) GROUP BY lang
-""")
+""", "review_summary")
 def review_summaries(spark: SparkSession, sf_dir: str) -> DataFrame:
     return review_summary(_flagged(spark, sf_dir), ["lang"]).withColumn("percent", r6("percent"))
 

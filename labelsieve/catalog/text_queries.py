@@ -149,7 +149,7 @@ def masked_perplexity(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"""
 {_SCORED}, doc AS (SELECT doc_id, exp(-avg(log_prob)) AS ppl FROM tok GROUP BY doc_id)
 SELECT doc_id, ppl > (SELECT quantile_cont(ppl, 0.95) FROM doc) AS flag_high_ppl FROM doc
-""")
+""", "ppl_threshold")
 def ppl_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
     per_doc = text_perplexity(_token_scores(spark, sf_dir), "doc_id")
     per_doc = per_doc.where(~F.isnan("pseudo_perplexity"))

@@ -19,7 +19,9 @@ from labelsieve.session import spool
 BUCKET_ROWS = 1_000_000
 # Most buckets one group is cut into, and the sketch accuracy that goes with it.
 MAX_BUCKETS = 1024
-_SKETCH_ACCURACY = 20_000
+_SKETCH_ACCURACY = 8192
+# Rows per bucket that the sketch looks at: edges only have to be about right.
+_SKETCH_ROWS = 1000
 
 _BUCKET = "_bucket"
 _KIND = "_kind"
@@ -30,18 +32,26 @@ def _group_bounds(df: DataFrame, order: str, by: Sequence[str], bucket_rows: int
 
     At most rows / bucket_rows groups qualify, and a group gets one edge per
     ``bucket_rows`` rows, so what reaches the driver is bounded by about twice
-    the row count over ``bucket_rows``.
+    the row count over ``bucket_rows``. Counting comes first: the sketch is only
+    made when there is such a group. Edges decide how rows are spread over tasks,
+    not what comes out, so a sample is enough for them and keeps the sketches of
+    many tasks small where they meet.
     """
-    edges = F.percentile_approx(
-        F.col(order).cast("double"),
-        [i / MAX_BUCKETS for i in range(1, MAX_BUCKETS)],
-        _SKETCH_ACCURACY,
+    sizes = df.groupBy(*by).agg(F.count(F.lit(1)).alias("_n"))
+    if sizes.where(F.col("_n") > bucket_rows).isEmpty():
+        return []
+    shares = ", ".join(f"{i / MAX_BUCKETS!r}D" for i in range(1, MAX_BUCKETS))
+    edges = F.expr(
+        f"percentile_approx(cast(`{order}` as double), array({shares}), {_SKETCH_ACCURACY})"
     )
-    step = F.greatest(F.lit(1), F.floor(F.lit(MAX_BUCKETS) / F.ceil(F.col("_n") / F.lit(bucket_rows))))
+    share = min(1.0, _SKETCH_ROWS / bucket_rows)
+    looked_at = df if share == 1.0 else df.sample(share, seed=0)
+    wanted = F.ceil(F.col("_n") / F.lit(bucket_rows * share))
+    step = F.greatest(F.lit(1), F.floor(F.lit(MAX_BUCKETS) / wanted))
     return (
-        df.groupBy(*by)
+        looked_at.groupBy(*by)
         .agg(F.count(F.lit(1)).alias("_n"), edges.alias("_edges"))
-        .where(F.col("_n") > bucket_rows)
+        .where(F.col("_n") > bucket_rows * share)
         .select(*by, F.filter("_edges", lambda _, i: (i + 1) % step == 0).alias("_edges"))
         .collect()
     )
@@ -51,7 +61,7 @@ def _edges_below(edges: Column, value: Column) -> Column:
     """How many sorted edges lie below ``value``: a binary search in log2 steps."""
     steps = [2**k for k in reversed(range(math.ceil(math.log2(MAX_BUCKETS)) + 1))]
     return F.aggregate(
-        F.array(*[F.lit(s) for s in steps]),
+        F.lit(steps),
         F.lit(0),
         lambda at, s: F.when(F.try_element_at(edges, at + s) < value, at + s).otherwise(at),
     )
@@ -60,7 +70,7 @@ def _edges_below(edges: Column, value: Column) -> Column:
 def _with_bucket(df: DataFrame, order: str, by: Sequence[str], bounds: list) -> DataFrame:
     value = F.col(order).cast("double")
     if not by:
-        edges = F.array(*[F.lit(e) for e in bounds[0]["_edges"]])
+        edges = F.lit(bounds[0]["_edges"])
         return df.withColumn(_BUCKET, _edges_below(edges, value))
     fields = [df.schema[c] for c in by]
     schema = ", ".join(f"`_by{i}` {f.dataType.simpleString()}" for i, f in enumerate(fields))

@@ -11,6 +11,8 @@ from labelsieve.operators.prefix import BUCKET_ROWS, running_totals
 
 # Up to this many values the built-in percentile holds them in one task.
 SMALL = 200_000
+# Beyond this many values the bracket is sketched from a sample of about as many.
+SKETCH_ROWS = 100_000_000
 _SKETCH_ACCURACY = 10_000
 
 
@@ -34,8 +36,10 @@ def quantile(
     """The ``q`` quantile of the non-null values; NaN when any value is NaN.
 
     ``exact`` sketches a narrow bracket around the wanted ranks, checks with one
-    counting pass that they lie inside, then orders only the distinct values of
-    the bracket, in buckets. ``approx`` returns the sketch's answer.
+    counting pass that they lie inside (and takes all values if not), then orders
+    only the distinct values of the bracket, in buckets. The sketch of a very long
+    column looks at a sample; the count and the answer never do. ``approx``
+    returns the sketch's answer over all values.
     """
     if not 0.0 <= q <= 1.0:
         raise ValueError(f"quantile must be in [0, 1], got {q}")
@@ -44,27 +48,26 @@ def quantile(
     column = F.col(value) if isinstance(value, str) else value
     values = df.select(column.cast("double").alias("v")).where(F.col("v").isNotNull())
 
-    margin = 2.0 / _SKETCH_ACCURACY
-    stats = values.agg(
-        F.count("v").alias("n"),
-        F.count_if(F.isnan("v")).alias("bad"),
-        F.percentile_approx(
-            "v", [max(0.0, q - margin), q, min(1.0, q + margin)], _SKETCH_ACCURACY
-        ).alias("sketch"),
-    ).first()
+    stats = values.agg(F.count("v").alias("n"), F.count_if(F.isnan("v")).alias("bad")).first()
     n = stats["n"]
     if n == 0:
         raise EmptyColumnError("no values to take a quantile of")
     if stats["bad"]:
         return math.nan
     if method == "approx":
-        return float(stats["sketch"][1])
+        return float(values.agg(F.percentile_approx("v", q, _SKETCH_ACCURACY).alias("p")).first()["p"])
     if n <= small:
         return float(values.agg(F.percentile("v", F.lit(q)).alias("p")).first()["p"])
 
+    looked_at, margin = values, 2.0 / _SKETCH_ACCURACY
+    if n > SKETCH_ROWS:
+        looked_at = values.sample(SKETCH_ROWS / n, seed=0)
+        margin += 6.0 * math.sqrt(q * (1.0 - q) / SKETCH_ROWS)
+    ends = [max(0.0, q - margin), min(1.0, q + margin)]
+    low, high = looked_at.agg(F.percentile_approx("v", ends, _SKETCH_ACCURACY).alias("p")).first()["p"]
+
     rank = (n - 1) * q
     first, last = math.floor(rank), math.ceil(rank)
-    low, _, high = stats["sketch"]
     inside = (F.col("v") >= F.lit(low)) & (F.col("v") <= F.lit(high))
     seen = values.agg(
         F.count_if(F.col("v") < F.lit(low)).alias("below"), F.count_if(inside).alias("inside")

@@ -77,13 +77,12 @@ def assign_split(
     train, held, test = split_sizes(n, test_ratio, eval_ratio)
     if train < 1:
         raise ValueError(f"no rows are left for training out of {n}")
-    where = F.lit("train")
-    h = hash_order(key, seed)
+    h, where = F.col("_h"), F.lit("train")
     if held:
         where = F.when(h <= F.lit(_cut_hash(hashes, n, test + held)), "eval").otherwise(where)
     if test:
         where = F.when(h <= F.lit(_cut_hash(hashes, n, test)), "test").otherwise(where)
-    return df.withColumn(name, where)
+    return df.withColumn("_h", hash_order(key, seed)).withColumn(name, where).drop("_h")
 
 
 def split_part(df: DataFrame, key: str, part: str, **options) -> DataFrame:

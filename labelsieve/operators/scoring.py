@@ -44,7 +44,6 @@ def score_column(
                     out[at] = row
             yield pd.Series(out)
 
-    run.__annotations__ = {"batches": Iterator[pd.Series], "return": Iterator[pd.Series]}
     return F.pandas_udf(run, T.ArrayType(T.DoubleType()))(present_text(text))
 
 

@@ -193,3 +193,19 @@ def test_known_areas(spark):
     for name, want in (("mixed top tie", 0.775), ("no positives", 0.5)):
         df = spark.createDataFrame(list(zip(*CASES[name])), "y int, s double")
         assert curves.auc_pr(df, "s", "y").first()["aucpr"] == pytest.approx(want)
+
+
+def test_edges_and_brackets_from_samples(spark, monkeypatch):
+    """Samples steer only how the work is cut; the answers stay exact."""
+    from labelsieve.operators import prefix
+    from labelsieve.operators import quantile as quantile_module
+
+    monkeypatch.setattr(prefix, "_SKETCH_ROWS", 10)
+    monkeypatch.setattr(quantile_module, "SKETCH_ROWS", 200)
+    df = spark.range(5000).select((F.col("id") * 7919 % 5003).alias("k"), F.lit(1).alias("one"))
+    got = running_totals(df, "k", ["one"], bucket_rows=100)
+    ranks = [r["cum_one"] for r in got.orderBy("k").collect()]
+    assert ranks == list(range(1, 5001))
+    keys = np.array([i * 7919 % 5003 for i in range(5000)])
+    for q in (0.01, 0.5, 0.95):
+        assert quantile(df, "k", q, small=0, bucket_rows=50) == pytest.approx(float(np.quantile(keys, q)))
