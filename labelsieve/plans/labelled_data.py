@@ -2,14 +2,22 @@
 
 from __future__ import annotations
 
+from collections.abc import Mapping
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
-from labelsieve.operators.labels import BINARY_LABELS, binarise, label_names, multi_hot
+from labelsieve.operators.labels import (
+    BINARY_LABELS,
+    binarise,
+    label_names,
+    multi_hot,
+    prepare_labelled,
+)
 from labelsieve.operators.ratings import PART_ROWS, drop_null, prepare_ratings
 from labelsieve.plans.predict_and_flag import MULTI_LABEL, SINGLE_LABEL, check_problem_type
 from labelsieve.session import require_columns
+from labelsieve.sources.tables import load_splits, read_labelled_csv
 
 
 @dataclass(frozen=True)
@@ -46,3 +54,23 @@ def label_ratings(
         return LabelledData(binarise(rows, label_column, rule), list(BINARY_LABELS))
     labels = label_names(rows, "label")
     return LabelledData(multi_hot(rows, "label", labels), labels)
+
+
+def load_labelled(spark: SparkSession, paths: Mapping[str, str], **options) -> LabelledData:
+    """Rated splits on disk to labelled rows; every split is aggregated on its own."""
+    return label_ratings(load_splits(spark, paths), split="split", **options)
+
+
+def load_labelled_csv(
+    spark: SparkSession,
+    path: str,
+    text_column: str = "text",
+    label_column: str = "label",
+    mapping: Mapping[object, int] | None = None,
+    literal: bool = False,
+) -> LabelledData:
+    """A labelled CSV file to rows with ``text`` and a 0/1 ``label``."""
+    rows = read_labelled_csv(spark, path, required=[text_column, label_column])
+    return LabelledData(
+        prepare_labelled(rows, text_column, label_column, mapping, literal), list(BINARY_LABELS)
+    )

@@ -15,6 +15,7 @@ from labelsieve.operators.chat import render_chat
 from labelsieve.operators.perplexity import MaskedCounts, array_perplexity, count_tokens, score_tokens, text_perplexity
 from labelsieve.operators.scoring import attach, filter_rows, map_rows, remaining, score
 from labelsieve.operators.skew import lookup_join
+from labelsieve.plans.labelled_data import load_labelled, load_labelled_csv
 from labelsieve.plans.train import train_text_classifier
 from labelsieve.session import scratch_dir, spool
 from labelsieve.sources import tables
@@ -281,6 +282,25 @@ def test_scratch_folder_comes_from_the_session(spark):
     assert df.count() == 4 and scratch_dir(spark).rstrip("/") in df.inputFiles()[0]
 
 
+def test_labelled_data_from_disk(spark, tmp_path):
+    schema = "row_id long, text string, target string, title string, acceptability int, cluster int"
+    spark.createDataFrame([(1, "a", "t", "x", 1, 0), (2, "a", "t", "x", 2, 0)], schema).write.parquet(str(tmp_path / "a"))
+    spark.createDataFrame([(1, "a", "t", "x", 4, 1)], schema).write.parquet(str(tmp_path / "b"))
+    data = load_labelled(
+        spark,
+        {"train": str(tmp_path / "a"), "test": str(tmp_path / "b")},
+        problem_type="single_label_classification",
+        rule="<2",
+        label_column="average_acceptability",
+    )
+    assert {(r["split"], r["label"]) for r in data.rows.collect()} == {("train", 1), ("test", 0)}
+    path = str(tmp_path / "l.csv")
+    with open(path, "w", encoding="utf-8") as f:
+        f.write("body,vote\nx,2\ny,1\nz,\nw,3\n")
+    rows = load_labelled_csv(spark, path, "body", "vote", {"2": 0, "1": 1}).rows
+    assert {tuple(r) for r in rows.collect()} == {("x", 0), ("y", 1)}
+
+
 # --- streaming ---
 
 
