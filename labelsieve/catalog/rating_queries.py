@@ -18,7 +18,7 @@ from labelsieve.sources.tables import load_splits
 def _groups_sql(where: str) -> str:
     return f"""
 SELECT split, md5(text) AS text_md5, target, title, min(row_id) AS row_id,
-       first(cluster ORDER BY row_id) AS cluster,
+       coalesce(first(cluster ORDER BY row_id), -1) AS cluster,
        string_agg(CAST(acceptability AS VARCHAR), ', ' ORDER BY row_id) AS concatenated_acceptability,
        {s6("CAST(avg(acceptability) AS FLOAT)")} AS average_acceptability,
        CAST(0 AS BIGINT) AS part
@@ -35,7 +35,7 @@ def _groups(spark: SparkSession, sf_dir: str, mode: str) -> DataFrame:
         "target",
         "title",
         "row_id",
-        "cluster",
+        F.coalesce("cluster", F.lit(-1)).alias("cluster"),
         rat.JOINED,
         r6(rat.MEAN).alias(rat.MEAN),
         "part",
@@ -70,7 +70,7 @@ def rating_groups_wide(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-# Ratings per string in the query below: every key there holds more.
+# Ratings per string in the query below: each event type holds more, and there are few types.
 _SMALL_PARTS = 500
 
 

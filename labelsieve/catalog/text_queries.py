@@ -56,14 +56,14 @@ def eos_append(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _TOKENS = r"list_filter(regexp_split_to_array(lower(text), '[^\p{L}\p{N}]+'), lambda t: t <> '')"
-_LIMIT = 64
+_LIMIT = 512
 
 
 @query(f"""
 SELECT doc_id, CAST(len(ts) AS INT) AS n_tokens, CAST(least(len(ts), {_LIMIT}) AS INT) AS n_kept,
-       array_to_string(ts[1:{_LIMIT}], ' ') AS kept, len(ts) > {_LIMIT} AS truncated,
+       md5(array_to_string(ts[1:{_LIMIT}], ' ')) AS kept, len(ts) > {_LIMIT} AS truncated,
        CAST({_LIMIT} AS INT) AS n_padded,
-       rtrim(array_to_string(ts[1:{_LIMIT}], ' ') || repeat(' <pad>', greatest(0, {_LIMIT} - CAST(len(ts) AS INT)))) AS padded
+       md5(array_to_string(ts[1:{_LIMIT}], ' ') || repeat(' <pad>', greatest(0, {_LIMIT} - CAST(len(ts) AS INT)))) AS padded
 FROM (SELECT doc_id, {_TOKENS} AS ts FROM documents) WHERE len(ts) > 0
 """)
 def token_truncate(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -73,10 +73,10 @@ def token_truncate(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id",
         F.size("ts").alias("n_tokens"),
         F.aggregate("attention_mask", F.lit(0), lambda acc, x: acc + x).alias("n_kept"),
-        F.array_join(txt.truncate(F.col("ts"), _LIMIT), " ").alias("kept"),
+        F.md5(F.array_join(txt.truncate(F.col("ts"), _LIMIT), " ")).alias("kept"),
         txt.is_truncated(F.col("ts"), _LIMIT).alias("truncated"),
         F.size("tokens").alias("n_padded"),
-        F.array_join("tokens", " ").alias("padded"),
+        F.md5(F.array_join("tokens", " ")).alias("padded"),
     )
 
 

@@ -10,6 +10,8 @@ from pyspark.sql import types as T
 
 # Rows of a group that may go into one string; a larger group goes into several.
 PART_ROWS = 1_000_000
+# Most large groups that are broadcast. Beyond it they are joined by a shuffle.
+MAX_BROADCAST = 100_000
 
 
 def _digest(columns: Sequence[str]) -> list[Column]:
@@ -32,18 +34,19 @@ def with_parts(
     names aggregates that large groups need over all their parts; they are null
     elsewhere.
 
-    Large groups are found on a digest of the key: two longs and the aggregates
-    are shuffled per group, after a map-side combine. At most rows / part_rows
-    groups qualify, and only those are broadcast. ``part_rows=None`` skips all
-    this, for groups known to be short.
+    Large groups are looked for first, on a digest of the key: two longs and the
+    aggregates are shuffled per group, after a map-side combine. There are at most
+    rows / part_rows of them. Without any the rows pass through; up to
+    ``MAX_BROADCAST`` are broadcast; more are joined by a shuffle, where adaptive
+    execution splits skewed keys. ``part_rows=None`` skips the search, for groups
+    known to be short.
     """
     whole = dict(whole or {})
     if not isinstance(df.schema[order].dataType, T.IntegralType):
         raise ValueError(f"order column {order!r} must be a whole number")
+    short = {"part": F.lit(0).cast("long"), **{n: F.lit(None).cast("double") for n in whole}}
     if part_rows is None:
-        return df.withColumns(
-            {"part": F.lit(0).cast("long"), **{n: F.lit(None).cast("double") for n in whole}}
-        )
+        return df.withColumns(short)
     h1, h2 = _digest(group)
     large = (
         df.groupBy(h1.alias("_h1"), h2.alias("_h2"))
@@ -54,10 +57,15 @@ def with_parts(
         )
         .where(F.col("_size") > part_rows)
     )
+    found = large.limit(MAX_BROADCAST + 1).collect()
+    if not found:
+        return df.withColumns(short)
+    if len(found) <= MAX_BROADCAST:
+        large = F.broadcast(df.sparkSession.createDataFrame(found, large.schema))
     part = F.expr(f"(`{order}` - _first) div {int(part_rows)}")
     return (
         df.withColumns({"_h1": h1, "_h2": h2})
-        .join(F.broadcast(large), ["_h1", "_h2"], "left")
+        .join(large, ["_h1", "_h2"], "left")
         .withColumn("part", F.coalesce(part, F.lit(0).cast("long")))
         .drop("_h1", "_h2", "_size", "_first")
     )

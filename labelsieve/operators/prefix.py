@@ -18,8 +18,10 @@ from labelsieve.session import spool
 # A group of at most this many rows is sorted as one window partition.
 BUCKET_ROWS = 1_000_000
 # Most buckets one group is cut into, and the sketch accuracy that goes with it.
-MAX_BUCKETS = 1024
-_SKETCH_ACCURACY = 8192
+MAX_BUCKETS = 4096
+_SKETCH_ACCURACY = 4 * MAX_BUCKETS
+# Most groups that are cut at all, so that the edges stay few however many rows there are.
+_MAX_CUT_GROUPS = 10_000
 # Rows per bucket that the sketch looks at: edges only have to be about right.
 _SKETCH_ROWS = 1000
 
@@ -30,16 +32,18 @@ _KIND = "_kind"
 def _group_bounds(df: DataFrame, order: str, by: Sequence[str], bucket_rows: int) -> list:
     """Bucket edges of each group that holds more than ``bucket_rows`` rows.
 
-    At most rows / bucket_rows groups qualify, and a group gets one edge per
-    ``bucket_rows`` rows, so what reaches the driver is bounded by about twice
-    the row count over ``bucket_rows``. Counting comes first: the sketch is only
-    made when there is such a group. Edges decide how rows are spread over tasks,
-    not what comes out, so a sample is enough for them and keeps the sketches of
-    many tasks small where they meet.
+    Counting comes first: without such a group there is nothing to cut. Then
+    ``bucket_rows`` is raised, if need be, until at most ``_MAX_CUT_GROUPS`` groups
+    can exceed it; a group gets one edge per ``bucket_rows`` rows, so at most about
+    twice that many edges reach the driver. Edges decide how rows are spread over
+    tasks, not what comes out, so a sample is enough for them and keeps the
+    sketches of many tasks small where they meet.
     """
     sizes = df.groupBy(*by).agg(F.count(F.lit(1)).alias("_n"))
-    if sizes.where(F.col("_n") > bucket_rows).isEmpty():
+    seen = sizes.agg(F.max("_n").alias("most"), F.sum("_n").alias("rows")).first()
+    if not seen["rows"] or seen["most"] <= bucket_rows:
         return []
+    bucket_rows = max(bucket_rows, seen["rows"] // _MAX_CUT_GROUPS)
     shares = ", ".join(f"{i / MAX_BUCKETS!r}D" for i in range(1, MAX_BUCKETS))
     edges = F.expr(
         f"percentile_approx(cast(`{order}` as double), array({shares}), {_SKETCH_ACCURACY})"

@@ -123,12 +123,11 @@ def test_large_group_comes_in_whole_parts(spark):
     n = 1000
     df = spark.range(n).select(
         (F.col("id") * 3).alias("row_id"),
-        F.when(F.col("id") % 3 == 0, F.lit("rare").cast("string") + F.lit(0)).otherwise(None).alias("_"),
         F.when(F.col("id") % 5 == 0, F.col("id").cast("string")).otherwise("hot").alias("text"),
         F.lit("t").alias("target"),
         F.lit("x").alias("title"),
         (F.col("id") % 7).cast("int").alias("acceptability"),
-    ).drop("_")
+    )
     plain = {r["text"]: r for r in rat.aggregate_ratings(df, part_rows=None).collect()}
     parts = rat.aggregate_ratings(df, part_rows=90).collect()
     hot = sorted((r for r in parts if r["text"] == "hot"), key=lambda r: r["part"])
@@ -231,3 +230,16 @@ def test_vocabulary():
         lab.check_vocabulary({0: "safe", 1: "unsafe"}, {0: "safe", 1: "other"})
     with pytest.raises(ValueError, match="ids differ"):
         lab.check_vocabulary({0: "safe", 1: "unsafe"}, {1: "safe", 0: "unsafe"})
+
+
+def test_many_large_groups_are_joined_by_shuffle(spark, monkeypatch):
+    from labelsieve.operators import parts
+
+    df = spark.range(600).select(F.col("id"), (F.col("id") % 3).alias("k"))
+    want = sorted((r["id"], r["part"]) for r in with_parts(df, ["k"], "id", 50).collect())
+    assert max(p for _, p in want) == 11
+    monkeypatch.setattr(parts, "MAX_BROADCAST", 2)
+    again = with_parts(df, ["k"], "id", 50)
+    assert sorted((r["id"], r["part"]) for r in again.collect()) == want
+    untouched = with_parts(df, ["k"], "id", 200)
+    assert "Join" not in untouched._jdf.queryExecution().executedPlan().toString()
