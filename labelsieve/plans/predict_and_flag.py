@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Callable, Mapping
 
-from pyspark.sql import Column, DataFrame
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from labelsieve.functions import probabilities as P
@@ -17,8 +18,8 @@ from labelsieve.operators.calibration import (
     confidence_threshold,
 )
 from labelsieve.operators.review import flag_review
-from labelsieve.operators.scoring import BATCH_SIZE, Model, score
-from labelsieve.session import require_columns, spool
+from labelsieve.operators.scoring import BATCH_SIZE, Model, remaining, score
+from labelsieve.session import require_columns
 
 # Names of the two problem types.
 SINGLE_LABEL = "single_label_classification"
@@ -106,6 +107,34 @@ def predict_and_flag(
     return flag_review(predict(df, load, id2label, **options), calibration.threshold), calibration
 
 
-def spool_scored(df: DataFrame) -> DataFrame:
-    """Keep scored rows for a threshold that is taken from the rows themselves."""
-    return spool(df)
+def flag_into(
+    df: DataFrame,
+    out: str,
+    load: Callable[[], Model],
+    id2label: Mapping[int, str],
+    model: str,
+    key: str = "row_id",
+    resume: bool = True,
+    **options,
+) -> Calibration:
+    """Flag rows into a parquet table, leaving out those it already holds.
+
+    A repeat after a failure or after new rows scores only what is missing. With
+    ``resume=False`` the table must not exist yet.
+    """
+    require_columns(df, [key], "input table")
+    done = _read_if_there(df.sparkSession, out) if resume else None
+    rest = df if done is None else remaining(df, done, key)
+    flagged, calibration = predict_and_flag(rest, load, id2label, model, **options)
+    flagged.write.mode("append" if resume else "errorifexists").parquet(out)
+    return calibration
+
+
+def _read_if_there(spark: SparkSession, path: str) -> DataFrame | None:
+    try:
+        return spark.read.parquet(path)
+    except AnalysisException as e:
+        # A folder without any finished file has no schema either.
+        if e.getCondition() in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+            return None
+        raise

@@ -16,6 +16,7 @@ from labelsieve.operators.perplexity import MaskedCounts, array_perplexity, coun
 from labelsieve.operators.scoring import attach, filter_rows, map_rows, remaining, score
 from labelsieve.operators.skew import lookup_join
 from labelsieve.plans.labelled_data import load_labelled, load_labelled_csv
+from labelsieve.plans.predict_and_flag import flag_into
 from labelsieve.plans.train import train_text_classifier
 from labelsieve.session import scratch_dir, spool
 from labelsieve.sources import tables
@@ -206,6 +207,18 @@ def test_resume(spark):
     assert {r["row_id"] for r in remaining(rows, done).collect()} == {2, 3, 4, 5, 6, 8, 9}
 
 
+def test_flagging_resumes(spark, tmp_path):
+    out = str(tmp_path / "flags")
+    rows = spark.range(12).select(F.col("id").alias("row_id"), F.repeat(F.lit("x"), F.col("id").cast("int")).alias("text"))
+    flag_into(rows.where("row_id < 7"), out, size_model(), ID2LABEL, "m")
+    first = {f.name for f in (tmp_path / "flags").iterdir()}
+    found = flag_into(rows, out, size_model(), ID2LABEL, "m", default_threshold=0.9)
+    assert found.threshold == 0.9 and first < {f.name for f in (tmp_path / "flags").iterdir()}
+    assert sorted(r["row_id"] for r in spark.read.parquet(out).collect()) == list(range(12))
+    with pytest.raises(Exception, match="already exists"):
+        flag_into(rows, out, size_model(), ID2LABEL, "m", resume=False)
+
+
 def test_user_functions(spark):
     df = spark.createDataFrame([(1, "a"), (2, "bb"), (3, "ccc")], "i int, t string")
     kept = filter_rows(df, lambda b: b["t"].str.len() > 1)
