@@ -98,7 +98,8 @@ def score_tokens(
     size = distinct.agg(F.count(F.lit(1)).alias("triples"), F.sum("n").alias("tokens")).first()
     seen = distinct.drop("n").join(counts.triples, _TRIPLE, "left")
     for totals, on in ((counts.contexts(), ["prev", "next"]), (counts.words(), ["token"])):
-        seen = lookup_join(seen, totals, on, _TRIPLE, size["triples"], hot_rows)
+        per_key = distinct.groupBy(*on).agg(F.count(F.lit(1)).alias("n"))
+        seen = lookup_join(seen, totals, on, _TRIPLE, size["triples"], hot_rows, per_key)
 
     total = float(max(counts.total, 1))
     share = F.lit(float(a)) * F.coalesce(F.col("c_word"), F.lit(1)) / F.lit(total)

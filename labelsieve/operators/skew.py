@@ -37,7 +37,8 @@ def lookup_join(
     has them, else by counting ``left``. Their right rows, at most
     ``MAX_HOT_KEYS``, are broadcast; the left rows they serve, and rows with a
     null key, are spread over all tasks by a hash of the ``spread`` columns.
-    Other rows meet by a normal shuffle.
+    Other rows meet by a normal shuffle. With hot keys ``right`` serves both ways
+    and is written once.
     """
     on = list(on)
     values = [c for c in right.columns if c not in on]
@@ -56,6 +57,7 @@ def lookup_join(
 
     adrift = ~known
     if any_hot:
+        right = spool(right)
         served = hot.join(right, on, "left").select(
             *on, F.lit(True).alias("_hot"), *[F.col(v).alias(f"_hot_{v}") for v in values]
         )

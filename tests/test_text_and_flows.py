@@ -162,12 +162,15 @@ def test_hot_keys_are_spread(spark):
     rows = [(i, "hot" if i % 2 else None if i % 6 == 0 else f"k{i}") for i in range(600)]
     left = spark.createDataFrame(rows, "i int, k string")
     right = spark.createDataFrame([("hot", 1), ("k2", 2), ("absent", 3)], "k string, v int")
-    joined = lookup_join(left, right, ["k"], ["i"], 600, hot_rows=50)
-    assert {r["i"]: r["v"] for r in joined.collect()} == {
-        i: {"hot": 1, "k2": 2}.get(k) for i, k in rows
-    }
-    plan = joined._jdf.queryExecution().executedPlan().toString()
-    assert re.search(r"hashpartitioning\(k#\d+, _salt#", plan)
+    limit = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        joined = lookup_join(left, right, ["k"], ["i"], 600, hot_rows=50)
+        assert {r["i"]: r["v"] for r in joined.collect()} == {i: {"hot": 1, "k2": 2}.get(k) for i, k in rows}
+        plan = joined._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+    assert re.search(r"hashpartitioning\(k#\d+, _salt#", plan) and "BroadcastHashJoin" in plan
 
 
 # --- scoring hook and joins ---
