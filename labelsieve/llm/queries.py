@@ -6,6 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from labelsieve.catalog.registry import Query, table
+from labelsieve.llm import toxicity
 from labelsieve.llm.tokens import count_tokens
 
 QUERIES: dict[str, Query] = {}
@@ -21,3 +22,11 @@ def query(fn: Query) -> Query:
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tokens of each document, and whether they exceed the limit."""
     return count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
+@query
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of each document, learnt from four fifths of the labels."""
+    docs = table(spark, sf_dir, "documents")
+    model = toxicity.fit_on(docs, table(spark, sf_dir, "labels"))
+    return toxicity.score_documents(docs, model)
