@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from labelsieve.catalog.registry import Query, table
-from labelsieve.llm import toxicity
+from labelsieve.llm import language, toxicity
 from labelsieve.llm.tokens import count_tokens
 
 QUERIES: dict[str, Query] = {}
@@ -30,3 +30,10 @@ def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = toxicity.fit_on(docs, table(spark, sf_dir, "labels"))
     return toxicity.score_documents(docs, model)
+
+
+@query
+def op6_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of each document, learnt from two thirds of them."""
+    docs = table(spark, sf_dir, "documents")
+    return language.predict_documents(docs, language.fit_on(docs))
