@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from labelsieve.catalog.registry import Query, table
-from labelsieve.llm import language, toxicity
+from labelsieve.llm import language, near, toxicity
 from labelsieve.llm.tokens import count_tokens
 
 QUERIES: dict[str, Query] = {}
@@ -37,3 +37,9 @@ def op6_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Language of each document, learnt from two thirds of them."""
     docs = table(spark, sf_dir, "documents")
     return language.predict_documents(docs, language.fit_on(docs))
+
+
+@query
+def op8_near_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Class and number of links of each document, five words, similarity 0.8."""
+    return near.join_documents(table(spark, sf_dir, "documents"))
