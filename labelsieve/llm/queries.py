@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from labelsieve.catalog.registry import Query, table
-from labelsieve.llm import language, near, toxicity
+from labelsieve.llm import fingerprints, language, near, toxicity
 from labelsieve.llm.tokens import count_tokens
 
 QUERIES: dict[str, Query] = {}
@@ -43,3 +43,9 @@ def op6_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_near_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Class and number of links of each document, five words, similarity 0.8."""
     return near.join_documents(table(spark, sf_dir, "documents"))
+
+
+@query
+def op1_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of each document and its edited text, and how alike they are."""
+    return fingerprints.fingerprint_beside_next(table(spark, sf_dir, "documents"))
