@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from labelsieve.catalog.registry import Query, table
-from labelsieve.llm import fingerprints, language, near, toxicity
+from labelsieve.llm import fingerprints, language, leaks, near, toxicity
 from labelsieve.llm.tokens import count_tokens
 
 QUERIES: dict[str, Query] = {}
@@ -49,3 +49,9 @@ def op8_near_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op1_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprints of each document and its edited text, and how alike they are."""
     return fingerprints.fingerprint_beside_next(table(spark, sf_dir, "documents"))
+
+
+@query
+def op9_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Benchmark items that occur in documents, exactly or nearly."""
+    return leaks.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
