@@ -10,11 +10,12 @@ window by its exact edit distance.
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -345,6 +346,27 @@ def _rounds(items: DataFrame, item_id: str, text: str, similarity: float) -> Ite
         yield index(sorted(((r["i"], r["t"]) for r in part.collect()), key=repr), similarity)
 
 
+def _locator(shared: Broadcast) -> Callable[[Iterator[pd.Series]], Iterator[pd.Series]]:
+    def locate(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        index = shared.value
+        for batch in batches:
+            rows = search(index, [plain(t) for t in batch])
+            yield pd.Series(
+                [[(index.ids[k], d, 1.0 - d / len(index.texts[k]), a, b) for k, d, a, b in row] for row in rows],
+                dtype=object,
+            )
+
+    return locate
+
+
+def _acquitter(shared: Broadcast) -> Callable[[Iterator[pd.Series]], Iterator[pd.Series]]:
+    def free(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for batch in batches:
+            yield pd.Series([not row for row in search(shared.value, [plain(t) for t in batch])], dtype=bool)
+
+    return free
+
+
 def find_leaks(
     docs: DataFrame,
     items: DataFrame,
@@ -369,21 +391,8 @@ def find_leaks(
     for part in _rounds(items, item_id, item_text, similarity):
         shared = docs.sparkSession.sparkContext.broadcast(part)
         hit = f"array<struct<item_id: {kind}, distance: int, similarity: double, begin: int, end: int>>"
-
-        def locate(batches: Iterator[pd.Series], shared=shared) -> Iterator[pd.Series]:
-            index = shared.value
-            for batch in batches:
-                rows = search(index, [plain(t) for t in batch])
-                yield pd.Series(
-                    [
-                        [(index.ids[k], d, 1.0 - d / len(index.texts[k]), a, b) for k, d, a, b in row]
-                        for row in rows
-                    ],
-                    dtype=object,
-                )
-
         found = docs.select(
-            F.col(doc_id).alias("doc_id"), F.explode(F.pandas_udf(locate, hit)(F.col(text))).alias("hit")
+            F.col(doc_id).alias("doc_id"), F.explode(F.pandas_udf(_locator(shared), hit)(F.col(text))).alias("hit")
         ).select("doc_id", "hit.*")
         result = found if result is None else result.unionByName(found)
     return result
@@ -394,10 +403,5 @@ def is_clean(items: DataFrame, text: Column, item_id: str = "item_id", item_text
     clean = F.lit(True)
     for part in _rounds(items, item_id, item_text, SIMILARITY):
         shared = SparkSession.active().sparkContext.broadcast(part)
-
-        def free(batches: Iterator[pd.Series], shared=shared) -> Iterator[pd.Series]:
-            for batch in batches:
-                yield pd.Series([not row for row in search(shared.value, [plain(t) for t in batch])])
-
-        clean = clean & F.pandas_udf(free, "boolean")(text)
+        clean = clean & F.pandas_udf(_acquitter(shared), "boolean")(text)
     return clean
