@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from labelsieve.catalog.registry import Query, table
-from labelsieve.llm import fingerprints, language, leaks, near, toxicity
+from labelsieve.llm import fingerprints, language, leaks, near, pieces, toxicity
 from labelsieve.llm.tokens import count_tokens
 
 QUERIES: dict[str, Query] = {}
@@ -55,3 +55,9 @@ def op1_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Benchmark items that occur in documents, exactly or nearly."""
     return leaks.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@query
+def op5_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pieces of each document, and the text decoded from them."""
+    return pieces.encode_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
