@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from labelsieve.catalog.registry import Query, table
-from labelsieve.llm import fingerprints, html_text, language, leaks, near, pieces, toxicity
+from labelsieve.llm import fingerprints, html_text, language, leaks, near, pieces, quality, toxicity
 from labelsieve.llm.tokens import count_tokens
 
 QUERIES: dict[str, Query] = {}
@@ -67,3 +67,9 @@ def op5_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Main text of each page."""
     return html_text.extract_pages(table(spark, sf_dir, "pages"))
+
+
+@query
+def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Importance of each document, and the half that is sampled by it."""
+    return quality.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
