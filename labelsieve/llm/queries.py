@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from labelsieve.catalog.registry import Query, table
-from labelsieve.llm import fingerprints, html_text, language, leaks, near, pieces, quality, toxicity
+from labelsieve.llm import fingerprints, html_text, language, leaks, licenses, near, pieces, quality, toxicity
 from labelsieve.llm.tokens import count_tokens
 
 QUERIES: dict[str, Query] = {}
@@ -73,3 +73,9 @@ def op2_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Importance of each document, and the half that is sampled by it."""
     return quality.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query
+def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Licenses that documents have a notice of."""
+    return licenses.scan(table(spark, sf_dir, "documents"), licenses.templates(spark))
