@@ -124,17 +124,19 @@ def fit(samples: dict[str, list[str]]) -> LanguageModel:
         parts = [np.append(alphabet.symbols(t), np.uint8(_GAP)) for t in samples[language]]
         text = np.concatenate(parts or [np.zeros(0, np.uint8)])
         states = automaton([int(c) for c in text[:most]])
-        table = np.full((len(states), alphabet.size), -1, np.int64)
+        # One more state: a phrase that is one letter this language lacks.
+        lacking = len(states)
+        table = np.full((lacking + 1, alphabet.size), -1, np.int64)
         for i, moves in enumerate(states):
             for c, to in moves.items():
                 table[i, c] = to
-        # A text may hold a letter that this language lacks: it stays at the start.
-        start = np.maximum(table[0], 0)
+        start = np.where(table[0] < 0, lacking, table[0])
         ended = table < 0
         table = np.where(ended, start, table)
+        ended[0] = False  # before the first symbol there is no phrase to end
         tables.append(((table + rows) * alphabet.size * 2 + ended).astype(np.int32).ravel())
         roots.append(rows * alphabet.size)
-        rows += len(states)
+        rows += len(table)
         charge.append(math.log2(max(2, min(len(text), most))))
     return LanguageModel(
         languages,
