@@ -14,7 +14,7 @@ from labelsieve.operators.perplexity import count_tokens
 from labelsieve.operators.sampling import assign_split
 from labelsieve.operators.scoring import filter_rows, map_batches, map_rows, remaining
 from labelsieve.plans.evaluate import score_held_out
-from labelsieve.plans.predict_and_flag import predict_and_flag
+from labelsieve.plans.predict_and_flag import FlaggedTable, flag_into, predict_and_flag
 from labelsieve.plans.train import train_text_classifier
 from labelsieve.session import scratch_path
 from labelsieve.sources.tables import prediction_columns, read_labelled_csv, write_flagged
@@ -103,24 +103,52 @@ def resume_remaining(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remaining(rows, done, "doc_id").select("doc_id", "lang", "n_chars")
 
 
-@query("""
-SELECT doc_id, upper(lang) AS lang, CAST(length(text) AS BIGINT) AS size FROM documents WHERE length(text) >= 500
+# Above 2^53, where a detour over doubles would change it, and null in places.
+_BIG = "CASE WHEN doc_id % 3 = 0 THEN NULL ELSE 9007199254740993 + 2 * doc_id END"
+
+
+@query(f"""
+SELECT doc_id, {_BIG} AS big, reverse(lang) AS lang, CAST(length(text) AS BIGINT) AS size
+FROM documents WHERE length(text) >= 500
 """)
 def user_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    long_texts = filter_rows(
-        table(spark, sf_dir, "documents").select("doc_id", "lang", "text"),
-        lambda batch: batch["text"].str.len() >= 500,
-    )
+    rows = table(spark, sf_dir, "documents").select("doc_id", "lang", "text", F.expr(_BIG).alias("big"))
+    long_texts = filter_rows(rows, lambda batch: batch["text"].str.len() >= 500, ["text"])
     sized = map_batches(
         long_texts,
         lambda b: b.assign(size=b["text"].str.len()).drop(columns="text"),
-        "doc_id long, lang string, size long",
+        "doc_id long, lang string, big long, size long",
     )
     return map_rows(
-        sized, lambda row: {**row, "lang": row["lang"].upper()}, "doc_id long, lang string, size long"
+        sized, lambda row: {**row, "lang": row["lang"][::-1]}, "doc_id long, lang string, big long, size long"
     )
 
 
+def _resumed(spark: SparkSession, sf_dir: str) -> FlaggedTable:
+    """Some rows are scored in a first run under another threshold, the rest in a second."""
+    docs, out = table(spark, sf_dir, "documents"), scratch_path(spark, "resume")
+    early = docs.join(table(spark, sf_dir, "labels").select("doc_id"), "doc_id", "left_semi")
+    flag_into(early, out, length_model(), ID2LABEL, "m", "doc_id", default_threshold=0.999)
+    return flag_into(docs, out, length_model(), ID2LABEL, "m", "doc_id", default_threshold=0.6)
+
+
+@query(f"""
+SELECT doc_id, {s6("greatest(p0, p1)")} AS prediction_confidence, greatest(p0, p1) < 0.6 AS manual_review
+FROM ({_SCORED})
+""")
+def resume_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _resumed(spark, sf_dir).rows.select(
+        "doc_id", r6("prediction_confidence").alias("prediction_confidence"), "manual_review"
+    )
+
+
+@query(f"""
+SELECT count(*) FILTER (greatest(p0, p1) < 0.6) AS flagged, count(*) AS total FROM ({_SCORED})
+""")
+def resume_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _resumed(spark, sf_dir).summary.select("flagged", "total")
+
+
 _HELD = f"""
 SELECT l.*, s.split FROM (
   SELECT doc_id, y, p0, p1, -ln(CASE y WHEN 1 THEN p1 ELSE p0 END + 1e-12) AS loss

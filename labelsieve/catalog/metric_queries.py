@@ -177,7 +177,8 @@ SELECT slice, metric, {s6("value")} AS value FROM m
 
 
 def _rounded(df: DataFrame) -> DataFrame:
-    return df.withColumn("value", r6("value"))
+    """No slice of these queries has the total's name, so the name tells them apart."""
+    return df.drop("total").withColumn("value", r6("value"))
 
 
 @query(_binary_sql(fx.SCORES, slices=False))
@@ -190,6 +191,20 @@ def binary_metrics_by_lang(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(metrics.binary_metrics(fx.scores(spark, sf_dir), "probs", "y", "lang"))
 
 
+_NAMED_ALL = f"SELECT * REPLACE (CASE lang WHEN 'english' THEN 'all' ELSE lang END AS lang) FROM ({fx.SCORES})"
+
+
+@query(f"""
+SELECT CASE slice WHEN 'total' THEN 'all' ELSE slice END AS slice, slice = 'total' AS total, metric, value
+FROM ({_binary_sql(_NAMED_ALL, slices=True).replace("'all' AS slice", "'total' AS slice")})
+""")
+def binary_metrics_slice_named_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = fx.scores(spark, sf_dir)
+    named = F.when(F.col("lang") == "english", "all").otherwise(F.col("lang"))
+    found = metrics.binary_metrics(rows.withColumn("lang", named), "probs", "y", "lang")
+    return found.select("slice", "total", "metric", r6("value").alias("value"))
+
+
 @query(_binary_sql(fx.TIED_SCORES, slices=True))
 def binary_metrics_tied(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = fx.tied_scores(spark, sf_dir)
@@ -358,11 +373,20 @@ def report_best(spark: SparkSession, sf_dir: str) -> DataFrame:
     return marked.select("model", "slice", "metric", "cell", "is_best")
 
 
-@query(f"SELECT model, slice, metric, {s6('value')} AS value FROM ({_GRID})")
+@query(f"""
+SELECT 'written' AS part, model, slice, metric, {s6('value')} AS value FROM ({_GRID})
+UNION ALL SELECT 'never written', model, slice, metric, 0.0 FROM ({_GRID})
+""")
 def stored_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     # Written per model and slice, then read back with a default for what is absent.
     path = scratch_path(spark, "metrics")
-    write_metrics(_model_metrics(spark, sf_dir), path)
-    return _rounded(
-        read_metrics(spark, path, _MODELS, report.LANGUAGES, report.FLAGGED_TABLE)
-    ).select("model", "slice", "metric", "value")
+    measured = _model_metrics(spark, sf_dir)
+    # An earlier run whose every value was higher; the later one replaces it.
+    write_metrics(measured.withColumn("value", F.col("value") + 1.0), path)
+    write_metrics(measured, path)
+    wanted = (_MODELS, report.LANGUAGES, report.FLAGGED_TABLE)
+    read = _rounded(read_metrics(spark, path, *wanted)).withColumn("part", F.lit("written"))
+    absent = read_metrics(spark, scratch_path(spark, "metrics"), *wanted)
+    return read.unionByName(absent.withColumn("part", F.lit("never written"))).select(
+        "part", "model", "slice", "metric", "value"
+    )

@@ -20,8 +20,7 @@ def _groups_sql(where: str) -> str:
 SELECT split, md5(text) AS text_md5, target, title, min(row_id) AS row_id,
        coalesce(first(cluster ORDER BY row_id), -1) AS cluster,
        string_agg(CAST(acceptability AS VARCHAR), ', ' ORDER BY row_id) AS concatenated_acceptability,
-       {s6("CAST(avg(acceptability) AS FLOAT)")} AS average_acceptability,
-       CAST(0 AS BIGINT) AS part
+       {s6("CAST(avg(acceptability) AS FLOAT)")} AS average_acceptability
 FROM ({fx.RATINGS})
 WHERE acceptability IS NOT NULL AND {where}
 GROUP BY split, text, target, title
@@ -38,7 +37,6 @@ def _groups(spark: SparkSession, sf_dir: str, mode: str) -> DataFrame:
         F.coalesce("cluster", F.lit(-1)).alias("cluster"),
         rat.JOINED,
         r6(rat.MEAN).alias(rat.MEAN),
-        "part",
     )
 
 
@@ -71,27 +69,39 @@ def rating_groups_wide(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 # Ratings per string in the query below: each event type holds more, and there are few types.
-_SMALL_PARTS = 500
+_PART_ROWS = 500
 
 
 @query(f"""
-WITH r AS ({fx.WIDE_RATINGS}),
-     g AS (SELECT text, count(*) AS n, min(row_id) AS first_id, avg(acceptability) AS m,
-                  first(target ORDER BY row_id) AS first_target
-           FROM r GROUP BY text),
-     p AS (SELECT r.*, g.m, g.first_target,
-                  CASE WHEN n > {_SMALL_PARTS} THEN (row_id - first_id) // {_SMALL_PARTS} ELSE 0 END AS part
-           FROM r JOIN g USING (text))
-SELECT text, CAST(part AS BIGINT) AS part, min(row_id) AS row_id,
-       CASE WHEN part = 0 THEN any_value(first_target) END AS target,
-       string_agg(CAST(acceptability AS VARCHAR), ', ' ORDER BY row_id) AS concatenated_acceptability,
-       CASE WHEN part = 0 THEN {s6("CAST(any_value(m) AS FLOAT)")} END AS average_acceptability
-FROM p GROUP BY text, part
+SELECT text, CAST(part AS BIGINT) AS part, min(row_id) AS row_id, count(*) AS n_ratings,
+       string_agg(CAST(acceptability AS VARCHAR), ', ' ORDER BY row_id) AS concatenated_acceptability
+FROM (SELECT *, (row_number() OVER (PARTITION BY text ORDER BY row_id) - 1) // {_PART_ROWS} AS part
+      FROM ({fx.WIDE_RATINGS}))
+GROUP BY text, part
 """)
 def rating_groups_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = fx.wide_ratings(spark, sf_dir).drop("value", "title")
-    return rat.aggregate_ratings(rows, keys=["text"], part_rows=_SMALL_PARTS).select(
-        "text", "part", "row_id", "target", rat.JOINED, r6(rat.MEAN).alias(rat.MEAN)
+    rows = fx.wide_ratings(spark, sf_dir)
+    return rat.rating_parts(rows, _PART_ROWS, keys=["text"])
+
+
+@query(f"""
+SELECT text, row_id, md5(s) AS ratings_md5, n_ratings, label
+FROM (SELECT text, min(row_id) AS row_id, count(*) AS n_ratings,
+             string_agg(CAST(acceptability AS VARCHAR), ', ' ORDER BY row_id) AS s,
+             CAST(avg(acceptability) < 2 AS INT) AS label
+      FROM (SELECT * REPLACE (row_id * 1000 AS row_id) FROM ({fx.WIDE_RATINGS})) GROUP BY text)
+""")
+def label_large_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    # A few keys hold all rows, and their ids are far apart.
+    rows = fx.wide_ratings(spark, sf_dir).withColumn("row_id", F.col("row_id") * 1000)
+    rows = rows.withColumns({"target": F.lit("t"), "title": F.lit("")})
+    data = label_ratings(rows, "single_label_classification", rule="<2", label_column=rat.MEAN)
+    return data.rows.select(
+        "text",
+        "row_id",
+        F.md5(rat.JOINED).alias("ratings_md5"),
+        F.size(F.split(rat.JOINED, ", ")).cast("long").alias("n_ratings"),
+        "label",
     )
 
 
@@ -286,7 +296,5 @@ def split_two_way(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT conv_id, turn, row_number() OVER (ORDER BY conv_id, turn) - 1 AS row_id FROM conversations
 """)
 def row_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "conversations").select(
-        "conv_id", "turn", (F.col("conv_id") * 100_000 + F.col("turn")).alias("_order")
-    )
-    return with_row_id(rows, "_order", bucket_rows=200).select("conv_id", "turn", "row_id")
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn")
+    return with_row_id(rows, ["conv_id", "turn"], bucket_rows=200).select("conv_id", "turn", "row_id")

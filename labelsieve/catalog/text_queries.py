@@ -15,12 +15,12 @@ from labelsieve.operators.review import flag_tokens, high_token_count
 from labelsieve.operators.sampling import assign_split
 from labelsieve.session import fill_cores
 
-_TEMPLATE = "### Text:\n{text}\n### {{end}}"
+_TEMPLATE = "### Text:\n{text}\n### {{text}} {{{text}}}"
 _CHAT = ("<user>\n", "\n</user>")
 
 
 @query(f"""
-SELECT doc_id, md5('### Text:' || chr(10) || text || chr(10) || '### {{end}}') AS templated,
+SELECT doc_id, md5('### Text:' || chr(10) || text || chr(10) || '### {{text}} {{' || text || '}}') AS templated,
        md5('<user>' || chr(10) || text || chr(10) || '</user>') AS chat, md5(text) AS plain
 FROM documents
 """)
@@ -35,7 +35,7 @@ def prompt_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-SELECT conv_id, CAST(0 AS BIGINT) AS part, count(*) AS n_turns,
+SELECT conv_id, count(*) AS n_turns,
        string_agg('<|' || role || '|>' || chr(10) || text || chr(10), '' ORDER BY turn) AS text
 FROM conversations GROUP BY conv_id
 """)

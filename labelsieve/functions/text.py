@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from string import Formatter
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -24,19 +26,20 @@ def format_prompt(
 ) -> Column:
     """Text as the model sees it.
 
-    A template with ``{text}`` wins; ``{{`` and ``}}`` in it stand for braces.
+    A template with ``{text}`` wins, read from left to right as Python's ``format``
+    does: ``{{`` and ``}}`` stand for braces, so ``{{text}}`` is no field.
     Next comes ``chat``, the prefix and suffix of one user turn. Without either
     the text stays as it is.
     """
     if template is not None:
-        pieces = template.split("{text}")
         parts: list[Column] = []
-        for i, piece in enumerate(pieces):
-            if i:
-                parts.append(text)
-            literal = piece.replace("{{", "{").replace("}}", "}")
+        for literal, field, spec, conversion in Formatter().parse(template):
             if literal:
                 parts.append(F.lit(literal))
+            if field is not None:
+                if field != "text" or spec or conversion:
+                    raise ValueError(f"a template may only have the field {{text}}, not {field!r}")
+                parts.append(text)
         return F.concat(*parts) if parts else F.lit("")
     if chat is not None:
         return F.concat(F.lit(chat[0]), text, F.lit(chat[1]))

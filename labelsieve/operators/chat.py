@@ -7,10 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from labelsieve.operators.parts import with_parts
-
-# Turns that one rendered text may hold.
-PART_TURNS = 10_000
+from labelsieve.operators.parts import SPAN, join_in_order
 
 
 def render_chat(
@@ -21,21 +18,16 @@ def render_chat(
     text: str,
     role_tag: str = "<|{role}|>\n",
     end_tag: str = "\n",
-    part_rows: int | None = PART_TURNS,
+    span: int = SPAN,
 ) -> DataFrame:
     """Turns of each conversation, tagged with their role, in order of ``turn``.
 
-    ``turn`` is a whole number, unique within its conversation. A conversation of
-    more than ``part_rows`` turns continues in rows with ``part`` 1, 2, ...
+    ``turn`` is a whole number, unique within its conversation. A conversation is one
+    row with all its turns, however many it has.
     """
     before, _, after = role_tag.partition("{role}")
     piece = F.concat(F.lit(before), F.col(role), F.lit(after), F.col(text), F.lit(end_tag))
-    return (
-        with_parts(df, conversation, turn, part_rows)
-        .withColumn("_piece", piece)
-        .groupBy(*conversation, "part")
-        .agg(
-            F.count(F.lit(1)).alias("n_turns"),
-            F.expr(f"listagg(_piece, '') WITHIN GROUP (ORDER BY `{turn}`)").alias("text"),
-        )
+    joined = join_in_order(
+        df, conversation, turn, piece, "", "_rendered", {"n_turns": F.lit(1).cast("long")}, span=span
     )
+    return joined.select(*conversation, "n_turns", F.col("_rendered").alias("text"))

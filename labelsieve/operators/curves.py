@@ -15,10 +15,15 @@ F1_EPSILON = 1e-8
 
 
 def score_counts(df: DataFrame, score: str, label: str, by: Sequence[str] = ()) -> DataFrame:
-    """Rows and positives at each distinct score. Combines before the shuffle."""
+    """Rows and positives at each distinct score. Combines before the shuffle.
+
+    A null label is an error: it is neither positive nor negative.
+    """
     by = list(by)
+    unknown = F.raise_error(F.lit(f"null in label column {label!r}")).cast("long")
+    positive = F.when(F.col(label).isNotNull(), F.col(label).cast("long")).otherwise(unknown)
     return df.groupBy(*by, F.col(score).alias("threshold")).agg(
-        F.sum(F.col(label).cast("long")).alias("pos"), F.count(F.lit(1)).alias("n")
+        F.sum(positive).alias("pos"), F.count(F.lit(1)).alias("n")
     )
 
 

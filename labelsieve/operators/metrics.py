@@ -1,4 +1,6 @@
-"""Classification metrics as long tables: slice, metric, value.
+"""Classification metrics as long tables: slice, total, metric, value.
+
+The slice over all rows is called ``all`` and has ``total`` set.
 
 Every counting metric comes from one pass that combines map-side; what follows
 runs on a handful of count rows.
@@ -73,7 +75,8 @@ def _count_cells(truth: Column, predicted: Column) -> list[Column]:
 
 def confusion(df: DataFrame, label: str, predicted: str, by: Sequence[str] = ()) -> DataFrame:
     """tn, fp, fn, tp for labels 0 and 1."""
-    return df.groupBy(*by).agg(*_count_cells(F.col(label) == 1, F.col(predicted) == 1))
+    truth = known(F.col(label).cast("int"), label) == 1
+    return df.groupBy(*by).agg(*_count_cells(truth, F.col(predicted) == 1))
 
 
 def _rates() -> dict[str, Column]:
@@ -93,17 +96,29 @@ def with_rates(counts: DataFrame) -> DataFrame:
     return counts.withColumns(_rates())
 
 
+def known(label: Column, name: str) -> Column:
+    """The label; a null one is an error, as it is neither positive nor negative."""
+    unknown = F.raise_error(F.lit(f"null in label column {name!r}"))
+    return F.when(label.isNotNull(), label).otherwise(unknown.cast("int"))
+
+
 def _sliced(counts: DataFrame, slice_col: str | None, keys: Sequence[str], sums: Sequence[str]) -> DataFrame:
-    """Counts per slice, plus their total as slice ``all``."""
+    """Counts per slice, plus their total as slice ``all``.
+
+    ``total`` tells it from a slice of the data that has that name too.
+    """
     total = counts.groupBy(*keys).agg(*[F.sum(c).alias(c) for c in sums])
-    total = total.select(F.lit(ALL).alias("slice"), *keys, *sums)
+    total = total.select(F.lit(ALL).alias("slice"), F.lit(True).alias("total"), *keys, *sums)
     if slice_col is None:
         return total
-    parts = counts.select(F.col(slice_col).cast("string").alias("slice"), *keys, *sums)
-    return parts.unionByName(total)
+    name = F.col(slice_col).cast("string").alias("slice")
+    return counts.select(name, F.lit(False).alias("total"), *keys, *sums).unionByName(total)
+
+
+SLICE = ("slice", "total")
 
 
-def _long(wide: DataFrame, metrics: Mapping[str, Column], keys: Sequence[str] = ("slice",)) -> DataFrame:
+def _long(wide: DataFrame, metrics: Mapping[str, Column], keys: Sequence[str] = ("slice", "total")) -> DataFrame:
     """One row per metric out of one column per metric."""
     cells = F.array(
         *[F.struct(F.lit(m).alias("metric"), c.cast("double").alias("value")) for m, c in metrics.items()]
@@ -124,7 +139,7 @@ def binary_metrics(
     ``p0 > 0.5``: an even split counts as unsafe only.
     """
     slices = [slice_col] if slice_col else []
-    truth = F.col(label) == 1
+    truth = known(F.col(label).cast("int"), label) == 1
 
     def view(side: str, place: int, positive: Column) -> Column:
         score = F.element_at(F.col(probs), place).cast("float")
@@ -156,14 +171,14 @@ def binary_metrics(
     )
     rated = with_rates(_sliced(cells, slice_col, ["side"], _CELLS))
     scores = _sliced(at_score, slice_col, ["side", "threshold"], ["pos", "n"])
-    areas = area(curve_points(scores, ["slice", "side"], bucket_rows), ["slice", "side"])
+    areas = area(curve_points(scores, [*SLICE, "side"], bucket_rows), [*SLICE, "side"])
 
     both = rated.unionByName(areas, allowMissingColumns=True)
 
     def of(side: str, metric: str) -> Column:
         return F.max(F.when(F.col("side") == side, F.col(metric)))
 
-    table = both.groupBy("slice").agg(
+    table = both.groupBy(*SLICE).agg(
         of("unsafe", "accuracy").alias("accuracy"),
         *[
             of(side, metric).alias(f"{side}_{metric}")
@@ -189,7 +204,7 @@ def label_confusion(
     slices = [slice_col] if slice_col else []
     rows = df.select(
         *slices,
-        F.transform(F.col(truth), lambda t: F.coalesce(t.cast("double") == 1.0, F.lit(False))).alias("_t"),
+        F.transform(F.col(truth), lambda t: known(t.cast("int"), truth) == 1).alias("_t"),
         F.transform(hard_predict(F.col(probs), thresholds), lambda p: p == 1).alias("_p"),
     )
 
@@ -259,7 +274,7 @@ def multilabel_metrics(
     def any_of(expr: Column) -> Column:
         return F.max(F.when(index == -1, expr))
 
-    wide = rated.groupBy("slice").agg(
+    wide = rated.groupBy(*SLICE).agg(
         F.max(F.when(index == -2, F.col("recall"))).alias("accuracy"),
         *[mean_of(m).alias(f"macro_{m}") for m in ("f1", "precision", "recall")],
         *[sum_of(c).alias(c) for c in _CELLS],
@@ -278,8 +293,8 @@ def multilabel_metrics(
         rated.where(index >= 0)
         .withColumns({"_name": name, "threshold": used})
     )
-    per_label = _long(labels, {m: F.col(m) for m in PER_LABEL_METRICS}, ("slice", "_name")).select(
-        "slice", F.concat_ws("/", "_name", "metric").alias("metric"), "value"
+    per_label = _long(labels, {m: F.col(m) for m in PER_LABEL_METRICS}, (*SLICE, "_name")).select(
+        *SLICE, F.concat_ws("/", "_name", "metric").alias("metric"), "value"
     )
     return overall.unionByName(per_label)
 

@@ -1,4 +1,4 @@
-"""Cut groups that are too long for one string or one task into consecutive parts."""
+"""Texts of a group joined in order, and cut into parts, without one task sorting the group."""
 
 from __future__ import annotations
 
@@ -8,64 +8,79 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-# Rows of a group that may go into one string; a larger group goes into several.
-PART_ROWS = 1_000_000
-# Most large groups that are broadcast. Beyond it they are joined by a shuffle.
-MAX_BROADCAST = 100_000
+from labelsieve.operators.prefix import BUCKET_ROWS, running_totals
 
+# Order values that one piece of a group spans. It decides how the work is spread, not
+# what comes out.
+SPAN = 65_536
 
-def _digest(columns: Sequence[str]) -> list[Column]:
-    """128-bit digest of a key in two longs. Null and position are part of it."""
-    cells = [c for k in columns for c in (F.col(k).isNull(), F.col(k))]
-    return [F.xxhash64(F.lit(seed), *cells) for seed in (1, 2)]
 
+def _whole_number(df: DataFrame, order: str) -> None:
+    if not isinstance(df.schema[order].dataType, T.IntegralType):
+        raise ValueError(f"order column {order!r} must be a whole number")
 
-def with_parts(
+
+def join_in_order(
     df: DataFrame,
     group: Sequence[str],
     order: str,
-    part_rows: int | None = PART_ROWS,
-    whole: Mapping[str, Column] | None = None,
+    text: Column,
+    separator: str,
+    name: str,
+    sums: Mapping[str, Column] | None = None,
+    first: Sequence[str] = (),
+    span: int = SPAN,
 ) -> DataFrame:
-    """Add ``part``: 0, or for a group above ``part_rows`` rows a running number.
-
-    ``order`` is a whole-number column, unique within a group; a part spans
-    ``part_rows`` consecutive order values, so it never holds more rows. ``whole``
-    names aggregates that large groups need over all their parts; they are null
-    elsewhere.
+    """One row per group: its texts joined in order, sums, and the first row's columns.
 
-    Large groups are looked for first, on a digest of the key: two longs and the
-    aggregates are shuffled per group, after a map-side combine. There are at most
-    rows / part_rows of them. Without any the rows pass through; up to
-    ``MAX_BROADCAST`` are broadcast; more are joined by a shuffle, where adaptive
-    execution splits skewed keys. ``part_rows=None`` skips the search, for groups
-    known to be short.
+    ``order`` is a whole-number column, unique within a group; its least value comes
+    out under its own name. Null texts are left out. First the rows of each span of
+    order values are joined, then these pieces: a key with very many rows is sorted by
+    as many tasks as it has spans, and only its finished string is put together in
+    one. A string beyond Spark's row limit fails the job; nothing is ever cut.
     """
-    whole = dict(whole or {})
-    if not isinstance(df.schema[order].dataType, T.IntegralType):
-        raise ValueError(f"order column {order!r} must be a whole number")
-    short = {"part": F.lit(0).cast("long"), **{n: F.lit(None).cast("double") for n in whole}}
-    if part_rows is None:
-        return df.withColumns(short)
-    h1, h2 = _digest(group)
-    large = (
-        df.groupBy(h1.alias("_h1"), h2.alias("_h2"))
+    _whole_number(df, order)
+    sums = dict(sums or {})
+    quoted = separator.replace("\\", "\\\\").replace("'", "\\'").replace("\n", "\\n")
+
+    def joined(column: str, by: str) -> Column:
+        return F.expr(f"listagg(`{column}`, '{quoted}') WITHIN GROUP (ORDER BY `{by}`)")
+
+    rest = F.struct(*[F.col(f"`{c}`") for c in first], F.lit(0).alias("_"))
+    pieces = (
+        df.withColumns({"_text": text, "_rest": rest, "_piece": F.expr(f"`{order}` div {int(span)}")})
+        .withColumns({f"_sum_{n}": c for n, c in sums.items()})
+        .groupBy(*group, "_piece")
         .agg(
-            F.count(F.lit(1)).alias("_size"),
-            F.min(order).alias("_first"),
-            *[c.alias(n) for n, c in whole.items()],
+            F.min(order).alias("_least"),
+            F.min_by("_rest", order).alias("_rest"),
+            joined("_text", order).alias("_text"),
+            *[F.sum(f"_sum_{n}").alias(f"_sum_{n}") for n in sums],
         )
-        .where(F.col("_size") > part_rows)
     )
-    found = large.limit(MAX_BROADCAST + 1).collect()
-    if not found:
-        return df.withColumns(short)
-    if len(found) <= MAX_BROADCAST:
-        large = F.broadcast(df.sparkSession.createDataFrame(found, large.schema))
-    part = F.expr(f"(`{order}` - _first) div {int(part_rows)}")
     return (
-        df.withColumns({"_h1": h1, "_h2": h2})
-        .join(large, ["_h1", "_h2"], "left")
-        .withColumn("part", F.coalesce(part, F.lit(0).cast("long")))
-        .drop("_h1", "_h2", "_size", "_first")
+        pieces.groupBy(*group)
+        .agg(
+            F.min("_least").alias(order),
+            F.min_by("_rest", "_least").alias("_rest"),
+            joined("_text", "_piece").alias(name),
+            *[F.sum(f"_sum_{n}").alias(n) for n in sums],
+        )
+        .select(*group, order, *[F.col(f"_rest.`{c}`").alias(c) for c in first], name, *sums)
     )
+
+
+def with_parts(
+    df: DataFrame, group: Sequence[str], order: str, part_rows: int, bucket_rows: int = BUCKET_ROWS
+) -> DataFrame:
+    """Add ``part``: 0, 1, 2, ... for every ``part_rows`` rows of a group in order.
+
+    The shape is the same for every group, whatever its size. Rows are counted by
+    running totals, so no task sorts a large group.
+    """
+    _whole_number(df, order)
+    if part_rows < 1:
+        raise ValueError(f"a part needs a row at least, got {part_rows}")
+    counted = running_totals(df.withColumn("_one", F.lit(1)), order, ["_one"], group, bucket_rows=bucket_rows)
+    part = F.expr(f"(cum__one - 1) div {int(part_rows)}")
+    return counted.withColumn("part", part).drop("_one", "cum__one", "total__one")

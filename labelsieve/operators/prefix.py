@@ -160,8 +160,36 @@ def running_totals(
 
 
 def with_row_id(
-    df: DataFrame, order: str, name: str = "row_id", bucket_rows: int = BUCKET_ROWS
+    df: DataFrame, order: str | Sequence[str], name: str = "row_id", bucket_rows: int = BUCKET_ROWS
 ) -> DataFrame:
-    """0-based position of each row in the order of a unique column."""
-    counted = running_totals(df.withColumn("_one", F.lit(1)), order, ["_one"], bucket_rows=bucket_rows)
-    return counted.withColumn(name, F.col("cum__one") - 1).drop("_one", "cum__one", "total__one")
+    """0-based position of each row in the order of unique columns.
+
+    With several columns, the first is ordered by totals of its distinct values, and
+    the others number the rows within one value; each is numeric, a date or a timestamp.
+    """
+    columns = [order] if isinstance(order, str) else list(order)
+    if not columns:
+        raise ValueError("no order columns given")
+    return _numbered(df, columns, [], bucket_rows, name)
+
+
+def _numbered(df: DataFrame, columns: Sequence[str], by: Sequence[str], bucket_rows: int, name: str) -> DataFrame:
+    first, rest = columns[0], columns[1:]
+    if not rest:
+        counted = running_totals(df.withColumn("_one", F.lit(1)), first, ["_one"], by, bucket_rows=bucket_rows)
+        return counted.withColumn(name, F.col("cum__one") - 1).drop("_one", "cum__one", "total__one")
+    values = spool(df.groupBy(*by, first).agg(F.count(F.lit(1)).alias("_rows")))
+    before = running_totals(values, first, ["_rows"], by, bucket_rows=bucket_rows).select(
+        *by, first, (F.col("cum__rows") - F.col("_rows")).alias("_before")
+    )
+    inside = _numbered(df, rest, [*by, first], bucket_rows, name)
+    keys = [*by, first]
+    before = before.select(*[F.col(k).alias(f"_key{i}") for i, k in enumerate(keys)], "_before")
+    same = F.lit(True)
+    for i, k in enumerate(keys):
+        same = same & F.col(k).eqNullSafe(F.col(f"_key{i}"))
+    return (
+        inside.join(before, same)
+        .withColumn(name, F.col(name) + F.col("_before"))
+        .drop("_before", *[f"_key{i}" for i in range(len(keys))])
+    )

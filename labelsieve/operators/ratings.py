@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from labelsieve.functions.text import number_text
-from labelsieve.operators.parts import PART_ROWS, with_parts
+from labelsieve.operators.parts import SPAN, join_in_order, with_parts
 from labelsieve.session import require_columns
 
 # Names of the rating table and of the columns derived from it.
@@ -63,40 +63,48 @@ def aggregate_ratings(
     rating: str = RATING,
     order: str = "row_id",
     split: str | None = None,
-    part_rows: int | None = PART_ROWS,
+    span: int = SPAN,
 ) -> DataFrame:
-    """One row per key: first-seen other columns, ratings as text, mean as float32.
+    """One row per key: first-seen other columns, all ratings as text, mean as float32.
 
     ``order`` is a unique whole-number column that says which row came first.
-    ``split`` keeps the named splits apart.
-
-    A string cannot grow without end, and no task should hold a group that does.
-    A group of more than ``part_rows`` ratings therefore comes out as its first
-    row (``part`` 0, complete but for the string's tail) followed by rows that
-    carry only the keys, ``part`` and the next piece of the string. Their mean
-    is null, so :func:`drop_null` on the mean leaves one row per key again.
-    ``part_rows=None`` skips the search for such groups, for data where the
-    number of ratings per text is known to be small.
+    ``split`` keeps the named splits apart. Whatever a group's size, its row holds the
+    mean and the whole string; see :func:`labelsieve.operators.parts.join_in_order`
+    for how a large group is spread, and :func:`rating_parts` for strings that would
+    not fit a row.
     """
     require_columns(df, [*keys, rating, order, *([split] if split else [])], "ratings table")
     group = [*([split] if split else []), *keys]
     rest = [c for c in df.columns if c not in (*group, rating, order)]
-    dtype = df.schema[rating].dataType.typeName()
-
-    first_seen = F.struct(*[F.col(c) for c in rest], F.lit(0).alias("_"))
-    tagged = with_parts(df, group, order, part_rows, {"_mean": F.avg(rating)})
-    mean = F.when(F.first("part") == 0, F.coalesce(F.first("_mean"), F.avg(rating)))
-    text = number_text(F.col(rating), dtype)
-    return (
-        tagged.withColumns({"_text": text, "_rest": F.when(F.col("part") == 0, first_seen)})
-        .groupBy(*group, "part")
-        .agg(
-            F.min(order).alias(order),
-            F.min_by("_rest", order).alias("_rest"),
-            F.expr(f"listagg(_text, ', ') WITHIN GROUP (ORDER BY `{order}`)").alias(JOINED),
-            mean.cast("float").alias(MEAN),
-        )
-        .select(*group, order, *[F.col(f"_rest.`{c}`").alias(c) for c in rest], JOINED, MEAN, "part")
+    value = F.col(rating).cast("double")
+    text = number_text(F.col(rating), df.schema[rating].dataType.typeName())
+    counted = {"_total": value, "_count": value.isNotNull().cast("long")}
+    joined = join_in_order(df, group, order, text, ", ", JOINED, counted, rest, span)
+    mean = F.try_divide("_total", "_count").cast("float")
+    return joined.withColumn(MEAN, mean).drop("_total", "_count")
+
+
+def rating_parts(
+    df: DataFrame,
+    part_rows: int,
+    keys: Sequence[str] = KEYS,
+    rating: str = RATING,
+    order: str = "row_id",
+) -> DataFrame:
+    """The ratings of each key in strings of ``part_rows`` ratings, for keys of any size.
+
+    A row for each key and ``part`` (0, 1, 2, ...): the first ``order`` value, the
+    number of ratings and their string. Joined in order of ``part``, the strings are
+    that of :func:`aggregate_ratings`.
+    """
+    require_columns(df, [*keys, rating, order], "ratings table")
+    text = number_text(F.col(rating), df.schema[rating].dataType.typeName())
+    rated = drop_null(df.select(*keys, rating, order), rating)
+    parts = with_parts(rated, keys, order, part_rows).withColumn("_text", text)
+    return parts.groupBy(*keys, "part").agg(
+        F.min(order).alias(order),
+        F.count(F.lit(1)).alias("n_ratings"),
+        F.expr(f"listagg(_text, ', ') WITHIN GROUP (ORDER BY `{order}`)").alias(JOINED),
     )
 
 
@@ -107,9 +115,8 @@ def prepare_ratings(
     rating: str = RATING,
     order: str = "row_id",
     split: str | None = None,
-    part_rows: int | None = PART_ROWS,
 ) -> DataFrame:
     """Drop unrated rows, apply the cluster filter, aggregate per key."""
     require_columns(df, [rating, *([CLUSTER] if mode != "all" else [])], "ratings table")
     kept = filter_cluster(drop_null(df, rating), mode)
-    return aggregate_ratings(kept, keys, rating, order, split, part_rows)
+    return aggregate_ratings(kept, keys, rating, order, split)

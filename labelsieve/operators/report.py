@@ -15,6 +15,16 @@ MISSING = 0.0
 BEST_TOLERANCE = 1e-3
 
 
+def single_values(metrics: DataFrame) -> DataFrame:
+    """``value`` of each model, slice and metric; one that comes twice is an error."""
+    twice = F.raise_error(F.concat(F.lit("measured twice: "), F.concat_ws(", ", "model", "slice", "metric")))
+    found = metrics.groupBy("model", "slice", "metric").agg(
+        F.any_value("value").alias("value"), F.count(F.lit(1)).alias("_n")
+    )
+    value = F.when(F.col("_n") == 1, F.col("value")).otherwise(twice.cast("double"))
+    return found.withColumn("value", value).drop("_n")
+
+
 def metric_grid(
     metrics: DataFrame, models: Sequence[str], slices: Sequence[str], names: Sequence[str]
 ) -> DataFrame:
@@ -31,12 +41,10 @@ def metric_grid(
         for name in names
     ]
     grid = spark.createDataFrame(cells, "model_rank int, model string, slice string, metric string")
-    wanted = (
+    wanted = single_values(
         metrics.where(
             F.col("model").isin(*models) & F.col("slice").isin(*slices) & F.col("metric").isin(*names)
         )
-        .groupBy("model", "slice", "metric")
-        .agg(F.max("value").alias("value"))
     )
     return grid.join(wanted, ["model", "slice", "metric"], "left").withColumn(
         "value", F.coalesce(F.nanvl("value", F.lit(MISSING)), F.lit(MISSING))

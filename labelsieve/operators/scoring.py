@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterable, Iterator
+import uuid
+from collections.abc import Callable, Iterable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from labelsieve.functions.text import present_text
 from labelsieve.session import require_columns
@@ -20,18 +23,31 @@ BATCH_SIZE = 32
 Model = Callable[[pd.Series], np.ndarray]
 
 
+# The model that this worker process used last.
+_loaded: dict[str, Model] = {}
+
+
+def _model(key: str, load: Callable[[], Model]) -> Model:
+    if key not in _loaded:
+        _loaded.clear()
+        _loaded[key] = load()
+    return _loaded[key]
+
+
 def score_column(
     text: Column, load: Callable[[], Model], batch_size: int = BATCH_SIZE
 ) -> Column:
     """Class scores of each text as ``array<double>``.
 
-    ``load`` runs once per task and returns the model. Only the text crosses into
-    Python, in Arrow batches; within one the texts are taken in order of length,
-    so that texts padded together are of similar length.
+    ``load`` runs once per worker process, which Spark uses again for later tasks, and
+    returns the model. Only the text crosses into Python, in Arrow batches; within one
+    the texts are taken in order of length, so that texts padded together are of
+    similar length.
     """
+    key = uuid.uuid4().hex
 
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        model = load()
+        model = _model(key, load)
         for texts in batches:
             order = np.argsort(texts.str.len().to_numpy(), kind="stable")
             out: list = [None] * len(texts)
@@ -59,32 +75,61 @@ def score(
     return df.withColumn(name, score_column(F.col(text), load, batch_size))
 
 
+def _fields(schema: str | T.StructType) -> T.StructType:
+    return T.StructType.fromDDL(schema) if isinstance(schema, str) else schema
+
+
+# Whole numbers and booleans with nulls stay what they are.
+_NULLABLE = {
+    pa.int8(): pd.Int8Dtype(),
+    pa.int16(): pd.Int16Dtype(),
+    pa.int32(): pd.Int32Dtype(),
+    pa.int64(): pd.Int64Dtype(),
+    pa.bool_(): pd.BooleanDtype(),
+}
+
+
 def map_batches(
     df: DataFrame, fn: Callable[[pd.DataFrame], pd.DataFrame], schema: str | T.StructType
 ) -> DataFrame:
-    """User function over Arrow batches of rows."""
+    """User function over Arrow batches of rows, as frames with nullable types."""
+    out = to_arrow_schema(_fields(schema))
 
-    def run(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield fn(batch)
+            frame = fn(batch.to_pandas(types_mapper=_NULLABLE.get))
+            yield pa.RecordBatch.from_pandas(frame, schema=out, preserve_index=False)
 
-    return df.mapInPandas(run, schema)
+    return df.mapInArrow(run, _fields(schema))
 
 
 def map_rows(df: DataFrame, fn: Callable[[dict], dict], schema: str | T.StructType) -> DataFrame:
-    """User function over single rows, given and returned as dicts."""
-    fields = T.StructType.fromDDL(schema) if isinstance(schema, str) else schema
-    names = fields.fieldNames()
+    """User function over single rows, given and returned as dicts of plain values."""
+    out = to_arrow_schema(_fields(schema))
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_pylist([fn(row) for row in batch.to_pylist()], schema=out)
+
+    return df.mapInArrow(run, _fields(schema))
 
-    def over_batch(batch: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame([fn(row) for row in batch.to_dict("records")], columns=names)
 
-    return map_batches(df, over_batch, fields)
+def filter_rows(
+    df: DataFrame, keep: Callable[[pd.DataFrame], Iterable[bool]], columns: Sequence[str] | None = None
+) -> DataFrame:
+    """Rows that a user function over batches of ``columns`` (all by default) keeps.
+
+    Only these columns are copied to Python, and what comes back is one boolean a row:
+    the rows themselves are never converted.
+    """
+    names = list(df.columns if columns is None else columns)
+    require_columns(df, names)
 
+    def kept(batch: pd.DataFrame) -> pd.Series:
+        return pd.Series(np.asarray(keep(batch), dtype=bool))
 
-def filter_rows(df: DataFrame, keep: Callable[[pd.DataFrame], Iterable[bool]]) -> DataFrame:
-    """Rows that a user function over batches keeps."""
-    return map_batches(df, lambda b: b[np.asarray(keep(b), dtype=bool)], df.schema)
+    kept.__annotations__ = {"batch": pd.DataFrame, "return": pd.Series}
+    return df.where(F.pandas_udf(kept, "boolean")(F.struct(*[F.col(f"`{c}`") for c in names])))
 
 
 def check_same_keys(left: DataFrame, right: DataFrame, on: str) -> None:

@@ -14,7 +14,7 @@ from labelsieve.operators.labels import (
     multi_hot,
     prepare_labelled,
 )
-from labelsieve.operators.ratings import PART_ROWS, drop_null, prepare_ratings
+from labelsieve.operators.ratings import drop_null, prepare_ratings
 from labelsieve.plans.predict_and_flag import MULTI_LABEL, SINGLE_LABEL, check_problem_type
 from labelsieve.session import require_columns
 from labelsieve.sources.tables import load_splits, read_labelled_csv
@@ -42,14 +42,12 @@ def label_ratings(
     cluster_mode: str = "all",
     split: str | None = None,
     order: str = "row_id",
-    part_rows: int | None = PART_ROWS,
 ) -> LabelledData:
     """Filter and aggregate ratings, drop rows without a label source, label the rest."""
     check_problem_type(problem_type)
-    grouped = prepare_ratings(ratings, cluster_mode, order=order, split=split, part_rows=part_rows)
+    grouped = prepare_ratings(ratings, cluster_mode, order=order, split=split)
     require_columns(grouped, [label_column], "grouped ratings")
-    # Rows that only continue a long rating string are no examples of their own.
-    rows = drop_null(grouped.where("part = 0").drop("part"), label_column)
+    rows = drop_null(grouped, label_column)
     if problem_type == SINGLE_LABEL:
         return LabelledData(binarise(rows, label_column, rule), list(BINARY_LABELS))
     labels = label_names(rows, "label")

@@ -3,9 +3,9 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Mapping
+from dataclasses import dataclass
 
-from pyspark.errors import AnalysisException
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from labelsieve.functions import probabilities as P
@@ -17,9 +17,9 @@ from labelsieve.operators.calibration import (
     Calibration,
     confidence_threshold,
 )
-from labelsieve.operators.review import flag_review
+from labelsieve.operators.review import flag_review, review_summary
 from labelsieve.operators.scoring import BATCH_SIZE, Model, remaining, score
-from labelsieve.session import require_columns
+from labelsieve.session import GENERATED, read_if_there, require_columns
 
 # Names of the two problem types.
 SINGLE_LABEL = "single_label_classification"
@@ -107,34 +107,63 @@ def predict_and_flag(
     return flag_review(predict(df, load, id2label, **options), calibration.threshold), calibration
 
 
-def flag_into(
+@dataclass(frozen=True)
+class FlaggedTable:
+    """Flagged rows as stored, their summary, and the threshold behind both."""
+
+    rows: DataFrame
+    summary: DataFrame
+    calibration: Calibration
+
+
+def score_into(
     df: DataFrame,
     out: str,
     load: Callable[[], Model],
     id2label: Mapping[int, str],
-    model: str,
     key: str = "row_id",
     resume: bool = True,
     **options,
-) -> Calibration:
-    """Flag rows into a parquet table, leaving out those it already holds.
+) -> DataFrame:
+    """Score rows into a parquet table, leaving out those it already holds, and read it.
 
-    A repeat after a failure or after new rows scores only what is missing. With
-    ``resume=False`` the table must not exist yet.
+    A repeat after a failure or after new rows scores only what is missing, so the
+    model runs once per row. With ``resume=False`` the table must not exist yet. Ids
+    that a reader numbered itself (see ``read_labelled_csv``) may move when files are
+    added; they are refused for resuming.
     """
     require_columns(df, [key], "input table")
-    done = _read_if_there(df.sparkSession, out) if resume else None
+    spark = df.sparkSession
+    if resume and df.schema[key].metadata.get(GENERATED):
+        raise ValueError(f"{key!r} numbers rows as they were read; resume needs ids that stay")
+    done = read_if_there(lambda: spark.read.parquet(out)) if resume else None
     rest = df if done is None else remaining(df, done, key)
-    flagged, calibration = predict_and_flag(rest, load, id2label, model, **options)
-    flagged.write.mode("append" if resume else "errorifexists").parquet(out)
-    return calibration
-
-
-def _read_if_there(spark: SparkSession, path: str) -> DataFrame | None:
-    try:
-        return spark.read.parquet(path)
-    except AnalysisException as e:
-        # A folder without any finished file has no schema either.
-        if e.getCondition() in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
-            return None
-        raise
+    scored = predict(rest, load, id2label, **options)
+    scored.write.mode("append" if resume else "errorifexists").parquet(out)
+    return spark.read.schema(scored.schema).parquet(out)
+
+
+def flag_into(
+    df: DataFrame,
+    out: str,
+    load: Callable[[], Model],
+    id2label: Mapping[int, str],
+    model: str,
+    key: str = "row_id",
+    resume: bool = True,
+    reference: DataFrame | None = None,
+    alpha: float = ALPHA,
+    default_threshold: float = CONFIDENCE_THRESHOLD,
+    confidence_column: str | None = None,
+    **options,
+) -> FlaggedTable:
+    """Score into ``out``/scores, resuming, and flag all of it into ``out``/flagged.
+
+    Only scoring resumes. The flags of every row, old or new, and the summary come
+    from the stored scores under this call's threshold; ``out``/flagged is replaced.
+    """
+    calibration = confidence_threshold(reference, model, alpha, default_threshold, confidence_column)
+    scored = score_into(df, f"{out}/scores", load, id2label, key, resume, **options)
+    flag_review(scored, calibration.threshold).write.mode("overwrite").parquet(f"{out}/flagged")
+    rows = df.sparkSession.read.parquet(f"{out}/flagged")
+    return FlaggedTable(rows, review_summary(rows), calibration)

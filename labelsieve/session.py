@@ -4,12 +4,15 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _SCRATCH_KEY = "spark.checkpoint.dir"
+# Marks a column of ids that a reader numbered itself; they may move when files are added.
+GENERATED = "labelsieve.generated_id"
 _local_scratch: dict[str, str] = {}
 
 
@@ -47,6 +50,16 @@ def spool(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def read_if_there(read: Callable[[], DataFrame]) -> DataFrame | None:
+    """What ``read`` gives, or None when the folder is absent or has no finished file."""
+    try:
+        return read()
+    except AnalysisException as e:
+        if e.getCondition() in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+            return None
+        raise
+
+
 def fill_cores(df: DataFrame, *keys: str) -> DataFrame:
     """Spread an input that fills fewer tasks than there are cores.
 

@@ -8,8 +8,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from labelsieve.operators.report import MISSING
-from labelsieve.session import require_columns
+from labelsieve.operators.report import MISSING, single_values
+from labelsieve.session import GENERATED, read_if_there, require_columns
 
 # Cell texts that mean "missing" in a CSV file.
 MISSING_CELLS = (
@@ -41,15 +41,17 @@ def read_labelled_csv(
     types: Mapping[str, str] | None = None,
     required: Sequence[str] = (),
     row_id: str | None = None,
+    multi_line: bool = True,
 ) -> DataFrame:
-    """CSV with a header, quoted line breaks and doubled quotes.
+    """CSV with a header and doubled quotes.
 
     Cells read as text; missing-cell texts become null; ``types`` names columns
     to read as numbers, where an unreadable cell becomes null. ``row_id`` adds a
-    unique id that rises in file order. One file with quoted line breaks is read
-    by one task, so write a large one to parquet first (:func:`csv_to_parquet`).
+    unique id of this reading; the ids move when files are added, so the column is
+    marked and cannot be resumed on. A file with quoted line breaks is read by one
+    task; without any, ``multi_line=False`` lets Spark split it.
     """
-    raw = spark.read.csv(path, header=True, multiLine=True, escape='"', quote='"', inferSchema=False)
+    raw = spark.read.csv(path, header=True, multiLine=multi_line, escape='"', quote='"', inferSchema=False)
     require_columns(raw, [*required, *(types or {})], "CSV file")
     typed = types or {}
 
@@ -60,7 +62,7 @@ def read_labelled_csv(
 
     columns = [cell(c) for c in raw.columns]
     if row_id:
-        columns.insert(0, F.monotonically_increasing_id().alias(row_id))
+        columns.insert(0, F.monotonically_increasing_id().alias(row_id, metadata={GENERATED: True}))
     return raw.select(*columns)
 
 
@@ -155,12 +157,16 @@ def write_flagged(df: DataFrame, path: str, fmt: str = "parquet", mode: str = "e
     _write(df, path, fmt, mode)
 
 
-def write_metrics(metrics: DataFrame, path: str, model: str | None = None, mode: str = "append") -> None:
-    """Long metrics, one folder per slice. A few dozen rows per model."""
+def write_metrics(metrics: DataFrame, path: str, model: str | None = None) -> None:
+    """Long metrics, one folder per model and slice. A few dozen rows each.
+
+    What is already there of the same model and slice is replaced, all else stays.
+    """
     if model is not None:
         metrics = metrics.withColumn("model", F.lit(model))
     require_columns(metrics, ["model", "slice", "metric", "value"], "metrics table")
-    metrics.write.mode(mode).partitionBy("slice").json(path)
+    writer = metrics.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+    writer.partitionBy("model", "slice").json(path)
 
 
 def read_metrics(
@@ -171,11 +177,17 @@ def read_metrics(
     names: Sequence[str],
     default: float = MISSING,
 ) -> DataFrame:
-    """Every model x slice x metric asked for; what is not on disk has the default."""
-    stored = spark.read.schema("model string, metric string, value double, slice string").json(path)
+    """Every model x slice x metric asked for; what is not on disk has the default.
+
+    So has all of it if nothing was ever written to ``path``. A metric that is there
+    twice is an error.
+    """
+    schema = "metric string, value double, model string, slice string"
+    stored = read_if_there(lambda: spark.read.schema(schema).json(path))
+    if stored is None:
+        stored = spark.createDataFrame([], schema)
     cells = [(m, s, n) for m in models for s in slices for n in names]
     grid = spark.createDataFrame(cells, "model string, slice string, metric string")
-    latest = stored.groupBy("model", "slice", "metric").agg(F.max("value").alias("value"))
-    return grid.join(latest, ["model", "slice", "metric"], "left").withColumn(
+    return grid.join(single_values(stored), ["model", "slice", "metric"], "left").withColumn(
         "value", F.coalesce("value", F.lit(float(default)))
     )

@@ -119,27 +119,29 @@ def test_mean_is_float32_before_the_rule(spark):
     assert out.first()["label"] == 0
 
 
-def test_large_group_comes_in_whole_parts(spark):
+@pytest.mark.parametrize("gap", [1, 1000])
+def test_large_group_is_one_row_and_parts_count_rows(spark, gap):
     n = 1000
     df = spark.range(n).select(
-        (F.col("id") * 3).alias("row_id"),
+        (F.col("id") * gap).alias("row_id"),
         F.when(F.col("id") % 5 == 0, F.col("id").cast("string")).otherwise("hot").alias("text"),
         F.lit("t").alias("target"),
         F.lit("x").alias("title"),
         (F.col("id") % 7).cast("int").alias("acceptability"),
     )
-    plain = {r["text"]: r for r in rat.aggregate_ratings(df, part_rows=None).collect()}
-    parts = rat.aggregate_ratings(df, part_rows=90).collect()
-    hot = sorted((r for r in parts if r["text"] == "hot"), key=lambda r: r["part"])
-    assert len(hot) > 10
-    assert all(r[rat.JOINED].count(",") < 90 for r in hot)
-    assert ", ".join(r[rat.JOINED] for r in hot) == plain["hot"][rat.JOINED]
-    assert hot[0][rat.MEAN] == plain["hot"][rat.MEAN]
-    assert hot[0]["row_id"] == plain["hot"]["row_id"]
-    assert all(r[rat.MEAN] is None for r in hot[1:])
-    assert {r["text"] for r in parts} == set(plain)
-    kept = rat.drop_null(rat.aggregate_ratings(df, part_rows=90), rat.MEAN)
-    assert kept.count() == len(plain)
+    hot = [k for k in range(n) if k % 5]
+    want = ", ".join(str(k % 7) for k in hot)
+    for span in (7, 100, 65_536):
+        rows = {r["text"]: r for r in rat.aggregate_ratings(df, span=span).collect()}
+        assert len(rows) == 201 and rows["hot"][rat.JOINED] == want
+        assert rows["hot"][rat.MEAN] == pytest.approx(sum(k % 7 for k in hot) / len(hot))
+        assert rows["hot"]["row_id"] == gap
+    parts = [r for r in rat.rating_parts(df, 90).orderBy("part").collect() if r["text"] == "hot"]
+    assert [r["part"] for r in parts] == list(range(9))
+    assert [r["n_ratings"] for r in parts] == [90] * 8 + [80]
+    assert ", ".join(r[rat.JOINED] for r in parts) == want
+    data = label_ratings(df, "single_label_classification", rule="<3", label_column=rat.MEAN)
+    assert {r["text"]: r[rat.JOINED] for r in data.rows.collect()}["hot"] == want
 
 
 def test_null_and_position_tell_keys_apart(spark):
@@ -147,8 +149,10 @@ def test_null_and_position_tell_keys_apart(spark):
         [(i, *k) for i, k in enumerate([("a", None), (None, "a"), ("a", None), (None, "a")] * 5)],
         "row_id long, k string, l string",
     )
-    out = with_parts(df, ["k", "l"], "row_id", 4, {"n_all": F.count(F.lit(1))})
-    assert {r["n_all"] for r in out.collect()} == {10}
+    out = with_parts(df, ["k", "l"], "row_id", 4)
+    assert out.groupBy("k", "l", "part").count().select("part", "count").collect().count((2, 2)) == 2
+    with pytest.raises(ValueError):
+        with_parts(df, ["k"], "l", 4)
 
 
 def test_label_ratings_end_to_end(rated):
@@ -230,16 +234,3 @@ def test_vocabulary():
         lab.check_vocabulary({0: "safe", 1: "unsafe"}, {0: "safe", 1: "other"})
     with pytest.raises(ValueError, match="ids differ"):
         lab.check_vocabulary({0: "safe", 1: "unsafe"}, {1: "safe", 0: "unsafe"})
-
-
-def test_many_large_groups_are_joined_by_shuffle(spark, monkeypatch):
-    from labelsieve.operators import parts
-
-    df = spark.range(600).select(F.col("id"), (F.col("id") % 3).alias("k"))
-    want = sorted((r["id"], r["part"]) for r in with_parts(df, ["k"], "id", 50).collect())
-    assert max(p for _, p in want) == 11
-    monkeypatch.setattr(parts, "MAX_BROADCAST", 2)
-    again = with_parts(df, ["k"], "id", 50)
-    assert sorted((r["id"], r["part"]) for r in again.collect()) == want
-    untouched = with_parts(df, ["k"], "id", 200)
-    assert "Join" not in untouched._jdf.queryExecution().executedPlan().toString()

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from labelsieve.functions import probabilities as P
 from labelsieve.operators import calibration as cal
-from labelsieve.operators import metrics, report
+from labelsieve.operators import curves, metrics, report
 from labelsieve.operators.review import flag_review, flag_tokens, review_summary
 from labelsieve.plans.evaluate import evaluate
 from labelsieve.plans.predict_and_flag import MULTI_LABEL, SINGLE_LABEL, predict_and_flag, with_predictions
@@ -333,3 +333,28 @@ def test_report(spark):
         ("a", "flagged/fpr"): ("0.200", False),
         ("b", "flagged/fpr"): ("0.100", True),
     }
+
+
+@pytest.mark.parametrize("score", [0.9, 0.3])
+def test_null_labels_are_refused(spark, score):
+    # Whether or not the null label's score ties with another row's.
+    rows = [(1, [0.1, 0.9]), (0, [0.8, 0.2]), (None, [1 - score, score])]
+    df = spark.createDataFrame(rows, "y int, p array<double>").withColumn("s", F.element_at("p", 2))
+    for found in (
+        lambda: metrics.binary_metrics(df, "p", "y"),
+        lambda: metrics.confusion(df, "y", "y"),
+        lambda: metrics.label_confusion(df.withColumn("t", F.array("y", F.lit(1))), "p", "t"),
+        lambda: curves.auc_pr(df, "s", "y"),
+    ):
+        with pytest.raises(Exception, match="null in label column"):
+            found().collect()
+
+
+def test_slice_that_has_the_total_s_name(spark):
+    rows = [(1, [0.1, 0.9], "all"), (1, [0.9, 0.1], "it"), (0, [0.8, 0.2], "it")]
+    df = spark.createDataFrame(rows, "y int, p array<double>, g string")
+    found = {
+        (r["slice"], r["total"]): r["value"]
+        for r in metrics.binary_metrics(df, "p", "y", "g").where("metric = 'accuracy'").collect()
+    }
+    assert found[("all", False)] == 1.0 and found[("all", True)] == pytest.approx(2 / 3)
