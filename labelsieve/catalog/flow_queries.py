@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from labelsieve.catalog import fixtures as fx
 from labelsieve.catalog.registry import query, r6, s6, table
+from labelsieve.catalog.text_queries import masked_sql
 from labelsieve.operators import labels as lab
 from labelsieve.operators.perplexity import count_tokens
 from labelsieve.operators.sampling import assign_split
@@ -158,10 +159,18 @@ JOIN ({fx.split_sql(f"({fx.LABELLED})", "doc_id")}) s USING (doc_id) WHERE split
 
 
 @query(f"""
-WITH h AS ({_HELD})
+{masked_sql(f"""SELECT d.doc_id, d.text, s.split FROM ({fx.LABELLED}) d
+                JOIN ({fx.split_sql(f"({fx.LABELLED})", "doc_id")}) s USING (doc_id)""")},
+h AS ({_HELD}),
+p AS (SELECT doc_id, exp(-avg(log_prob)) AS ppl, count(*) AS n, sum(position * length(token)) AS mass,
+             sum(round(log_prob, 6)) AS log_probs
+      FROM tok GROUP BY doc_id)
 SELECT doc_id, y AS label, {s6("p0")} AS stand_in_logit_class_0, {s6("p1")} AS stand_in_logit_class_1,
-       {s6("loss")} AS stand_in_per_item_loss, loss > (SELECT quantile_cont(loss, 0.95) FROM h) AS stand_in_flag_uncertain
-FROM h
+       {s6("loss")} AS stand_in_per_item_loss, loss > (SELECT quantile_cont(loss, 0.95) FROM h) AS stand_in_flag_uncertain,
+       round(coalesce(ppl, 'nan'::DOUBLE), 4) AS stand_in_pseudo_perplexity,
+       CAST(coalesce(n, 0) AS INT) AS n_token_scores, CAST(coalesce(mass, 0) AS BIGINT) AS token_mass,
+       round(coalesce(log_probs, 0), 3) + 0.0 AS sum_log_prob
+FROM h LEFT JOIN p USING (doc_id)
 """)
 def held_out_predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = lab.prepare_labelled(fx.labelled(spark, sf_dir), "text", "toxic", keep=["doc_id"])
@@ -188,6 +197,22 @@ def held_out_predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
             for c in ("stand_in_logit_class_0", "stand_in_logit_class_1", "stand_in_per_item_loss")
         ],
         "stand_in_flag_uncertain",
+        F.round("stand_in_pseudo_perplexity", 4).alias("stand_in_pseudo_perplexity"),
+        F.size("stand_in_token_scores").alias("n_token_scores"),
+        F.aggregate(
+            "stand_in_token_scores",
+            F.lit(0).cast("long"),
+            lambda sum_, t: sum_ + (t["position"] * F.length(t["token"])).cast("long"),
+        ).alias("token_mass"),
+        (
+            F.round(
+                F.aggregate(
+                    "stand_in_token_scores", F.lit(0.0), lambda sum_, t: sum_ + F.round(t["log_prob"], 6)
+                ),
+                3,
+            )
+            + F.lit(0.0)
+        ).alias("sum_log_prob"),
     )
 
 

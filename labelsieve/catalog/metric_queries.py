@@ -11,7 +11,7 @@ from labelsieve.operators import curves, metrics, report
 from labelsieve.operators.sampling import split_part
 from labelsieve.plans.evaluate import evaluate
 from labelsieve.plans.predict_and_flag import MULTI_LABEL, SINGLE_LABEL
-from labelsieve.session import scratch_path
+from labelsieve.session import scratch_path, spool
 from labelsieve.sources.tables import read_metrics, write_metrics
 
 # --- curves, as SQL over points(grp, score, label) ---
@@ -88,7 +88,7 @@ SELECT grp, {s6("score")} AS threshold, CAST(tp AS BIGINT) AS tp, CAST(fp AS BIG
 FROM ({_curve_sql(_EVENTS)})
 """)
 def cumulative_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    counts = curves.score_counts(_event_rows(spark, sf_dir), "value", "label", ["grp"])
+    counts = spool(curves.score_counts(_event_rows(spark, sf_dir), "value", "label", ["grp"]))
     # A low bucket limit, so that each group is cut into several buckets here too.
     return curves.cumulative_counts(counts, ["grp"], bucket_rows=100).select(
         "grp", r6("threshold").alias("threshold"), "tp", "fp", "positives"

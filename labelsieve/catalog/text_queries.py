@@ -11,9 +11,9 @@ from labelsieve.functions import text as txt
 from labelsieve.operators.calibration import above, ppl_threshold
 from labelsieve.operators.chat import render_chat
 from labelsieve.operators.perplexity import array_perplexity, count_tokens, score_tokens, text_perplexity
-from labelsieve.operators.review import flag_tokens, high_token_count
+from labelsieve.operators.review import flag_review, flag_tokens, high_token_count
 from labelsieve.operators.sampling import assign_split
-from labelsieve.session import fill_cores
+from labelsieve.session import fill_cores, spool
 
 _TEMPLATE = "### Text:\n{text}\n### {{text}} {{{text}}}"
 _CHAT = ("<user>\n", "\n</user>")
@@ -63,13 +63,15 @@ _LIMIT = 512
 SELECT doc_id, CAST(len(ts) AS INT) AS n_tokens, CAST(least(len(ts), {_LIMIT}) AS INT) AS n_kept,
        md5(array_to_string(ts[1:{_LIMIT}], ' ')) AS kept, len(ts) > {_LIMIT} AS truncated,
        CAST({_LIMIT} AS INT) AS n_padded,
-       md5(array_to_string(ts[1:{_LIMIT}], ' ') || repeat(' <pad>', greatest(0, {_LIMIT} - CAST(len(ts) AS INT)))) AS padded
-FROM (SELECT doc_id, {_TOKENS} AS ts FROM documents) WHERE len(ts) > 0
+       md5(array_to_string(ts[1:{_LIMIT}] || list_transform(range(greatest(0, {_LIMIT} - len(ts))), lambda k: '<pad>'), ' '))
+         AS padded
+FROM (SELECT doc_id, {_TOKENS} AS ts FROM documents)
 """)
 def token_truncate(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = fill_cores(table(spark, sf_dir, "documents").select("doc_id", "text"))
-    rows = docs.withColumn("ts", txt.tokens(F.col("text"))).where(F.size("ts") > 0)
-    return txt.tokenize(rows, "text", _LIMIT, "max_length").select(
+    # The array is read several times below; a generator hands it on as a value.
+    rows = docs.select("doc_id", F.explode(F.array(txt.tokens(F.col("text")))).alias("ts"))
+    return txt.tokenize(rows, "text", _LIMIT, "max_length", words="ts").select(
         "doc_id",
         F.size("ts").alias("n_tokens"),
         F.aggregate("attention_mask", F.lit(0), lambda acc, x: acc + x).alias("n_kept"),
@@ -98,9 +100,10 @@ def token_lengths(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # --- perplexity: counts from the training part, scores for the test part ---
 
-_SCORED = f"""
-WITH docs AS (SELECT d.doc_id, s.split, {_TOKENS} AS ts
-              FROM documents d JOIN ({fx.split_sql("documents", "doc_id")}) s USING (doc_id)),
+def masked_sql(docs: str) -> str:
+    """``docs``, ``occ`` and ``tok``, token scores of the test part of (doc_id, text, split) rows."""
+    return f"""
+WITH docs AS (SELECT doc_id, split, {_TOKENS} AS ts FROM ({docs})),
 occ AS (SELECT doc_id, split, CAST(i AS INT) AS position, ts[i] AS w,
                coalesce(CASE WHEN i > 1 THEN ts[i - 1] END, '<s>') AS l, coalesce(ts[i + 1], '</s>') AS r
         FROM (SELECT *, unnest(range(1, len(ts) + 1)) AS i FROM docs)),
@@ -115,6 +118,11 @@ tok AS (SELECT doc_id, position, w AS token,
 """
 
 
+_SCORED = masked_sql(
+    f"SELECT d.doc_id, d.text, s.split FROM documents d JOIN ({fx.split_sql('documents', 'doc_id')}) s USING (doc_id)"
+)
+
+
 def _token_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     parts = assign_split(table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id")
     counts = count_tokens(parts.where(F.col("split") == "train"))
@@ -148,13 +156,49 @@ def masked_perplexity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"""
 {_SCORED}, doc AS (SELECT doc_id, exp(-avg(log_prob)) AS ppl FROM tok GROUP BY doc_id)
-SELECT doc_id, ppl > (SELECT quantile_cont(ppl, 0.95) FROM doc) AS flag_high_ppl FROM doc
+SELECT doc_id, coalesce(ppl > (SELECT quantile_cont(ppl, 0.95) FROM doc), false) AS flag_high_ppl,
+       coalesce(ppl > 4000, false) AS flag_absolute,
+       coalesce(ppl > (SELECT quantile_cont(ppl, 0.8) FROM doc), false) AS flag_reference
+FROM (SELECT doc_id FROM docs WHERE split = 'test') LEFT JOIN doc USING (doc_id)
 """, "ppl_threshold")
 def ppl_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
-    per_doc = text_perplexity(_token_scores(spark, sf_dir), "doc_id")
-    per_doc = per_doc.where(~F.isnan("pseudo_perplexity"))
-    cut = ppl_threshold(per_doc, "pseudo_perplexity")
-    return per_doc.select("doc_id", above(F.col("pseudo_perplexity"), cut).alias("flag_high_ppl"))
+    # The quantile passes and the result all read it.
+    per_doc = spool(text_perplexity(_token_scores(spark, sf_dir), "doc_id"))
+    scored = per_doc.where(~F.isnan("pseudo_perplexity"))
+    reference = scored.withColumnRenamed("pseudo_perplexity", "m_pseudo_perplexity")
+    cuts = {
+        "flag_high_ppl": ppl_threshold(scored, "pseudo_perplexity"),
+        "flag_absolute": ppl_threshold(scored, "pseudo_perplexity", absolute=4000.0),
+        "flag_reference": ppl_threshold(
+            scored, "pseudo_perplexity", percentile=80.0, reference=reference, model="m"
+        ),
+    }
+    return per_doc.select(
+        "doc_id", *[above(F.col("pseudo_perplexity"), cut).alias(name) for name, cut in cuts.items()]
+    )
+
+
+@query(f"""
+{_SCORED}, doc AS (SELECT doc_id, exp(-avg(log_prob)) AS ppl FROM tok GROUP BY doc_id),
+f AS (SELECT doc_id, least(length(text), 4000) / 4000.0 < 0.5 AS low,
+             coalesce(ppl > (SELECT quantile_cont(ppl, 0.8) FROM doc), false) AS high
+      FROM documents JOIN (SELECT doc_id FROM docs WHERE split = 'test') USING (doc_id) LEFT JOIN doc USING (doc_id))
+SELECT doc_id, low AS flag_low_confidence, high AS flag_high_ppl, low OR high AS manual_review,
+       concat_ws(',', CASE WHEN low THEN 'low_confidence' END, CASE WHEN high THEN 'high_pseudo_perplexity' END)
+         AS manual_review_reason
+FROM f
+""")
+def review_flags_ppl(spark: SparkSession, sf_dir: str) -> DataFrame:
+    # A stand-in confidence by length, so that each reason occurs alone and both together.
+    per_doc = spool(text_perplexity(_token_scores(spark, sf_dir), "doc_id"))
+    cut = ppl_threshold(per_doc.where(~F.isnan("pseudo_perplexity")), "pseudo_perplexity", percentile=80.0)
+    rows = table(spark, sf_dir, "documents").select(
+        "doc_id", (F.least(F.length("text"), F.lit(4000)) / 4000.0).alias("sure")
+    )
+    flagged = flag_review(rows.join(per_doc, "doc_id"), 0.5, "sure", "pseudo_perplexity", cut)
+    return flagged.select(
+        "doc_id", "flag_low_confidence", "flag_high_ppl", "manual_review", "manual_review_reason"
+    )
 
 
 _TOKEN_CUT = 4321.5
@@ -164,11 +208,11 @@ _TOKEN_CUT = 4321.5
 {_SCORED}
 SELECT doc_id, CAST(count(*) FILTER (exp(-log_prob) > {_TOKEN_CUT}) AS INT) AS n_high,
        count(*) FILTER (exp(-log_prob) > {_TOKEN_CUT}) >= 3 AS flag_many_high_ppl_tokens
-FROM tok GROUP BY doc_id
+FROM (SELECT doc_id FROM docs WHERE split = 'test') LEFT JOIN tok USING (doc_id) GROUP BY doc_id
 """)
 def token_ppl_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
     per_doc = text_perplexity(_token_scores(spark, sf_dir), "doc_id", with_tokens=True)
-    return per_doc.where(F.size("token_scores") > 0).select(
+    return per_doc.select(
         "doc_id",
         high_token_count(F.col("token_scores"), _TOKEN_CUT).alias("n_high"),
         flag_tokens(F.col("token_scores"), _TOKEN_CUT, 3).alias("flag_many_high_ppl_tokens"),

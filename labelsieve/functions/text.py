@@ -91,11 +91,17 @@ def tokenize(
     eos: str | None = None,
     ids: str = "tokens",
     mask: str = "attention_mask",
+    words: str | None = None,
 ) -> DataFrame:
-    """Add tokens and their mask: end marker, cut to ``max_length``, optional filling."""
+    """Add tokens and their mask: end marker, cut to ``max_length``, optional filling.
+
+    ``words`` names a column that already holds all tokens of the marked text, so that
+    it is not cut a second time.
+    """
     if padding not in (False, None, "do_not_pad", "max_length"):
         raise ValueError("padding is False or 'max_length'")
-    df = df.withColumn(ids, truncate(tokens(append_eos(F.col(text), eos)), max_length))
+    whole = tokens(append_eos(F.col(text), eos)) if words is None else F.col(words)
+    df = df.withColumn(ids, truncate(whole, max_length))
     toks = F.col(ids)
     if padding == "max_length":
         return df.withColumns({ids: pad(toks, max_length), mask: attention_mask(toks, max_length)})

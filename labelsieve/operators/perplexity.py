@@ -21,6 +21,14 @@ TEXT_START = "<s>"
 TEXT_END = "</s>"
 
 _TRIPLE = ["prev", "token", "next"]
+_DIGEST = ["_d1", "_d2"]
+
+
+def _with_digest(rows: DataFrame) -> DataFrame:
+    """128 bits that stand for a triple where its strings would be shuffled; null without token."""
+    return rows.withColumns(
+        {name: F.when(F.col("token").isNotNull(), F.xxhash64(F.lit(name), *_TRIPLE)) for name in _DIGEST}
+    )
 
 
 def token_rows(df: DataFrame, text: str, keep: list[str]) -> DataFrame:
@@ -87,13 +95,16 @@ def score_tokens(
 ) -> DataFrame:
     """``key``, ``position`` (from 1), ``token``, ``log_prob``, ``token_ppl``.
 
-    Each distinct triple is scored once, then handed to its occurrences. The
-    texts are cut into tokens twice rather than kept as tokens, which take
-    several times the room. A text without tokens keeps one row of nulls.
+    Each distinct triple is scored once, then handed to its occurrences by a digest,
+    so that neighbours are not shuffled with every occurrence. The texts are cut into
+    tokens twice rather than kept as tokens, which take several times the room. A
+    text without tokens keeps one row of nulls.
     """
-    rows = token_rows(fill_cores(df, key), text, [key])
+    rows = _with_digest(token_rows(fill_cores(df, key), text, [key]))
     distinct = spool(
-        rows.where(F.col("token").isNotNull()).groupBy(*_TRIPLE).agg(F.count(F.lit(1)).alias("n"))
+        rows.where(F.col("token").isNotNull())
+        .groupBy(*_DIGEST)
+        .agg(*[F.any_value(c).alias(c) for c in _TRIPLE], F.count(F.lit(1)).alias("n"))
     )
     size = distinct.agg(F.count(F.lit(1)).alias("triples"), F.sum("n").alias("tokens")).first()
     seen = distinct.drop("n").join(counts.triples, _TRIPLE, "left")
@@ -106,9 +117,15 @@ def score_tokens(
     p = (F.coalesce(F.col("c_triple"), F.lit(0)) + share) / (
         F.coalesce(F.col("c_context"), F.lit(0)) + F.lit(float(a))
     )
-    scored = seen.select(*_TRIPLE, F.ln(p).alias("log_prob"))
+    scored = seen.select(*_DIGEST, F.ln(p).alias("log_prob"))
     joined = lookup_join(
-        rows, scored, _TRIPLE, [key, "position"], size["tokens"] or 0, hot_rows, key_counts=distinct
+        rows.drop("prev", "next"),
+        scored,
+        _DIGEST,
+        [key, "position"],
+        size["tokens"] or 0,
+        hot_rows,
+        key_counts=distinct,
     )
     return joined.select(
         key, "position", "token", "log_prob", F.exp(-F.col("log_prob")).alias("token_ppl")

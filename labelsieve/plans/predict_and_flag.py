@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Mapping
 from dataclasses import dataclass
+from typing import Protocol
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -26,6 +27,12 @@ SINGLE_LABEL = "single_label_classification"
 MULTI_LABEL = "multi_label_classification"
 
 
+class Classifier(Protocol):
+    """A fitted model that scores a frame itself."""
+
+    def logits(self, df: DataFrame, text: str = "text") -> DataFrame: ...
+
+
 def check_problem_type(problem_type: str) -> None:
     if problem_type not in (SINGLE_LABEL, MULTI_LABEL):
         raise ValueError(f"problem type {problem_type!r} is none of {(SINGLE_LABEL, MULTI_LABEL)}")
@@ -70,7 +77,7 @@ def with_predictions(
 
 def predict(
     df: DataFrame,
-    load: Callable[[], Model],
+    load: Callable[[], Model] | Classifier,
     id2label: Mapping[int, str],
     text: str = "text",
     problem_type: str = SINGLE_LABEL,
@@ -79,17 +86,24 @@ def predict(
     chat: tuple[str, str] | None = None,
     batch_size: int = BATCH_SIZE,
 ) -> DataFrame:
-    """Prompt, score and decide. ``text`` in the result is what the model saw."""
+    """Prompt, score and decide. ``text`` in the result is what the model saw.
+
+    ``load`` is the loader of a model, or a fitted classifier (anything with
+    ``logits(df, text)``), which then scores in the JVM.
+    """
     require_columns(df, [text], "input table")
     check_problem_type(problem_type)
     prompted = df.withColumn("text", format_prompt(present_text(F.col(text)), template, chat))
-    scored = score(prompted, "text", load, batch_size)
+    if hasattr(load, "logits"):
+        scored = load.logits(prompted, "text")
+    else:
+        scored = score(prompted, "text", load, batch_size)
     return with_predictions(scored, id2label, problem_type, multi_label_threshold)
 
 
 def predict_and_flag(
     df: DataFrame,
-    load: Callable[[], Model],
+    load: Callable[[], Model] | Classifier,
     id2label: Mapping[int, str],
     model: str,
     reference: DataFrame | None = None,
@@ -119,7 +133,7 @@ class FlaggedTable:
 def score_into(
     df: DataFrame,
     out: str,
-    load: Callable[[], Model],
+    load: Callable[[], Model] | Classifier,
     id2label: Mapping[int, str],
     key: str = "row_id",
     resume: bool = True,
@@ -146,7 +160,7 @@ def score_into(
 def flag_into(
     df: DataFrame,
     out: str,
-    load: Callable[[], Model],
+    load: Callable[[], Model] | Classifier,
     id2label: Mapping[int, str],
     model: str,
     key: str = "row_id",

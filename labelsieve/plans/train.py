@@ -6,14 +6,15 @@ from collections.abc import Sequence
 from dataclasses import dataclass
 
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import LogisticRegression
+from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel
 from pyspark.ml.feature import IDF, HashingTF, RegexTokenizer
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from labelsieve.functions.text import TOKEN_BREAK, format_prompt, present_text
-from labelsieve.operators.labels import append_train
+from labelsieve.operators.labels import append_train, label_distribution
+from labelsieve.operators.metrics import mean_cross_entropy
 from labelsieve.operators.sampling import assign_split
 from labelsieve.plans.evaluate import evaluate, tuned_thresholds
 from labelsieve.plans.predict_and_flag import MULTI_LABEL, SINGLE_LABEL, check_problem_type, probabilities
@@ -43,6 +44,24 @@ class TextClassifier:
             scores = F.array(*marks)
         return rows.select(*[F.col(f"`{c}`") for c in kept], scores.alias(name))
 
+    def save(self, path: str) -> None:
+        """The fitted stages in folders below ``path``, which must not exist yet."""
+        spark = SparkSession.active()
+        spark.createDataFrame([(self.problem_type, len(self.heads))], _ABOUT).coalesce(1).write.json(f"{path}/about")
+        self.features.save(f"{path}/features")
+        for i, head in enumerate(self.heads):
+            head.save(f"{path}/head{i}")
+
+    @staticmethod
+    def load(path: str) -> TextClassifier:
+        """What :meth:`save` wrote, for a job of its own."""
+        about = SparkSession.active().read.schema(_ABOUT).json(f"{path}/about").first()
+        heads = tuple(LogisticRegressionModel.load(f"{path}/head{i}") for i in range(about["n_heads"]))
+        return TextClassifier(PipelineModel.load(f"{path}/features"), heads, about["problem_type"])
+
+
+_ABOUT = "problem_type string, n_heads int"
+
 
 def fit_text_classifier(
     train: DataFrame,
@@ -86,10 +105,14 @@ def fit_text_classifier(
 
 @dataclass(frozen=True)
 class TrainingRun:
+    """The model, its metrics, the split rows, label counts by part, and the eval loss."""
+
     classifier: TextClassifier
     eval_metrics: DataFrame
     test_metrics: DataFrame
     parts: DataFrame
+    label_counts: DataFrame
+    eval_loss: DataFrame | None
 
 
 def train_text_classifier(
@@ -115,10 +138,16 @@ def train_text_classifier(
     then those of the eval part.
     """
     prompted = df.withColumn(text, format_prompt(F.col(text), template, chat))
-    parts = assign_split(prompted, key, test_ratio, eval_ratio, seed)
+    # Fitting, counting and scoring all read the split rows; what they come from is read once.
+    parts = spool(assign_split(spool(prompted), key, test_ratio, eval_ratio, seed))
+    counts = label_distribution(parts, label, by=["split"])
     train = parts.where(F.col("split") == "train").select(text, label)
     if extra is not None:
-        train = append_train(train, extra.select(text, label))
+        added = spool(extra.select(text, label))
+        train = append_train(train, added)
+        for name, rows in (("extra", added), ("train and extra", train)):
+            counted = label_distribution(rows.withColumn("split", F.lit(name)), label, by=["split"])
+            counts = counts.unionByName(counted)
     classifier = fit_text_classifier(train, problem_type, len(labels), text, label, **fit_options)
 
     held = parts.where(F.col("split") != "train")
@@ -136,4 +165,5 @@ def train_text_classifier(
         evaluate(part, problem_type, labels, "probs", label, thresholds=thresholds)
         for part in (held_eval, held_test)
     ]
-    return TrainingRun(classifier, judged[0], judged[1], parts)
+    loss = mean_cross_entropy(held_eval, "probs", label) if problem_type == SINGLE_LABEL else None
+    return TrainingRun(classifier, judged[0], judged[1], parts, counts, loss)

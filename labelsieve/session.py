@@ -35,7 +35,22 @@ def scratch_dir(spark: SparkSession) -> str:
 
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A path below the shared folder that nobody else uses."""
-    return f"{scratch_dir(spark).rstrip('/')}/labelsieve/{name}-{uuid.uuid4().hex}"
+    return f"{_own_scratch(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def _own_scratch(spark: SparkSession) -> str:
+    return f"{scratch_dir(spark).rstrip('/')}/labelsieve/{spark.sparkContext.applicationId}"
+
+
+def release(spark: SparkSession) -> None:
+    """Delete what this application has written to the shared folder.
+
+    Call it when the job is done: results that were not written elsewhere still read
+    from there.
+    """
+    jvm = spark.sparkContext._jvm
+    path = jvm.org.apache.hadoop.fs.Path(_own_scratch(spark))
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def spool(df: DataFrame) -> DataFrame:

@@ -11,7 +11,7 @@ from pyspark.sql.streaming import StreamingQuery
 from labelsieve.operators.calibration import CONFIDENCE_THRESHOLD
 from labelsieve.operators.review import flag_review
 from labelsieve.operators.scoring import Model
-from labelsieve.plans.predict_and_flag import predict
+from labelsieve.plans.predict_and_flag import Classifier, predict
 
 
 def read_text_stream(
@@ -28,7 +28,7 @@ def stream_flags(
     source: DataFrame,
     out: str,
     checkpoint: str,
-    load: Callable[[], Model],
+    load: Callable[[], Model] | Classifier,
     id2label: Mapping[int, str],
     threshold: float = CONFIDENCE_THRESHOLD,
     available_now: bool = True,

@@ -16,9 +16,9 @@ from labelsieve.operators.perplexity import MaskedCounts, array_perplexity, coun
 from labelsieve.operators.scoring import attach, filter_rows, map_batches, map_rows, remaining, score
 from labelsieve.operators.skew import lookup_join
 from labelsieve.plans.labelled_data import load_labelled, load_labelled_csv
-from labelsieve.plans.predict_and_flag import flag_into
-from labelsieve.plans.train import train_text_classifier
-from labelsieve.session import scratch_dir, spool
+from labelsieve.plans.predict_and_flag import flag_into, predict_and_flag
+from labelsieve.plans.train import TextClassifier, train_text_classifier
+from labelsieve.session import release, scratch_dir, spool
 from labelsieve.sources import tables
 from labelsieve.streaming.flags import read_text_stream, stream_flags
 
@@ -448,3 +448,27 @@ def test_no_python_outside_the_hooks():
                 with open(os.path.join(folder, name), encoding="utf-8") as f:
                     code = f.read()
                 assert not re.search(r"pandas_udf|mapInPandas|applyInPandas|\.rdd\b|F\.udf|localCheckpoint", code), name
+
+
+def test_saved_classifier_scores_in_the_flows(spark, tmp_path):
+    run = train_text_classifier(labelled(spark), ["safe", "unsafe"], n_features=1 << 10, max_iter=10)
+    counts = {(r["split"], r["label"]): r["n_rows"] for r in run.label_counts.collect()}
+    assert sum(counts.values()) == run.parts.count() and {s for s, _ in counts} == {"train", "eval", "test"}
+    assert run.eval_loss.first()["eval_loss"] > 0.0
+    run.classifier.save(str(tmp_path / "model"))
+    back = TextClassifier.load(str(tmp_path / "model"))
+    rows = run.parts.select("row_id", "text")
+    want, _ = predict_and_flag(rows, run.classifier, ID2LABEL, "m")
+    got, _ = predict_and_flag(rows, back, ID2LABEL, "m")
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+    assert "Python" not in got._jdf.queryExecution().executedPlan().toString()
+
+
+def test_release(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr("labelsieve.session.scratch_dir", lambda _: str(tmp_path))
+    other = tmp_path / "labelsieve" / "another-application"
+    other.mkdir(parents=True)
+    kept = spool(spark.range(3))
+    assert kept.count() == 3 and len(list((tmp_path / "labelsieve").iterdir())) == 2
+    release(spark)
+    assert [f.name for f in (tmp_path / "labelsieve").iterdir()] == ["another-application"]
