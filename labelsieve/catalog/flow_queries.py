@@ -235,3 +235,20 @@ def train_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return run.eval_metrics.withColumn("part", F.lit("eval")).unionByName(
         run.test_metrics.withColumn("part", F.lit("test"))
     )
+
+
+@query(f"""
+WITH l AS (SELECT doc_id, toxic AS label, split FROM ({fx.LABELLED})
+           JOIN ({fx.split_sql(f"({fx.LABELLED})", "doc_id")}) USING (doc_id))
+SELECT split, label, count(*) AS n_rows FROM l GROUP BY ALL
+UNION ALL SELECT 'extra', quality, count(*) FROM ({fx.LABELLED}) GROUP BY quality
+UNION ALL SELECT 'train and extra', label, count(*)
+FROM (SELECT label FROM l WHERE split = 'train' UNION ALL SELECT quality FROM ({fx.LABELLED})) GROUP BY label
+""")
+def train_label_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = lab.prepare_labelled(fx.labelled(spark, sf_dir), "text", "toxic", keep=["doc_id"])
+    extra = lab.prepare_labelled(fx.labelled(spark, sf_dir), "text", "quality")
+    run = train_text_classifier(
+        rows, ["safe", "unsafe"], key="doc_id", extra=extra, n_features=1 << 12, max_iter=2
+    )
+    return run.label_counts.select("split", "label", "n_rows")
