@@ -13,11 +13,25 @@ QUERIES: dict[str, Query] = {}
 SQL: dict[str, str] = {}
 
 
-def query(fn: Query) -> Query:
+def query(fn: Query, sql: str | None = None) -> Query:
     QUERIES[fn.__name__] = fn
+    if sql is not None:
+        SQL[fn.__name__] = sql
     return fn
 
 
+def _words_sql(text: str, gap: str) -> str:
+    return f"list_filter(regexp_split_to_array(lower({text}), '{gap}'), lambda w: w <> '')"
+
+
+# What is neither a letter nor a digit.
+_NOT_WORD = r"[^\p{L}\p{N}]+"
+
+
+def _quoted(text: str) -> str:
+    return "'" + text.replace("'", "''") + "'"
+
+
 @query
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tokens of each document, and whether they exceed the limit."""
@@ -39,12 +53,29 @@ def op6_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.predict_documents(docs, language.fit_on(docs))
 
 
-@query
+# All pairs that share a shingle, then what links connect.
+_NEAR_SQL = f"""
+WITH RECURSIVE w AS (SELECT doc_id, {_words_sql("text", "[[:space:]]+")} AS ws FROM documents),
+s AS (SELECT DISTINCT doc_id, CASE WHEN len(ws) < 5 THEN array_to_string(ws, ' ') ELSE array_to_string(ws[i : i + 4], ' ') END AS g
+      FROM (SELECT doc_id, ws, unnest(range(1, greatest(len(ws) - 4, 1) + 1)) AS i FROM w WHERE len(ws) > 0)),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM s a JOIN s b USING (g) WHERE a.doc_id <> b.doc_id GROUP BY ALL),
+l AS (SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE c >= 0.8 * (x.n + y.n - c) - 1e-9),
+reach(a, b) AS (SELECT doc_id, doc_id FROM documents UNION SELECT r.a, l.b FROM reach r JOIN l ON l.a = r.b)
+SELECT doc_id, class_id, coalesce(links, 0) AS links
+FROM (SELECT a AS doc_id, min(b) AS class_id FROM reach GROUP BY a)
+LEFT JOIN (SELECT a AS doc_id, count(*) AS links FROM l GROUP BY a) USING (doc_id)
+"""
+
+
 def op8_near_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Class and number of links of each document, five words, similarity 0.8."""
     return near.join_documents(table(spark, sf_dir, "documents"))
 
 
+query(op8_near_join, _NEAR_SQL)
+
+
 @query
 def op1_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprints of each document and its edited text, and how alike they are."""
@@ -75,7 +106,28 @@ def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
-@query
+_NOTICES_SQL = ", ".join(
+    f"({_quoted(name)}, {_quoted(notice)})" for name, notices in licenses.NOTICES.items() for notice in notices
+)
+_LICENSE_SQL = f"""
+WITH n AS (SELECT license, notice, {_words_sql("notice", _NOT_WORD)} AS ws
+           FROM (VALUES {_NOTICES_SQL}) t(license, notice)),
+ns AS (SELECT DISTINCT license, notice, array_to_string(ws[i : i + 4], ' ') AS g
+       FROM (SELECT *, unnest(range(1, len(ws) - 3)) AS i FROM n)),
+size AS (SELECT license, notice, count(*) AS n FROM ns GROUP BY ALL),
+d AS (SELECT doc_id, {_words_sql("text", _NOT_WORD)} AS ws FROM documents),
+ds AS (SELECT DISTINCT doc_id, g FROM (SELECT doc_id, array_to_string(ws[i : i + 4], ' ') AS g
+       FROM (SELECT *, unnest(range(1, len(ws) - 3)) AS i FROM d)) WHERE g IN (SELECT g FROM ns)),
+c AS (SELECT doc_id, license, notice, count(*) AS k FROM ds JOIN ns USING (g) GROUP BY ALL)
+SELECT doc_id, license, max(k / n) AS containment FROM c JOIN size USING (license, notice)
+WHERE k / n >= 0.8 GROUP BY doc_id, license
+"""
+
+
 def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Licenses that documents have a notice of."""
-    return licenses.scan(table(spark, sf_dir, "documents"), licenses.templates(spark))
+    found = licenses.scan(table(spark, sf_dir, "documents"), licenses.templates(spark))
+    return found.select("doc_id", "license", "containment")
+
+
+query(op3_license_scan, _LICENSE_SQL)
