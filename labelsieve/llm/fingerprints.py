@@ -19,9 +19,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from labelsieve.llm.buckets import bucket_links
 from labelsieve.llm.graph import components
 from labelsieve.llm.texts import chunks, codepoints, mix, plain, salts
 from labelsieve.llm.walks import Walks
+from labelsieve.session import spool
 
 # Steps that are all sampled, and samples of each doubling beyond.
 DENSE = 64
@@ -29,7 +31,8 @@ SPARSE = 32
 DOUBLINGS = 40
 # Bands, and signs of a band. A pair of likeness 0.8 meets with probability 0.98.
 BANDS = 24
-BAND_SIGNS = 9
+BAND_SIGNS = 8
+LIKE = 0.8
 # Characters that are walked at a time.
 AT_ONCE = 2_000_000
 
@@ -70,6 +73,90 @@ def likeness(a: np.ndarray, b: np.ndarray) -> float:
     return float(WEIGHTS[:both][a[:both] == b[:both]].sum() / _REACH[either])
 
 
+_bands: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+
+
+def _band_steps(level: int) -> tuple[np.ndarray, np.ndarray]:
+    """Signs that the bands sample of a walk through ``level`` doublings, and multipliers.
+
+    A sign is drawn as often as the steps that it stands for.
+    """
+    if level not in _bands:
+        n = DENSE + SPARSE * level
+        draws = (salts(BANDS * BAND_SIGNS, 300 + level) >> np.uint64(11)).astype(np.float64) / float(1 << 53)
+        at = np.searchsorted(_REACH[1 : n + 1], draws * _REACH[n], side="right")
+        _bands[level] = np.minimum(at, n - 1).reshape(BANDS, BAND_SIGNS), salts(BAND_SIGNS + 1, 400 + level)
+    return _bands[level]
+
+
+def band_keys(print_: np.ndarray) -> np.ndarray:
+    """A key for each band, at the two lengths that a similar fingerprint may have.
+
+    Likeness ``LIKE`` leaves walks within one doubling of each other; the keys of even
+    and odd doublings have their own places, so that equal places can be compared.
+    """
+    level = max(0, (len(print_) - DENSE) // SPARSE)
+    padded = np.zeros(DENSE + SPARSE * level, np.uint64)
+    some = print_[: len(padded)]
+    padded[: len(some)] = some
+    keys = np.empty((2, BANDS), np.uint64)
+    with np.errstate(over="ignore"):
+        for here in (level, level - 1):
+            # Below the first doubling there is none; the own digest meets nothing else.
+            at, salt = _band_steps(max(here, 0))
+            sums = (padded[at] * salt[:-1]).sum(axis=1, dtype=np.uint64)
+            if here < 0:
+                sums = sums + (padded * salts(len(padded), 9)).sum(dtype=np.uint64) + np.uint64(1)
+            keys[here % 2] = mix(sums + salt[-1] * np.uint64(here + 2) + np.arange(BANDS, dtype=np.uint64))
+    return keys.ravel().view(np.int64)
+
+
+def _prints(payload: list[str]) -> list[np.ndarray]:
+    return [np.frombuffer(p.encode(), np.uint8) for p in payload]
+
+
+def near_copies(prints: DataFrame, least: float = LIKE) -> DataFrame:
+    """``doc_id``, ``class_id``, ``links`` of ``doc_id`` and ``fingerprint`` rows.
+
+    Fingerprints that share a band are compared; those with a likeness of ``least``
+    (``LIKE`` or more) are linked. Equal ones are one node with a weight, so copies
+    cost nothing; ``links`` counts them too. A class is named by its least id. A null
+    fingerprint is no copy of anything, and null ids belong to their classes.
+    """
+
+    def alike(payload: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        many = _prints(payload)
+        pairs = [(i, j) for i in range(len(many)) for j in range(i + 1, len(many)) if likeness(many[i], many[j]) >= least]
+        found = np.array(pairs, np.int64).reshape(-1, 2)
+        return found[:, 0], found[:, 1]
+
+    def keys(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for batch in batches:
+            yield pd.Series([band_keys(p) for p in _prints(batch.tolist())], dtype=object)
+
+    rows = prints.select("doc_id", F.col("fingerprint").alias("id"))
+    equal = rows.where(F.col("id").isNotNull()).groupBy("id")
+    nodes = equal.agg(F.count(F.lit(1)).alias("weight"), F.min("doc_id").alias("least"))
+    nodes = spool(nodes.withColumn("keys", F.pandas_udf(keys, "array<bigint>")("id")))
+    found = spool(bucket_links(nodes, lambda ids: ids.withColumn("payload", F.col("id")), alike, block=256))
+    roots = components(found.select(F.col("id").alias("a"), F.col("other").alias("b")))
+    classes = (
+        nodes.drop("keys")
+        .join(found.groupBy("id").agg(F.sum("links").alias("more")), "id", "left")
+        .join(roots.withColumnRenamed("node", "id"), "id", "left")
+        .withColumn("root", F.coalesce("root", "id"))
+    )
+    names = classes.groupBy("root").agg(F.min("least").alias("class_id"))
+    named = classes.join(names, "root").select(
+        "id", "class_id", (F.col("weight") - 1 + F.coalesce("more", F.lit(0))).alias("links")
+    )
+    return rows.join(named, "id", "left").select(
+        "doc_id",
+        F.when(F.col("id").isNull(), F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"),
+        F.coalesce("links", F.lit(0)).cast("long").alias("links"),
+    )
+
+
 def text_prints(walks: Walks, texts: list[np.ndarray]) -> list[np.ndarray]:
     """Fingerprints of texts given as code points."""
     at, end = walks.steps(texts)
@@ -84,11 +171,11 @@ def _edited(text: str, following: str) -> str:
 
 _BESIDE = (
     "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, "
-    "near_edited double, near_next double"
+    "near_edited double, near_next double, shared_bands int"
 )
 
 
-def _compare(walks: Walks, ids: list, texts: list[str]) -> pd.DataFrame:
+def _compare(walks: Walks, ids: list, texts: list[str]) -> list[tuple]:
     """Rows of :data:`_BESIDE` for all but the last of consecutive texts."""
     codes = [codepoints(t) for t in texts]
     at, end = walks.steps(codes)
@@ -113,13 +200,14 @@ def _compare(walks: Walks, ids: list, texts: list[str]) -> pd.DataFrame:
                 edited.tobytes().decode(),
                 likeness(prints[i], edited),
                 likeness(prints[i], prints[i + 1]),
+                int((band_keys(prints[i]) == band_keys(edited)).sum()),
             )
         )
     return rows
 
 
 def fingerprint_beside_next(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """Fingerprints of each text and of its edited text, and their likeness.
+    """Fingerprints of each text and of its edited text, their likeness and shared bands.
 
     The edited text has the last floor(n / 4) code points replaced by the first as
     many (or all) of the next document's, in ascending order of the id; the first
@@ -174,6 +262,7 @@ def fingerprint_beside_next(docs: DataFrame, doc_id: str = "doc_id", text: str =
                 ("edited_fingerprint", pa.string()),
                 ("near_edited", pa.float64()),
                 ("near_next", pa.float64()),
+                ("shared_bands", pa.int32()),
             ]
         )
 

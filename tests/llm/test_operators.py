@@ -81,6 +81,32 @@ def test_walk_is_the_same_alone_and_in_a_block():
         assert (mine, step) == (a.tolist(), e)
 
 
+def test_near_copies_of_fingerprints(spark):
+    rng = random.Random(8)
+    plan = walks.Walks()
+    rows = []
+    for group in range(12):
+        text = "".join(rng.choice("abcdefgh  ") for _ in range(rng.choice((30, 200, 1500, 4000))))
+        for copy in range(4):
+            cut = int(len(text) * (1 - 0.03 * copy))
+            rows.append((10 * group + copy, text[:cut] + "".join(rng.choice("xyz") for _ in range(len(text) - cut))))
+    rows += [(1000, rows[0][1]), (1001, None), (None, rows[0][1])]
+    prints = [
+        (i, None if t is None else plan_print.tobytes().decode())
+        for (i, t), plan_print in zip(rows, fingerprints.text_prints(plan, [texts.codepoints(t or "") for _, t in rows]))
+    ]
+    found = fingerprints.near_copies(spark.createDataFrame(prints, "doc_id long, fingerprint string")).collect()
+    got = {r["doc_id"]: (r["class_id"], r["links"]) for r in found}
+    assert len(found) == len(rows) and got[1001] == (1001, 0)
+    assert got[1000] == got[None] == got[0] and got[0][0] == 0
+    real = {i: np.frombuffer(p.encode(), np.uint8) for i, p in prints if p is not None and i is not None}
+    for group in range(1, 12):
+        for copy in range(4):
+            mine = 10 * group + copy
+            links = sum(j != mine and fingerprints.likeness(real[mine], p) >= 0.8 for j, p in real.items())
+            assert got[mine] == (10 * group, links)
+
+
 # --- near join
 
 
