@@ -15,7 +15,7 @@ from labelsieve.operators.perplexity import count_tokens
 from labelsieve.operators.sampling import assign_split
 from labelsieve.operators.scoring import filter_rows, map_batches, map_rows, remaining
 from labelsieve.plans.evaluate import score_held_out
-from labelsieve.plans.predict_and_flag import FlaggedTable, flag_into, predict_and_flag
+from labelsieve.plans.predict_and_flag import FlaggedTable, flag_into, predict, predict_and_flag
 from labelsieve.plans.train import train_text_classifier
 from labelsieve.session import scratch_path
 from labelsieve.sources.tables import prediction_columns, read_labelled_csv, write_flagged
@@ -85,6 +85,28 @@ def score_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _flag_columns(flagged)
 
 
+_CUT = 40
+_FIRST_TOKENS = r"^[^\p{L}\p{N}]*[\p{L}\p{N}]+([^\p{L}\p{N}]+[\p{L}\p{N}]+)" + f"{{{_CUT - 1}}}"
+
+
+@query(f"""
+SELECT doc_id, md5(CASE WHEN regexp_matches(t, '{_FIRST_TOKENS}') THEN regexp_extract(t, '{_FIRST_TOKENS}') ELSE t END)
+         AS seen_md5
+FROM (SELECT doc_id, CASE WHEN ends_with(t, '</s>') THEN t ELSE t || '</s>' END AS t
+      FROM (SELECT doc_id, 'Text: ' || text AS t FROM documents))
+""")
+def cut_model_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = predict(
+        table(spark, sf_dir, "documents"),
+        length_model(),
+        ID2LABEL,
+        template="Text: {text}",
+        eos="</s>",
+        max_length=_CUT,
+    )
+    return scored.select("doc_id", F.md5("text").alias("seen_md5"))
+
+
 @query(_flag_sql("0.6"), "stream_flags")
 def stream_review_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = scratch_path(spark, "stream")

@@ -71,6 +71,27 @@ def is_truncated(toks: Column, max_length: int) -> Column:
     return F.size(toks) > int(max_length)
 
 
+def cut_text(text: Column, max_length: int) -> Column:
+    """The text up to the end of its ``max_length``-th token; all of it if it has fewer."""
+    if max_length < 1:
+        raise ValueError(f"a text keeps one token at least, got {max_length}")
+    # Parts end where tokens end, so each holds one token and the gap before it.
+    parts = F.split(text, r"(?<=[\p{L}\p{N}])(?=[^\p{L}\p{N}])", int(max_length) + 1)
+    return F.array_join(F.slice(parts, 1, int(max_length)), "")
+
+
+def model_text(
+    text: Column,
+    template: str | None = None,
+    chat: tuple[str, str] | None = None,
+    eos: str | None = None,
+    max_length: int | None = None,
+) -> Column:
+    """Prompt, end marker, then the cut: what a model is given of a text."""
+    marked = append_eos(format_prompt(text, template, chat), eos)
+    return marked if max_length is None else cut_text(marked, max_length)
+
+
 def pad(toks: Column, max_length: int, marker: str = PAD) -> Column:
     """Tokens filled up to ``max_length``."""
     missing = F.greatest(F.lit(0), F.lit(int(max_length)) - F.size(toks))

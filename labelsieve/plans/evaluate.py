@@ -13,7 +13,7 @@ from labelsieve.operators.metrics import DECISION, binary_metrics, multilabel_me
 from labelsieve.operators.perplexity import MaskedCounts, score_tokens, text_perplexity
 from labelsieve.operators.scoring import BATCH_SIZE, Model, score
 from labelsieve.plans.predict_and_flag import MULTI_LABEL, SINGLE_LABEL, check_problem_type, probabilities
-from labelsieve.functions.text import format_prompt
+from labelsieve.functions.text import model_text
 from labelsieve.session import require_columns, spool
 
 
@@ -64,6 +64,8 @@ def score_held_out(
     chat: tuple[str, str] | None = None,
     alpha: float = ALPHA,
     batch_size: int = BATCH_SIZE,
+    eos: str | None = None,
+    max_length: int | None = None,
 ) -> DataFrame:
     """Probabilities, loss, uncertainty flag and, with ``counts``, perplexity per row.
 
@@ -71,7 +73,7 @@ def score_held_out(
     result both read them, and the model runs once.
     """
     require_columns(df, [key, text, label])
-    prompted = df.withColumn(text, format_prompt(F.col(text), template, chat))
+    prompted = df.withColumn(text, model_text(F.col(text), template, chat, eos, max_length))
     scored = score(prompted, text, load, batch_size).withColumn(
         "probs", probabilities(F.col("logits"), problem_type)
     )

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from labelsieve.functions import probabilities as P
-from labelsieve.functions.text import format_prompt, json_numbers, json_strings, present_text
+from labelsieve.functions.text import json_numbers, json_strings, model_text, present_text
 from labelsieve.operators.calibration import (
     ALPHA,
     CONFIDENCE,
@@ -85,15 +85,18 @@ def predict(
     template: str | None = None,
     chat: tuple[str, str] | None = None,
     batch_size: int = BATCH_SIZE,
+    eos: str | None = None,
+    max_length: int | None = None,
 ) -> DataFrame:
-    """Prompt, score and decide. ``text`` in the result is what the model saw.
+    """Prompt, mark the end, cut to ``max_length`` tokens, score and decide. ``text`` in the result is what the model saw.
 
     ``load`` is the loader of a model, or a fitted classifier (anything with
     ``logits(df, text)``), which then scores in the JVM.
     """
     require_columns(df, [text], "input table")
     check_problem_type(problem_type)
-    prompted = df.withColumn("text", format_prompt(present_text(F.col(text)), template, chat))
+    seen = model_text(present_text(F.col(text)), template, chat, eos, max_length)
+    prompted = df.withColumn("text", seen)
     if hasattr(load, "logits"):
         scored = load.logits(prompted, "text")
     else:

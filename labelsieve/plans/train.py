@@ -12,7 +12,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from labelsieve.functions.text import TOKEN_BREAK, format_prompt, present_text
+from labelsieve.functions.text import TOKEN_BREAK, model_text, present_text
 from labelsieve.operators.labels import append_train, label_distribution
 from labelsieve.operators.metrics import mean_cross_entropy
 from labelsieve.operators.sampling import assign_split
@@ -129,6 +129,8 @@ def train_text_classifier(
     eval_ratio: float = 0.1,
     seed: int = 42,
     tune: bool = False,
+    eos: str | None = None,
+    max_length: int | None = None,
     **fit_options,
 ) -> TrainingRun:
     """Prompt, split, add extra rows to the training part only, fit, and judge.
@@ -137,13 +139,15 @@ def train_text_classifier(
     to both parts. ``test_ratio=0`` is the two-way split: the test metrics are
     then those of the eval part.
     """
-    prompted = df.withColumn(text, format_prompt(F.col(text), template, chat))
+    prompted = df.withColumn(text, model_text(F.col(text), template, chat, eos, max_length))
     # Fitting, counting and scoring all read the split rows; what they come from is read once.
     parts = spool(assign_split(spool(prompted), key, test_ratio, eval_ratio, seed))
     counts = label_distribution(parts, label, by=["split"])
     train = parts.where(F.col("split") == "train").select(text, label)
     if extra is not None:
-        added = spool(extra.select(text, label))
+        # Extra text has no prompt, but the same end and length.
+        given = model_text(F.col(text), eos=eos, max_length=max_length).alias(text)
+        added = spool(extra.select(given, label))
         train = append_train(train, added)
         for name, rows in (("extra", added), ("train and extra", train)):
             counted = label_distribution(rows.withColumn("split", F.lit(name)), label, by=["split"])
