@@ -19,15 +19,20 @@ from itertools import chain
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from labelsieve.llm.texts import plain
+from labelsieve.llm.texts import chunks, plain
 
 # Units and pairs of pieces that a worker remembers (units twice over), and the longest
 # unit that is remembered: some 200 MB at most.
 CACHE = 400_000
 LONGEST_KEY = 64
+# Bytes of the texts that are encoded before their rows are handed on.
+AT_ONCE = 1_000_000
 
 _SPACE = "▁"
 # Kinds of pieces and models, and the handicap of unknown characters.
@@ -110,35 +115,9 @@ class Pieces:
 
     def _pass(self, unit: str) -> tuple[int, ...]:
         """The best segmentation of a unit, by one pass of the automaton."""
-        n = len(unit)
-        best = [0.0] + [-np.inf] * n
-        last, begin = [-1] * (n + 1), [0] * (n + 1)  # last piece (-1: unknown), where it begins
-        alone = [False] * (n + 1)  # whether a piece is the last character alone
-        merges, borders, width, unknown = self.kind == _BPE, self.borders, len(self.surface), self.unknown_score
-        done = 0
-        for end, (piece, length, score) in chain(self.automaton.iter(unit), [(n, (-1, 0, 0.0))]):
-            # Positions before this end are complete: longer pieces came first.
-            while done < end:
-                done += 1
-                if not alone[done] and best[done - 1] + unknown > best[done]:
-                    best[done], last[done], begin[done] = best[done - 1] + unknown, -1, done - 1
-            if not length:
-                break
-            e, start = end + 1, end + 1 - length
-            if length == 1:
-                alone[e] = True
-            if best[start] + score > best[e]:
-                before = last[start]
-                # Merging must leave the two pieces beside each other; unknown ones always are.
-                if merges and before >= 0:
-                    admitted = borders.get(before * width + piece)
-                    if admitted is None:
-                        admitted = self._border(before, piece)
-                    if not admitted:
-                        continue
-                best[e], last[e], begin[e] = best[start] + score, piece, start
+        last, begin = (self._merge_pass if self.kind == _BPE else self._score_pass)(unit)
         out: list[int] = []
-        e = n
+        e = len(unit)
         while e:
             piece = last[e]
             if piece >= 0:
@@ -151,6 +130,54 @@ class Pieces:
             e = begin[e]
         return tuple(reversed(out))
 
+    def _score_pass(self, unit: str) -> tuple[list[int], list[int]]:
+        """Of every prefix: the last piece (-1: unknown) of its best scored way, and its begin."""
+        n = len(unit)
+        best = [0.0] + [-np.inf] * n
+        last, begin = [-1] * (n + 1), [0] * (n + 1)
+        alone = [False] * (n + 1)  # whether a piece is the last character alone
+        unknown, done = self.unknown_score, 0
+        for end, (piece, length, score) in chain(self.automaton.iter(unit), [(n, (-1, 0, 0.0))]):
+            # Positions before this end are complete: longer pieces came first.
+            while done < end:
+                done += 1
+                if not alone[done] and best[done - 1] + unknown > best[done]:
+                    best[done], last[done], begin[done] = best[done - 1] + unknown, -1, done - 1
+            if length:
+                e, start = end + 1, end + 1 - length
+                alone[e] |= length == 1
+                if best[start] + score > best[e]:
+                    best[e], last[e], begin[e] = best[start] + score, piece, start
+        return last, begin
+
+    def _merge_pass(self, unit: str) -> tuple[list[int], list[int]]:
+        """The same for merges: of the pieces that end a prefix, the one that they leave there.
+
+        A piece is left after the one before it if merging the two alone leaves both,
+        so there is one way for each prefix. An unknown character is its own piece.
+        """
+        n = len(unit)
+        last, begin = [-2] * (n + 1), [0] * (n + 1)  # -2: not yet reached
+        last[0] = -1
+        borders, width, done = self.borders, len(self.surface), 0
+        for end, (piece, length, _) in self.automaton.iter(unit):
+            while done < end:
+                done += 1
+                if last[done] == -2:
+                    last[done], begin[done] = -1, done - 1
+            e = end + 1
+            if last[e] == -2:
+                before = last[e - length]
+                if before >= 0:
+                    left = borders.get(before * width + piece)
+                    if not (self._border(before, piece) if left is None else left):
+                        continue
+                last[e], begin[e] = piece, e - length
+        for e in range(done + 1, n + 1):
+            if last[e] == -2:
+                last[e], begin[e] = -1, e - 1
+        return last, begin
+
     def _remember(self, unit: str, found: tuple[int, ...]) -> None:
         if len(unit) <= LONGEST_KEY:
             if len(self.known) > CACHE:
@@ -172,7 +199,9 @@ class Pieces:
             return found
         found = self.older.get(unit)
         if found is None:
-            cuts = [k for k in range(1, len(unit)) if unit[k - 1 : k + 1] not in self.inside]
+            # Cutting saves work and changes nothing; words of letters alone are left whole.
+            inside = () if unit[1:].isalpha() else range(1, len(unit))
+            cuts = [k for k in inside if unit[k - 1 : k + 1] not in self.inside]
             # Unknown characters in a row are one piece, so they must not be parted.
             if not cuts or not self.byte_fallback:
                 found = self._pass(unit)
@@ -239,13 +268,37 @@ def encode_documents(docs: DataFrame, path: str) -> DataFrame:
     empty). It is, but for texts with U+2581, which the model writes spaces with. A
     null id stays null; repeated rows give repeated rows; other columns are not read,
     whatever their names. The model file lies at ``path`` on every executor.
+
+    One pass through one worker encodes and decodes, some texts at a time.
     """
-    whole = F.coalesce(F.col("text"), F.lit(""))
-    coded = docs.select(F.col("doc_id").alias("doc_id"), whole.alias("t"), encode(path, whole).alias("ids"))
-    return coded.withColumn("decoded", decode(path, F.col("ids"))).select(
-        "doc_id",
-        "ids",
-        F.size("ids").alias("n_pieces"),
-        "decoded",
-        (F.col("decoded") == F.col("t")).alias("same"),
+    given = docs.select(F.col("doc_id").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("t"))
+    kind = given.schema["doc_id"]
+    schema = T.StructType(
+        [
+            kind,
+            T.StructField("ids", T.ArrayType(T.IntegerType())),
+            T.StructField("n_pieces", T.IntegerType()),
+            T.StructField("decoded", T.StringType()),
+            T.StructField("same", T.BooleanType()),
+        ]
     )
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pieces = _worker(path)
+        for batch in batches:
+            sizes = pc.binary_length(batch["t"]).to_numpy()
+            for part in chunks(sizes, sizes, AT_ONCE):
+                some = batch.slice(part.start, part.stop - part.start)
+                texts = some["t"].to_pylist()
+                ids = [pieces.encode(t) for t in texts]
+                decoded = [pieces.decode(i.tolist()) for i in ids]
+                lengths = np.array([len(i) for i in ids], np.int32)
+                offsets = np.concatenate([[0], np.cumsum(lengths)]).astype(np.int32)
+                lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(ids), pa.int32()))
+                same = [a == b for a, b in zip(decoded, texts)]
+                yield pa.RecordBatch.from_arrays(
+                    [some["doc_id"], lists, pa.array(lengths), pa.array(decoded, pa.string()), pa.array(same)],
+                    names=schema.names,
+                )
+
+    return given.mapInArrow(run, schema)
