@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from labelsieve.llm.buckets import bucket_links
 from labelsieve.llm.graph import components
-from labelsieve.llm.texts import chunks, codepoints, mix, plain, salts
+from labelsieve.llm.texts import codepoints, mix, salts
 from labelsieve.llm.walks import Walks
 from labelsieve.session import spool
 

@@ -6,7 +6,6 @@ import math
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -131,7 +130,8 @@ def sketch(
                 names=[*names, "set_id", "keys"],
             )
 
-    return given.mapInArrow(run, T.StructType([*kept, T.StructField("set_id", T.BinaryType()), T.StructField("keys", T.ArrayType(T.LongType()))]))
+    found = [T.StructField("set_id", T.BinaryType()), T.StructField("keys", T.ArrayType(T.LongType()))]
+    return given.mapInArrow(run, T.StructType([*kept, *found]))
 
 
 def _with_nulls(names: list[str]) -> list[Column]:

@@ -144,7 +144,7 @@ def test_pieces(odd, nothing):
 
 def test_pages(spark):
     rows = [(1, "u", None, "x"), (None, None, "", "x"), (2, "u", "<p>" + "long text " * 50_000, None),
-            (2, "u", "<div><p>Same text on this page.</p></div>", "x"), (2, "u", "<div><p>Same text on this page.</p></div>", "x")]
+            *[(2, "u", "<div><p>Same text on this page.</p></div>", "x")] * 2]
     pages = spark.createDataFrame(rows, "page_id long, url string, html string, text string")
     found = html_text.extract_pages(pages).collect()
     assert sorted(r["n_chars"] for r in found) == [0, 0, 23, 23, 499_999]

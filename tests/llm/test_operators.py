@@ -71,7 +71,8 @@ def test_fingerprints_beside_next(documents, rows):
 def test_walk_is_the_same_alone_and_in_a_block():
     walk = walks.Walks()
     rng = random.Random(1)
-    given_ = [texts.codepoints("".join(rng.choice("abc de") for _ in range(rng.choice((0, 1, 5, 900))))) for _ in range(90)]
+    lengths = [rng.choice((0, 1, 5, 900)) for _ in range(90)]
+    given_ = [texts.codepoints("".join(rng.choice("abc de") for _ in range(n))) for n in lengths]
     at, end = walk.steps(given_)
     for t, a, e in zip(given_, at, end):
         step, mine = 0, []
@@ -141,9 +142,8 @@ def test_alike_pairs_are_exact():
         many.append(" ".join(words))
     a, b = near.alike()(many)
     sets = [shingles(t) for t in many]
-    want = {
-        (i, j) for i, j in itertools.combinations(range(len(many)), 2) if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])
-    }
+    pairs = itertools.combinations(range(len(many)), 2)
+    want = {(i, j) for i, j in pairs if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])}
     assert set(zip(a.tolist(), b.tolist())) == want
 
 
