@@ -41,9 +41,11 @@ SHORTEST = 24
 GRAM = 4
 # Steps sampled for items that are shorter than a window.
 SHORT_STEPS = 20
-# Characters of a document chunk that is searched at a time, and of the items that are
-# broadcast at a time; a larger benchmark is searched in several rounds.
+# Characters of a document chunk that is searched at a time, pairs of windows compared at
+# a time, and characters of the items that are broadcast at a time; a larger benchmark is
+# searched in several rounds.
 AT_ONCE = 1_000_000
+PAIRS_AT_ONCE = 50_000
 ITEM_CHARS = 4_000_000
 
 
@@ -309,11 +311,15 @@ def search(items: Items, texts: list[str]) -> list[list[tuple[int, int, int, int
             first = np.searchsorted(items.keys, key, side="left")
             many = np.searchsorted(items.keys, key, side="right") - first
             at = np.repeat(first - np.cumsum(many) + many, many) + np.arange(many.sum())
-            meetings.append(np.stack([np.repeat(near, many), items.window[at]]))
-        pairs = np.unique(np.concatenate(meetings, axis=1), axis=1) if meetings else np.zeros((2, 0), np.int64)
+            meetings.append(np.repeat(near, many) * len(items.item) + items.window[at])
+        met = np.unique(np.concatenate(meetings)) if meetings else np.zeros(0, np.int64)
+        pairs = np.stack(np.divmod(met, max(1, len(items.item))))
         # Windows that met must be near in their other steps too.
-        agree = (written[:, pairs[0]] == items.written[:, pairs[1]]).mean(axis=0)
-        place, window = pairs[:, agree >= STEPS_AGREE]
+        agree = np.zeros(pairs.shape[1], bool)
+        for at in range(0, pairs.shape[1], PAIRS_AT_ONCE):
+            p, w = pairs[:, at : at + PAIRS_AT_ONCE]
+            agree[at : at + PAIRS_AT_ONCE] = (written[:, p] == items.written[:, w]).mean(axis=0) >= STEPS_AGREE
+        place, window = pairs[:, agree]
         doc = np.searchsorted(normal.starts, places[place], side="right") - 1
         k, offset = items.item[window], items.offset[window]
         begin = places[place] - normal.starts[doc]
