@@ -1,15 +1,16 @@
 """Benchmark decontamination: near occurrences of benchmark items inside documents.
 
-Windows of items and documents begin at words that both pick by the same rule. From
-there a random walk (:mod:`walks` explains it) writes a character class at each of
-``STEPS`` steps, which turns edits into differing steps. Bands of a few sampled steps,
-repeated, bring windows together; the item is then compared with the text around the
-window by its exact edit distance.
+The search loses no occurrence. An item is cut into blocks and a block into pieces, so
+that a near occurrence of the item has a block with two pieces more than edits. Two of
+its pieces then occur unchanged, and each piece between them has exactly one edit, which
+bounds their distance. Such pairs of grams are looked up at every position of a document;
+the blocks, then the items, are compared with the text around by their edit distance.
 """
 
 from __future__ import annotations
 
 import math
+import unicodedata
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
@@ -19,41 +20,28 @@ from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from labelsieve.llm.texts import chunks, codepoints, mix, plain, salts
-from labelsieve.llm.walks import CLASSES
+from labelsieve.llm.texts import chunks, codepoints, plain, salts
 
 # An item occurs where the edit distance is at most 1 - SIMILARITY of its length.
 SIMILARITY = 0.8
-# Steps of a window, steps of a band, and the recall that bands are repeated for if
-# two windows agree in AGREE of their steps.
-STEPS = 64
-BAND_STEPS = 8
-AGREE = 0.75
-RECALL = 0.95
-# Share of all steps that windows which met must agree in before texts are compared.
-STEPS_AGREE = 0.6
-# Of so many words in a row at least one begins a window.
-PICK_FROM = 4
-# Characters that a window needs, and the shortest item that counts as evidence.
-WINDOW = 44
+# Characters of the shortest item that is searched nearly; shorter ones occur only as they
+# are, between ends of words.
 SHORTEST = 24
-# Characters of a gram, for a bound that no near occurrence misses.
+# Characters of a gram, for a bound that no near occurrence misses, and the longest piece.
 GRAM = 4
-# Steps sampled for items that are shorter than a window.
-SHORT_STEPS = 20
-# Characters of a document chunk that is searched at a time, pairs of windows compared at
-# a time, and characters of the items that are broadcast at a time; a larger benchmark is
-# searched in several rounds.
+LONGEST_PIECE = 8
+# Classes of characters that blocks are compared by, and characters of the longest block.
+CLASSES = 64
+WORD = 64
+# Characters of a document chunk that is searched at a time, positions whose pairs of
+# grams are looked up at a time, pairs compared at a time, and characters of the items that
+# are broadcast at a time; a larger benchmark is searched in several rounds.
 AT_ONCE = 1_000_000
-PAIRS_AT_ONCE = 50_000
+POSITIONS_AT_ONCE = 131_072
+PAIRS_AT_ONCE = 16_384
 ITEM_CHARS = 4_000_000
 
 
-def repeats_for(agree: float, steps: int, recall: float) -> int:
-    """Bands so that windows which agree in that share of steps meet with chance ``recall``."""
-    return max(1, math.ceil(math.log(1.0 - recall) / math.log(1.0 - agree**steps)))
-
-
 def _lower_table() -> np.ndarray:
     table = np.arange(0x10000, dtype=np.uint32)
     for c in range(0x10000):
@@ -90,158 +78,232 @@ class Normal:
         return codes.astype("<u4").tobytes().decode("utf-32-le", "surrogatepass")
 
 
-def _picked(codes: np.ndarray) -> np.ndarray:
-    """Beginnings of words that have the least hash of some ``PICK_FROM`` words in a row."""
-    if not len(codes):
-        return np.zeros(0, np.int64)
-    letter = (codes != 32) & (codes != 0)
-    begins = np.flatnonzero(letter & np.concatenate([[True], ~letter[:-1]]))
-    if len(begins) <= PICK_FROM:
-        return begins
-    padded = np.concatenate([codes, np.zeros(4, codes.dtype)]).astype(np.uint64)
-    with np.errstate(over="ignore"):
-        name = padded[begins]
-        for k in range(1, 4):
-            name = name * np.uint64(0x100000001B3) + padded[begins + k]
-        order = mix(name)
-    n = len(order) - PICK_FROM + 1
-    least = order[:n].copy()
-    for k in range(1, PICK_FROM):
-        np.minimum(least, order[k : k + n], out=least)
-    # The greatest of the minima of the windows that hold a word is its own if one is.
-    most = np.zeros(len(order), np.uint64)
-    for k in range(PICK_FROM):
-        np.maximum(most[k : k + n], least, out=most[k : k + n])
-    return begins[most == order]
-
-
-def _moves() -> np.ndarray:
-    bits = mix(salts(CLASSES * STEPS, 31)) >> np.uint64(63)
-    return bits.astype(np.int64).reshape(STEPS, CLASSES)
-
-
-_MOVES = _moves()
-
-
-def _written(classes: np.ndarray, begins: np.ndarray) -> np.ndarray:
-    """What walks from ``begins`` write: a row for each step."""
-    out = np.empty((STEPS, len(begins)), np.uint32)
-    at = begins.astype(np.int64)
-    for step in range(STEPS):
-        now = classes.take(at, mode="clip")
-        out[step] = now
-        at += _MOVES[step].take(now)
-    return out
+def _word_table() -> np.ndarray:
+    table = np.array([unicodedata.category(chr(c))[0] in "LMN" for c in range(0x10000)])
+    return table
 
 
-def _bands(repeats: int, most: int) -> list[tuple[np.ndarray, np.ndarray]]:
-    """Steps that the bands sample of the first ``most``, and their multipliers."""
-    found = []
-    for k in range(repeats):
-        order = np.argsort(salts(most, 40 + k + most), kind="stable")[:BAND_STEPS]
-        found.append((np.sort(order), salts(BAND_STEPS + 1, 500 + k + most)))
-    return found
+_in_words: np.ndarray | None = None
+
+
+def _bounds(codes: np.ndarray) -> np.ndarray:
+    """Whether a word may begin or end before each character, and after the last one.
+
+    Not between two letters, marks or digits. Characters beyond 16 bits end words
+    everywhere.
+    """
+    global _in_words
+    if _in_words is None:
+        _in_words = _word_table()
+    word = np.zeros(len(codes) + 2, bool)
+    word[1:-1] = _in_words.take(codes, mode="clip") & (codes < 0x10000)
+    return ~(word[:-1] & word[1:])
+
 
+_SALTS = (salts(max(LONGEST_PIECE, SHORTEST) + 1, 61) >> np.uint64(32)).astype(np.uint32) | np.uint32(1)
 
-def _quick(written: np.ndarray, band: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
-    """A few bits of each window's key, in 32-bit arithmetic."""
-    steps, salt = band
-    short = salt.astype(np.uint32) | np.uint32(1)
-    with np.errstate(over="ignore"):
-        key = written[steps[0]] * short[0]
-        for step, s in zip(steps[1:], short[1:]):
-            key += written[step] * s
-        key *= np.uint32(0x9E3779B1)
-    return key >> np.uint32(32 - _BITS)
 
+def _spread(x: np.ndarray) -> np.ndarray:
+    """Spread the bits of 32-bit integers."""
+    x = (x ^ (x >> np.uint32(16))) * np.uint32(0x85EBCA6B)
+    x = (x ^ (x >> np.uint32(13))) * np.uint32(0xC2B2AE35)
+    return x ^ (x >> np.uint32(16))
 
-def _key(written: np.ndarray, band: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
-    steps, salt = band
-    with np.errstate(over="ignore"):
-        key = np.full(written.shape[1], salt[-1], np.uint64)
-        for step, s in zip(steps, salt):
-            key += (written[step].astype(np.uint64) + np.uint64(1)) * s
-        return mix(key)
+
+def _grams(codes: np.ndarray, size: int) -> np.ndarray:
+    """A hash of the ``size`` characters from each place."""
+    padded = np.concatenate([codes, np.zeros(size, codes.dtype)]).astype(np.uint32)
+    out = np.zeros(len(codes), np.uint32)
+    for k in range(size):
+        out += padded[k : k + len(codes)] * _SALTS[k]
+    return _spread(out)
 
 
 def _classes(codes: np.ndarray) -> np.ndarray:
     """Characters by class; 0 is kept for what lies beyond a text."""
-    return (codes % np.uint32(CLASSES - 1) + np.uint32(1)) * (codes > 0)
+    return ((codes % np.uint32(CLASSES - 1) + np.uint32(1)) * (codes > 0)).astype(np.uint8)
+
+
+def _most(length: int, similarity: float) -> int:
+    """Edits that an occurrence may have."""
+    return int((1.0 - similarity) * length + 1e-9)
+
+
+def _cut(length: int, most: int) -> tuple[int, list[int]]:
+    """Characters of a piece, and for each block of an item the edits that it may have.
+
+    A block of ``e`` edits has ``e + 2`` pieces. The edits that the blocks may have, one
+    more each, exceed ``most``, so some block has no more than its own.
+    """
+    for size in range(LONGEST_PIECE, 0, -1):
+        blocks = min(length // size - most - 1, most + 1)
+        if blocks >= 1:
+            more, rest = divmod(most + 1, blocks)
+            return size, [more - 1 + (b < rest) for b in range(blocks)]
+    return 1, []
+
+
+@dataclass(frozen=True)
+class Pairs:
+    """Hashes of pairs of grams of ``size`` characters, ``apart`` characters from each other.
+
+    ``keys`` are sorted; rows of ``Items.block`` and ``Items.within`` begin at ``first``.
+    ``bitmap`` has the first bits of the keys.
+    """
+
+    size: int
+    apart: int
+    keys: np.ndarray
+    first: int
+    shift: int
+    bitmap: np.ndarray
 
 
 @dataclass(frozen=True)
 class Items:
-    """Normalised items, their windows, and the sorted band keys of the windows.
+    """Normalised items, their blocks, and the pairs of grams that lead to them.
 
-    ``item``, ``offset`` and ``written`` are by window, ``window`` by key. ``bitmaps``
-    has for each band the few bits of a key that some window has.
+    ``item``, ``start`` (in the item), ``place`` (in ``classes``), ``length`` and
+    ``edits`` are by block. ``block`` and ``within`` (the place of the first gram in its
+    block) are by pair. ``short`` has the items under ``SHORTEST`` by length: hashes,
+    sorted, and the items.
     """
 
     ids: list
     texts: list[str]
+    classes: np.ndarray
     item: np.ndarray
-    offset: np.ndarray
-    written: np.ndarray
-    keys: np.ndarray
-    window: np.ndarray
-    bands: list
-    bitmaps: list[np.ndarray]
-    grams: list[list[str]]
+    start: np.ndarray
+    place: np.ndarray
+    length: np.ndarray
+    edits: np.ndarray
+    pairs: list[Pairs]
+    block: np.ndarray
+    within: np.ndarray
+    short: dict[int, tuple[np.ndarray, np.ndarray]]
     similarity: float
 
 
-_BITS = 18
+def _joined(first: np.ndarray, second: np.ndarray) -> np.ndarray:
+    return first * np.uint32(0x9E3779B1) + second
 
 
-def index(items: list[tuple], similarity: float = SIMILARITY, recall: float = RECALL) -> Items:
-    """Index (id, text) pairs; null and short texts (see ``SHORTEST``) are left out."""
-    ids, texts, item, offset, long, written = [], [], [], [], [], []
+def index(items: list[tuple], similarity: float = SIMILARITY) -> Items:
+    """Index (id, text) pairs; null and empty texts are left out."""
+    if similarity < 0.1:
+        raise ValueError("similarity under 0.1 leaves no pieces to search by")
+    ids, texts, codes = [], [], [np.zeros(0, np.uint32)]
+    rows: list[tuple[int, int, int, int, int]] = []
+    by_length: dict[int, list[int]] = {}
+    base = 0
     for i, text in items:
         whole = Normal([plain(text)]).text(0).strip(" ")
-        codes = codepoints(whole)
-        if len(codes) < SHORTEST:
+        if not whole:
             continue
-        begins = _picked(codes)
-        inside = begins[begins + WINDOW <= len(codes)]
-        if not len(inside):
-            few = begins[begins + SHORTEST <= len(codes)]
-            places, is_long = (few if len(few) else begins[:1]), False
-        else:
-            places, is_long = inside, True
-        written.append(_written(np.concatenate([_classes(codes), np.zeros(STEPS + 1, np.uint32)]), places))
-        item += [len(ids)] * len(places)
-        offset += places.tolist()
-        long += [is_long] * len(places)
+        size, blocks = _cut(len(whole), _most(len(whole), similarity)) if len(whole) >= SHORTEST else (0, [])
+        if not blocks:
+            by_length.setdefault(len(whole), []).append(len(ids))
+        start = 0
+        for edits in blocks:
+            rows.append((len(ids), start, base + start, size, edits))
+            start += size * (edits + 2)
         ids.append(i)
         texts.append(whole)
-    windows = np.concatenate(written, axis=1) if written else np.zeros((STEPS, 0), np.uint32)
-    repeats = repeats_for(AGREE, BAND_STEPS, recall)
-    bands, bitmaps, keys, window = [], [], [], []
-    for most, those in ((STEPS, np.flatnonzero(long)), (SHORT_STEPS, np.flatnonzero(~np.array(long, bool)))):
-        for band in _bands(repeats, most) if len(those) else []:
-            bitmap = np.zeros(1 << _BITS, bool)
-            bitmap[_quick(windows[:, those], band)] = True
-            bands.append(band)
-            bitmaps.append(bitmap)
-            keys.append(_key(windows[:, those], band))
-            window.append(those)
-    flat = np.concatenate(keys) if keys else np.zeros(0, np.uint64)
-    order = np.argsort(flat, kind="stable")
+        codes.append(codepoints(whole))
+        base += len(whole)
+    flat = np.concatenate(codes)
+    item, start, place, size, edits = np.array(rows, np.int64).reshape(-1, 5).T
+    found: dict[tuple[int, int], list[tuple[np.ndarray, np.ndarray, np.ndarray]]] = {}
+    for q in np.unique(size).tolist():
+        grams = _grams(flat, q)
+        for e in np.unique(edits[size == q]).tolist():
+            those = np.flatnonzero((size == q) & (edits == e))
+            for i in range(e + 1):
+                for j in range(i + 1, e + 2):
+                    keys = _joined(grams[place[those] + q * i], grams[place[those] + q * j])
+                    for moved in range(i + 1 - j, j - i):
+                        many = found.setdefault((q, q * (j - i) + moved), [])
+                        many.append((keys, those, np.full(len(those), q * i)))
+    pairs, block, within, first = [], [np.zeros(0, np.int32)], [np.zeros(0, np.int16)], 0
+    for (q, apart), many in sorted(found.items()):
+        keys, those, at = (np.concatenate(x) for x in zip(*many))
+        order = np.argsort(keys, kind="stable")
+        bits = min(22, max(16, math.ceil(math.log2(64 * len(keys)))))
+        bitmap = np.zeros(1 << bits, bool)
+        bitmap[keys >> np.uint32(32 - bits)] = True
+        pairs.append(Pairs(q, apart, keys[order], first, 32 - bits, bitmap))
+        block.append(those[order].astype(np.int32))
+        within.append(at[order].astype(np.int16))
+        first += len(keys)
+    short = {}
+    for n, those in sorted(by_length.items()):
+        hashes = np.array([_sum(codepoints(texts[k]), np.zeros(1, np.int64), n)[0] for k in those], np.uint32)
+        order = np.argsort(hashes, kind="stable")
+        short[n] = hashes[order], np.array(those, np.int64)[order]
     return Items(
         ids,
         texts,
-        np.array(item, np.int64),
-        np.array(offset, np.int64),
-        windows,
-        flat[order],
-        (np.concatenate(window) if window else np.zeros(0, np.int64))[order],
-        bands,
-        bitmaps,
-        [[t[i : i + GRAM] for i in range(len(t) - GRAM + 1)] for t in texts],
+        _classes(flat),
+        item,
+        start,
+        place,
+        size * (edits + 2),
+        edits,
+        pairs,
+        np.concatenate(block),
+        np.concatenate(within),
+        short,
         similarity,
     )
 
 
+def _sum(codes: np.ndarray, places: np.ndarray, length: int) -> np.ndarray:
+    """A hash of the ``length`` characters from each of some places."""
+    out = np.zeros(len(places), np.uint32)
+    for k in range(length):
+        out += codes.take(places + k) * _SALTS[k % len(_SALTS)]
+        out = _spread(out)
+    return out
+
+
+def _near_blocks(items: Items, classes: np.ndarray, at: np.ndarray, block: np.ndarray) -> np.ndarray:
+    """Whether each block occurs nearly in the text around, where its beginning is ``at``.
+
+    The bit-parallel search of :func:`nearest`, for many blocks side by side. Characters
+    of a class count as equal, so the distance is never too large. ``classes`` begin
+    with ``2 * WORD`` places that lie before the text.
+    """
+    length, edits = items.length[block], items.edits[block]
+    least = np.where(length > WORD, np.int8(0), np.int8(127))
+    own, row = np.unique(block, return_inverse=True)
+    here, sizes = items.place[own], np.minimum(items.length[own], WORD)
+    masks = np.zeros(len(own) * CLASSES, np.uint64)
+    for k in range(int(sizes.max(initial=0))):
+        on = np.flatnonzero(sizes > k)
+        masks[on * CLASSES + items.classes[here[on] + k]] |= np.uint64(1 << k)
+    one, top = np.uint64(1), (np.minimum(length, WORD) - 1).astype(np.uint64)
+    plus = np.full(len(block), ~np.uint64(0))
+    minus = np.zeros(len(block), np.uint64)
+    score = np.minimum(length, WORD).astype(np.int8)
+    row = row.reshape(-1) * CLASSES
+    place = at - edits + 2 * WORD
+    for _ in range(int((np.minimum(length, WORD) + 2 * edits).max(initial=0))):
+        match = masks.take(row + classes.take(place, mode="clip"))
+        place += 1
+        vertical = match | minus
+        match = (((match & plus) + plus) ^ plus) | match | minus
+        up = minus | ~(match | plus)
+        down = plus & match
+        score += ((up >> top) & one).astype(np.int8)
+        score -= ((down >> top) & one).astype(np.int8)
+        np.minimum(least, score, out=least)
+        up <<= one
+        down <<= one
+        plus = down | ~(vertical | up)
+        minus = up & vertical
+    return least <= edits
+
+
 def nearest(item: str, text: str) -> tuple[int, int]:
     """Least edit distance of ``item`` to a part of ``text``, and the end of the first such part.
 
@@ -271,18 +333,19 @@ def nearest(item: str, text: str) -> tuple[int, int]:
     return best, end
 
 
-def _verify(items: Items, k: int, text: str, place: int, offset: int) -> tuple[int, int, int] | None:
-    """Distance, begin and end if the item lies around ``place`` of a normalised text."""
+def _verify(items: Items, k: int, text: str, first: int, last: int) -> tuple[int, int, int] | None:
+    """Distance, begin and end if the item begins about ``first`` to ``last`` of a normalised text."""
     item = items.texts[k]
-    most = int((1.0 - items.similarity) * len(item) + 1e-9)
-    low = max(0, place - offset - most)
-    region = text[low : place - offset + len(item) + most]
+    most = _most(len(item), items.similarity)
+    low = max(0, first - most)
+    region = text[low : last + len(item) + most]
     at = region.find(item)
     if at >= 0:
         return 0, low + at, low + at + len(item)
     # Each edit spoils at most GRAM grams of the item; the others occur in the region.
     there = {region[i : i + GRAM] for i in range(len(region) - GRAM + 1)}
-    if sum(g in there for g in items.grams[k]) < len(items.grams[k]) - GRAM * most:
+    grams = len(item) - GRAM + 1
+    if sum(item[i : i + GRAM] in there for i in range(grams)) < grams - GRAM * most:
         return None
     distance, end = nearest(item, region)
     if distance > most:
@@ -292,6 +355,70 @@ def _verify(items: Items, k: int, text: str, place: int, offset: int) -> tuple[i
     return distance, low + end - length, low + end
 
 
+def _begins(items: Items, codes: np.ndarray, starts: np.ndarray) -> Iterator[tuple[int, int, int, int]]:
+    """Text, item of ``SHORTEST`` characters and more, and the first and last place where it may begin."""
+    classes = np.concatenate([np.zeros(2 * WORD, np.uint8), _classes(codes), np.zeros(1, np.uint8)])
+    grams = {q: _grams(codes, q) for q in {p.size for p in items.pairs}}
+    found = [np.zeros(0, np.int64)]
+    # A place may lie before the text.
+    left = max(len(t) for t in items.texts)
+    wide = len(codes) + left + 1
+    for low in range(0, len(codes), POSITIONS_AT_ONCE):
+        places, first, many = [], [], []
+        leading = {q: g[low : low + POSITIONS_AT_ONCE] * np.uint32(0x9E3779B1) for q, g in grams.items()}
+        for p in items.pairs:
+            second = grams[p.size][low + p.apart : low + p.apart + POSITIONS_AT_ONCE]
+            key = leading[p.size][: len(second)] + second
+            near = np.flatnonzero(p.bitmap.take(key >> np.uint32(p.shift)))
+            key = key[near]
+            begin = np.searchsorted(p.keys, key, side="left")
+            count = np.searchsorted(p.keys, key, side="right") - begin
+            held = np.flatnonzero(count)
+            places.append(near[held] + low)
+            first.append(begin[held] + p.first)
+            many.append(count[held])
+        if not places:
+            break
+        place, row, ends = np.concatenate(places), np.concatenate(first), np.cumsum(np.concatenate(many))
+        for begin in range(0, int(ends[-1]) if len(ends) else 0, PAIRS_AT_ONCE):
+            flat = np.arange(begin, min(begin + PAIRS_AT_ONCE, int(ends[-1])))
+            met = np.searchsorted(ends, flat, side="right")
+            pair = row[met] + flat - np.where(met > 0, ends[met - 1], 0)
+            block = items.block[pair].astype(np.int64)
+            at = place[met] - items.within[pair]
+            near = _near_blocks(items, classes, at, block)
+            block, at = block[near], at[near]
+            doc = np.searchsorted(starts, place[met[near]], side="right") - 1
+            at += left - items.start[block] - starts[doc]
+            found.append(np.unique((doc * len(items.ids) + items.item[block]) * wide + at))
+    both, at = np.divmod(np.unique(np.concatenate(found)), wide)
+    doc, item = np.divmod(both, len(items.ids))
+    # Places near each other are compared at a time.
+    sizes = np.array([_most(len(t), items.similarity) for t in items.texts], np.int64)
+    new = np.ones(len(at), bool)
+    new[1:] = (both[1:] != both[:-1]) | (np.diff(at) > sizes[item[1:]])
+    first = np.flatnonzero(new)
+    last = np.append(first[1:], len(at))[: len(first)] - 1
+    yield from zip(doc[first].tolist(), item[first].tolist(), (at[first] - left).tolist(), (at[last] - left).tolist())
+
+
+def _short(items: Items, codes: np.ndarray) -> Iterator[tuple[int, int]]:
+    """Items under ``SHORTEST`` characters, and where they occur between ends of words."""
+    if not items.short:
+        return
+    bounds = _bounds(codes)
+    places = np.flatnonzero(bounds[:-1] & (codes != 32) & (codes != 0))
+    for length, (hashes, those) in items.short.items():
+        here = places[places + length <= len(codes)]
+        here = here[bounds[here + length]]
+        key = _sum(codes, here, length)
+        first = np.searchsorted(hashes, key, side="left")
+        many = np.searchsorted(hashes, key, side="right") - first
+        for k in np.flatnonzero(many).tolist():
+            for item in those[first[k] : first[k] + many[k]].tolist():
+                yield item, int(here[k])
+
+
 def search(items: Items, texts: list[str]) -> list[list[tuple[int, int, int, int]]]:
     """For each text: (item, distance, begin, end), the nearest place of each item that occurs.
 
@@ -302,38 +429,21 @@ def search(items: Items, texts: list[str]) -> list[list[tuple[int, int, int, int
         return found
     for part in chunks(texts, [len(t) for t in texts], AT_ONCE):
         normal = Normal(texts[part])
-        places = _picked(normal.codes)
-        written = _written(np.concatenate([_classes(normal.codes), np.zeros(STEPS + 1, np.uint32)]), places)
-        meetings = []
-        for band, bitmap in zip(items.bands, items.bitmaps):
-            near = np.flatnonzero(bitmap.take(_quick(written, band)))
-            key = _key(written[:, near], band)
-            first = np.searchsorted(items.keys, key, side="left")
-            many = np.searchsorted(items.keys, key, side="right") - first
-            at = np.repeat(first - np.cumsum(many) + many, many) + np.arange(many.sum())
-            meetings.append(np.repeat(near, many) * len(items.item) + items.window[at])
-        met = np.unique(np.concatenate(meetings)) if meetings else np.zeros(0, np.int64)
-        pairs = np.stack(np.divmod(met, max(1, len(items.item))))
-        # Windows that met must be near in their other steps too.
-        agree = np.zeros(pairs.shape[1], bool)
-        for at in range(0, pairs.shape[1], PAIRS_AT_ONCE):
-            p, w = pairs[:, at : at + PAIRS_AT_ONCE]
-            agree[at : at + PAIRS_AT_ONCE] = (written[:, p] == items.written[:, w]).mean(axis=0) >= STEPS_AGREE
-        place, window = pairs[:, agree]
-        doc = np.searchsorted(normal.starts, places[place], side="right") - 1
-        k, offset = items.item[window], items.offset[window]
-        begin = places[place] - normal.starts[doc]
         best: dict[tuple[int, int], tuple[int, int, int]] = {}
-        tried: set[tuple[int, int, int]] = set()
         words: dict[int, str] = {}
-        for d, item, b, o in sorted(zip(doc.tolist(), k.tolist(), begin.tolist(), offset.tolist())):
-            # Windows of one occurrence point at about the same beginning.
-            if (d, item, (b - o) // 8) in tried:
-                continue
-            tried.add((d, item, (b - o) // 8))
+
+        for item, at in _short(items, normal.codes):
+            d = int(np.searchsorted(normal.starts, at, side="right")) - 1
+            if (d, item) not in best:
+                if d not in words:
+                    words[d] = normal.text(d)
+                b, e = at - int(normal.starts[d]), at - int(normal.starts[d]) + len(items.texts[item])
+                if words[d][b:e] == items.texts[item]:
+                    best[d, item] = 0, b, e
+        for d, item, first, last in _begins(items, normal.codes, normal.starts):
             if d not in words:
                 words[d] = normal.text(d)
-            hit = _verify(items, item, words[d], b, o)
+            hit = _verify(items, item, words[d], first, last)
             if hit and ((d, item) not in best or hit < best[d, item]):
                 best[d, item] = hit
         for (d, item), (distance, b, e) in sorted(best.items()):
@@ -387,10 +497,10 @@ def find_leaks(
     ``doc_id``, ``item_id``, ``distance`` (edits, of lower-case text with single
     spaces), ``similarity`` (1 - distance / length of the item), ``begin`` and ``end``
     (code points of the text). Null texts and ids: a null text has no occurrence, a
-    null id stays null. Items under ``SHORTEST`` characters say too little and are
-    left out. Repeated documents and items give repeated rows; other columns are not
-    read, whatever their names. Items are broadcast, at most ``ITEM_CHARS``
-    characters of them at a time.
+    null id stays null. Items under ``SHORTEST`` characters occur only exactly, between
+    ends of words; empty ones are left out. Repeated documents and items give repeated
+    rows; other columns are not read, whatever their names. Items are broadcast, at most
+    ``ITEM_CHARS`` characters of them at a time.
     """
     kind = dict(items.dtypes)[item_id]
     result = None

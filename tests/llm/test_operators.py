@@ -236,6 +236,27 @@ def test_leak_recall(benchmark_items, rows):
     assert caught >= 0.95 * len(items)
 
 
+def occurs(item, text, least=0.8):
+    """Whether a part of the text is near enough, by the edit distance of every part."""
+    return leaks.nearest(item, text)[0] <= int((1 - least) * len(item) + 1e-9)
+
+
+def test_leaks_of_short_items(rows):
+    short = ["Who wrote Romeo and Juliet?", "What is 12 times 12?", "yes", "a b"]
+    rng = random.Random(3)
+    items = short + ["".join(rng.choice("abcdefgh  ") for _ in range(n)).strip() + "?" for n in range(24, 44)]
+    items = [" ".join(i.split()) for i in items]
+    index = leaks.index(list(enumerate(items)))
+    for k, item in enumerate(items):
+        for _, around, _ in rows[:20]:
+            text = f"{around} {item} {around}"
+            hits = {h[0]: h for h in leaks.search(index, [text])[0]}
+            assert hits[k][1] == 0 and text[hits[k][2] : hits[k][3]].lower().split() == item.lower().split()
+    # Short ones as they are and between ends of words; longer ones also in part.
+    assert leaks.search(index, ["eyes, yesterday", "(Yes)", "a  B", "a bc"]) == [[], [(2, 0, 1, 4)], [(3, 0, 0, 4)], []]
+    assert leaks.search(index, ["who rote romeo and juliet", "who wrote hamlet and macbeth?"]) == [[(0, 2, 0, 25)], []]
+
+
 # --- licenses
 
 
