@@ -40,6 +40,12 @@ AT_ONCE = 1_000_000
 POSITIONS_AT_ONCE = 131_072
 PAIRS_AT_ONCE = 16_384
 ITEM_CHARS = 4_000_000
+# Scripts whose words are not set apart by spaces.
+UNSPACED = (
+    (0x0E00, 0x0FFF), (0x1000, 0x109F), (0x1780, 0x17FF), (0x1950, 0x19DF), (0x1A20, 0x1AAF), (0x1B00, 0x1B7F),
+    (0x2E80, 0x2FDF), (0x3005, 0x3007), (0x3040, 0x30FF), (0x31F0, 0x31FF), (0x3400, 0x4DBF), (0x4E00, 0x9FFF),
+    (0xA980, 0xA9DF), (0xAA60, 0xAADF), (0xF900, 0xFAFF), (0xFF66, 0xFF9F),
+)
 
 
 def _lower_table() -> np.ndarray:
@@ -80,6 +86,8 @@ class Normal:
 
 def _word_table() -> np.ndarray:
     table = np.array([unicodedata.category(chr(c))[0] in "LMN" for c in range(0x10000)])
+    for first, last in UNSPACED:
+        table[first : last + 1] = False
     return table
 
 
@@ -89,8 +97,8 @@ _in_words: np.ndarray | None = None
 def _bounds(codes: np.ndarray) -> np.ndarray:
     """Whether a word may begin or end before each character, and after the last one.
 
-    Not between two letters, marks or digits. Characters beyond 16 bits end words
-    everywhere.
+    Not between two letters, marks or digits. Scripts without spaces, and characters
+    beyond 16 bits, end words everywhere.
     """
     global _in_words
     if _in_words is None:

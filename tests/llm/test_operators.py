@@ -257,6 +257,29 @@ def test_leaks_of_short_items(rows):
     assert leaks.search(index, ["who rote romeo and juliet", "who wrote hamlet and macbeth?"]) == [[(0, 2, 0, 25)], []]
 
 
+def test_leaks_without_spaces():
+    rng = random.Random(4)
+    signs = [chr(0x4E00 + k) for k in range(400)] + [chr(0x0E01 + k) for k in range(40)] + list("のはをにで")
+
+    def run(n):
+        return "".join(rng.choice(signs) for _ in range(n))
+
+    items = [run(n) for n in (6, 12, 23, 24, 40, 90, 300)] + ["one two", "incomprehensibilities antidisestablishmentarianism"]
+    index = leaks.index(list(enumerate(items)))
+    for k, item in enumerate(items):
+        for before, after in ((run(200), run(200)), (run(50) + " ", run(50)), ("word other ", " and the")):
+            if k >= 7:
+                before, after = before + " ", " " + after
+            text = before + item + after
+            assert (k, 0, len(before), len(before) + len(item)) in leaks.search(index, [text])[0]
+            if len(item) >= leaks.SHORTEST:
+                for _ in range(5):
+                    edited = list(item)
+                    for at in rng.sample(range(len(item)), len(item) // 5):
+                        edited[at] = rng.choice(["", "x"])
+                    assert k in {h[0] for h in leaks.search(index, [before + "".join(edited) + after])[0]}
+
+
 # --- licenses
 
 
