@@ -280,6 +280,32 @@ def test_leaks_without_spaces():
                     assert k in {h[0] for h in leaks.search(index, [before + "".join(edited) + after])[0]}
 
 
+def edits(rng, text, share):
+    """The text with a share of its characters dropped, replaced or followed by another."""
+    chars = list(text)
+    for at in rng.sample(range(len(chars)), int(share * len(chars))):
+        chars[at] = rng.choice(["", rng.choice("aeinrst "), chars[at] + rng.choice("aeinrst ")])
+    return "".join(chars)
+
+
+@pytest.mark.parametrize("share", [0.1, 0.15, 0.2])
+def test_leak_recall_by_brute_force(benchmark_items, rows, share):
+    rng = random.Random(11)
+    long = [" ".join(r["text"].lower().split()) for r in benchmark_items.collect()]
+    items = long + [t[:n].strip() for t, n in zip(long, itertools.cycle(range(25, 80, 3)))]
+    index = leaks.index(list(enumerate(items)))
+    near = 0
+    for k, item in enumerate(items):
+        around = " ".join(rng.choice(rows)[1][:300].lower().split())
+        text = " ".join(f"{around} {edits(rng, item, share)} {around}".split())
+        found = {h[0]: h[1] for h in leaks.search(index, [text])[0]}
+        for other in {k, *range(k % 20, len(items), 20)}:
+            assert (other in found) == occurs(items[other], text)
+        near += k in found
+        assert k not in found or found[k] == leaks.nearest(item, text)[0]
+    assert near >= 0.95 * len(items)
+
+
 # --- licenses
 
 
