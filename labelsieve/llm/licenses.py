@@ -123,7 +123,10 @@ def _keys(shingles: Column, size: int, step: int, bands: int) -> Column:
     def of_band(band: int) -> Column:
         def minima(h: Column) -> Column:
             n = F.size(h) - (size - 1)
-            places = F.when(n > 0, F.sequence(F.lit(0), n - 1, F.lit(step))).otherwise(F.expr("array()").cast("array<int>"))
+            every = F.sequence(F.lit(0), n - 1, F.lit(step))
+            # The last place too, where the steps end before it.
+            every = every if step == 1 else F.array_union(every, F.array(n - 1))
+            places = F.when(n > 0, every).otherwise(F.expr("array()").cast("array<int>"))
 
             def least(p: Column) -> Column:
                 values = [F.get(h, p + k) for k in range(size)]

@@ -342,6 +342,14 @@ def test_edited_long_notice(spark):
     assert [r["license"] for r in found.collect()] == ["MIT"]
 
 
+def test_notice_at_the_end(spark):
+    notice = licenses.NOTICES["Apache-2.0"][0]
+    texts_ = [f"{'word ' * (k % 2)}first{k} second{k} third{k} fourth{k} {notice}" for k in range(400)]
+    docs = spark.createDataFrame(list(enumerate(texts_)), "doc_id long, text string")
+    found = licenses.scan(docs, licenses.templates(spark)).collect()
+    assert {r["doc_id"] for r in found if r["license"] == "Apache-2.0" and r["containment"] == 1.0} == set(range(400))
+
+
 # --- quality
 
 
