@@ -6,7 +6,19 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from labelsieve.catalog.registry import Query, table
-from labelsieve.llm import fingerprints, html_text, language, leaks, licenses, near, pieces, quality, toxicity
+from labelsieve.llm import (
+    fingerprints,
+    html_text,
+    language,
+    leaks,
+    lexical,
+    licenses,
+    near,
+    pieces,
+    quality,
+    toxicity,
+    whitening,
+)
 from labelsieve.llm.tokens import count_tokens
 
 QUERIES: dict[str, Query] = {}
@@ -132,3 +144,41 @@ def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 query(op3_license_scan, _LICENSE_SQL)
+
+
+# Terms by their pattern, counts by grouping, all scores of an item, its ten best.
+_TERM = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+_UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+
+
+def _terms_sql(text: str) -> str:
+    return f"regexp_extract_all(translate({text}, '{_UPPER}', '{_LOWER}'), '{_TERM}')"
+
+
+_SEARCH_SQL = f"""
+WITH d AS (SELECT doc_id, ts, len(ts) AS n FROM (SELECT doc_id, {_terms_sql("text")} AS ts FROM documents) WHERE len(ts) > 0),
+s AS (SELECT count(*) AS nd, CAST(sum(n) AS BIGINT) AS l FROM d),
+i AS (SELECT item_id, t, count(*) AS times FROM (SELECT item_id, unnest({_terms_sql("text")}) AS t FROM benchmark) GROUP BY ALL),
+p AS (SELECT doc_id, n, t, count(*) AS tf FROM (SELECT doc_id, n, unnest(ts) AS t FROM d) GROUP BY ALL),
+w AS (SELECT t, CAST(floor(1000.0::DOUBLE * ln(CAST(2 * nd + 2 AS DOUBLE) / (2.0::DOUBLE * count(*) + 1.0::DOUBLE))) AS BIGINT) AS w
+      FROM p, s WHERE t IN (SELECT t FROM i) GROUP BY t, nd),
+f AS (SELECT item_id, doc_id,
+             CAST(sum(times * w * ((1000000000 * tf) // (1000 * tf + 8 * (100 - 75 + ((75 * n * nd) // l))))) AS BIGINT) AS score
+      FROM i JOIN w USING (t) JOIN p USING (t), s GROUP BY ALL),
+r AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS k FROM f WHERE score > 0)
+SELECT item_id, CAST(k AS INTEGER) AS rank, doc_id, score FROM r WHERE k <= 10
+"""
+
+
+def op11_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten documents that match each benchmark item best."""
+    return lexical.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+query(op11_lexical_search, _SEARCH_SQL)
+
+
+@query
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whitened leading components of every embedding."""
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
