@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from labelsieve.catalog.registry import Query, table
 from labelsieve.llm import (
@@ -16,6 +17,7 @@ from labelsieve.llm import (
     near,
     pieces,
     quality,
+    sanitise,
     toxicity,
     whitening,
 )
@@ -178,6 +180,16 @@ def op11_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 query(op11_lexical_search, _SEARCH_SQL)
 
 
+@query
+def op12_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data in each document, and terms that give it away."""
+    found = sanitise.sanitise(table(spark, sf_dir, "documents"))
+    digest = F.sha2(F.col("sanitised").cast("binary"), 256).alias("sanitised_sha256")
+    return found.select(
+        "doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans", "n_term", digest
+    )
+
+
 @query
 def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Whitened leading components of every embedding."""
