@@ -1,10 +1,12 @@
 """Benchmark decontamination: near occurrences of benchmark items inside documents.
 
-The search loses no occurrence. An item is cut into blocks and a block into pieces, so
-that a near occurrence of the item has a block with two pieces more than edits. Two of
-its pieces then occur unchanged, and each piece between them has exactly one edit, which
-bounds their distance. Such pairs of grams are looked up at every position of a document;
-the blocks, then the items, are compared with the text around by their edit distance.
+A random walk over characters turns edits into differences at a few steps. As a walk may
+stay out of step after an edit, it starts anew at every character: an item, and every
+window of a document that is as long as the item, is a row of short walks. Bands sample
+some steps of a walk. Where enough bands of an item meet those of a document on about one
+diagonal (place in the document less place in the item), the window is a candidate, and
+the edit distance decides. Steps, samples, repeats and the bands that must meet depend on
+the item's length, so that the target recall is reached at the most edits allowed.
 """
 
 from __future__ import annotations
@@ -12,7 +14,7 @@ from __future__ import annotations
 import math
 import unicodedata
 from collections.abc import Callable, Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pandas as pd
@@ -20,26 +22,34 @@ from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from labelsieve.llm import leak_pairs
 from labelsieve.llm.texts import chunks, codepoints, plain, salts
 
 # An item occurs where the edit distance is at most 1 - SIMILARITY of its length.
 SIMILARITY = 0.8
-# Characters of the shortest item that is searched nearly; shorter ones occur only as they
-# are, between ends of words.
-SHORTEST = 24
-# Characters of a gram, for a bound that no near occurrence misses, and the longest piece.
+# Letters by which a place may cut the words at its ends: so many for each character that
+# the item has beyond WHOLE_WORDS. Up to that length an item occurs as whole words only.
+WHOLE_WORDS = 20
+CUT_LETTERS = 4
+# Share of the occurrences with the most edits that the walks' settings are chosen for.
+RECALL = 0.95
+# Bands of a walk.
+BANDS = 2
+# Characters of a gram, for a bound that no near occurrence misses.
 GRAM = 4
-LONGEST_PIECE = 8
-# Classes of characters that blocks are compared by, and characters of the longest block.
+# Classes of characters that share the walks' random bits.
 CLASSES = 64
-WORD = 64
-# Characters of a document chunk that is searched at a time, positions whose pairs of
-# grams are looked up at a time, pairs compared at a time, and characters of the items that
-# are broadcast at a time; a larger benchmark is searched in several rounds.
+# Bands that meet at neighbouring places tell the same thing: places up to GAP apart are a
+# run, and a run counts once for each SPAN places.
+GAP = 8
+SPAN = 12
+# Characters of a document chunk that is searched at a time, places that are walked from at
+# a time, and characters and number of the items that are broadcast at a time; a larger
+# benchmark is searched in several rounds.
 AT_ONCE = 1_000_000
-POSITIONS_AT_ONCE = 131_072
-PAIRS_AT_ONCE = 16_384
+PLACES_AT_ONCE = 16_384
 ITEM_CHARS = 4_000_000
+ITEMS = 20_000
 # Scripts whose words are not set apart by spaces.
 UNSPACED = (
     (0x0E00, 0x0FFF), (0x1000, 0x109F), (0x1780, 0x17FF), (0x1950, 0x19DF), (0x1A20, 0x1AAF), (0x1B00, 0x1B7F),
@@ -108,208 +118,340 @@ def _bounds(codes: np.ndarray) -> np.ndarray:
     return ~(word[:-1] & word[1:])
 
 
-_SALTS = (salts(max(LONGEST_PIECE, SHORTEST) + 1, 61) >> np.uint64(32)).astype(np.uint32) | np.uint32(1)
-
-
-def _spread(x: np.ndarray) -> np.ndarray:
-    """Spread the bits of 32-bit integers."""
-    x = (x ^ (x >> np.uint32(16))) * np.uint32(0x85EBCA6B)
-    x = (x ^ (x >> np.uint32(13))) * np.uint32(0xC2B2AE35)
-    return x ^ (x >> np.uint32(16))
-
-
-def _grams(codes: np.ndarray, size: int) -> np.ndarray:
-    """A hash of the ``size`` characters from each place."""
-    padded = np.concatenate([codes, np.zeros(size, codes.dtype)]).astype(np.uint32)
-    out = np.zeros(len(codes), np.uint32)
-    for k in range(size):
-        out += padded[k : k + len(codes)] * _SALTS[k]
-    return _spread(out)
-
-
-def _classes(codes: np.ndarray) -> np.ndarray:
-    """Characters by class; 0 is kept for what lies beyond a text."""
-    return ((codes % np.uint32(CLASSES - 1) + np.uint32(1)) * (codes > 0)).astype(np.uint8)
-
-
-def _most(length: int, similarity: float) -> int:
-    """Edits that an occurrence may have."""
-    return int((1.0 - similarity) * length + 1e-9)
-
+@dataclass(frozen=True)
+class Grade:
+    """How items from ``least`` characters on are searched.
 
-def _cut(length: int, most: int) -> tuple[int, list[int]]:
-    """Characters of a piece, and for each block of an item the edits that it may have.
+    Walks of ``steps`` steps see at most ``reach`` characters, for each of ``seeds`` walks.
+    A band samples every ``stride``-th of a walk's steps, from a step of its own on (the
+    first two steps have bands); ``votes`` bands must meet. ``edges``: walks start at both
+    ends of the item only, and run inwards.
+    """
 
-    A block of ``e`` edits has ``e + 2`` pieces. The edits that the blocks may have, one
-    more each, exceed ``most``, so some block has no more than its own.
+    least: int
+    steps: int
+    reach: int
+    stride: int
+    seeds: int
+    votes: int
+    # Share of the item's characters at which a short walk meets one of the item.
+    meet: float = 0.0
+    edges: bool = False
+
+    @property
+    def bands(self) -> int:
+        return min(BANDS, self.stride)
+
+
+# By falling length. The recall at a fifth of edits, measured on items of each grade, is in
+# the README.
+GRADES = (
+    Grade(160, 28, 20, 2, 1, 2, 0.22),
+    Grade(90, 28, 20, 2, 1, 1, 0.15),
+    Grade(56, 24, 18, 2, 2, 1, 0.1),
+    Grade(32, 16, 14, 2, 2, 1, 0.06),
+    Grade(WHOLE_WORDS, 10, 9, 2, 2, 1),
+    Grade(12, 12, 12, 3, 4, 1, edges=True),
+    Grade(8, 8, 8, 2, 4, 1, edges=True),
+    Grade(5, 5, 5, 2, 4, 1, edges=True),
+    Grade(1, 1, 1, 1, 1, 1, edges=True),
+)
+# Before the edit distance is taken, short walks about a candidate must meet those of the
+# item, a share of its characters (the grade's ``meet``) that all but about one in a hundred
+# occurrences with a fifth of edits have. Items have bits for the keys of their short walks.
+SHORT = Grade(32, 10, 9, 1, 1, 1)
+SHORT_BITS = 14
+# Bits of a band's key and of a step; those of a walk share a 64-bit number.
+_KEY_BITS, _STEP_BITS = 28, 6
+_STEP_MASK = (1 << _STEP_BITS) - 1
+
+
+def _walk_table(grade: Grade, seed: int) -> np.ndarray:
+    """By class and step: how many steps the walk stays, and what that adds to each band.
+
+    The random bits are the same for all texts. A band's share of a stay is the sum, over
+    the sampled steps in it, of a random number that the step and the class have.
     """
-    for size in range(LONGEST_PIECE, 0, -1):
-        blocks = min(length // size - most - 1, most + 1)
-        if blocks >= 1:
-            more, rest = divmod(most + 1, blocks)
-            return size, [more - 1 + (b < rest) for b in range(blocks)]
-    return 1, []
+    steps = grade.steps
+    bits = salts(CLASSES * steps, 1000 + seed).reshape(CLASSES, steps)
+    moves = ((bits >> np.uint64(27)) & np.uint64(1)).astype(bool)
+    moves[:, -1] = True
+    table = np.zeros((CLASSES, steps + 1), np.int64)
+    stay = np.zeros((CLASSES, steps + 1), np.int64)
+    for s in range(steps - 1, -1, -1):
+        stay[:, s] = np.where(moves[:, s], 1, stay[:, s + 1] + 1)
+    table += stay
+    for band in range(grade.bands):
+        worth = salts(CLASSES * steps, 3000 + BANDS * seed + band).reshape(CLASSES, steps) >> np.uint64(40)
+        for t in range(band, steps, grade.stride):
+            for s in range(t + 1):
+                table[:, s] += ((s + stay[:, s] > t) * worth[:, t].astype(np.int64)) << (_STEP_BITS + _KEY_BITS * band)
+    return table.ravel()
+
+
+class Walks:
+    """The walks of one grade and seed."""
+
+    def __init__(self, grade: Grade, seed: int):
+        self.grade = grade
+        self.table = _walk_table(grade, seed)
+        # Classes by the row of the table that they have.
+        self.width = grade.steps + 1
+
+    def rows(self, codes: np.ndarray) -> np.ndarray:
+        """Table rows of characters; so many more that a walk from the last one ends."""
+        ends = np.zeros(self.grade.reach, np.int64)
+        return np.concatenate([(codes % np.uint32(CLASSES)).astype(np.int64) * self.width, ends])
+
+    def written(self, rows: np.ndarray, places: slice | np.ndarray) -> np.ndarray:
+        """What walks from some places write: their steps and the keys of their bands."""
+        n = places.stop - places.start if isinstance(places, slice) else len(places)
+        walk, step, gain = np.zeros(n, np.int64), np.empty(n, np.int64), np.empty(n, np.int64)
+        for k in range(self.grade.reach):
+            here = rows[places.start + k : places.stop + k] if isinstance(places, slice) else rows.take(places + k)
+            np.bitwise_and(walk, _STEP_MASK, out=step)
+            np.add(step, here, out=step)
+            np.take(self.table, step, out=gain, mode="clip")
+            np.add(walk, gain, out=walk)
+        return walk
+
+    def seen(self, rows: np.ndarray, n: int) -> np.ndarray:
+        """Characters that the walks from the first ``n`` places see."""
+        step, seen = np.zeros(n, np.int64), np.zeros(n, np.int64)
+        for k in range(self.grade.reach):
+            seen += step < self.grade.steps
+            step += self.table.take(rows[k : n + k] + step) & _STEP_MASK
+        return seen
 
 
 @dataclass(frozen=True)
-class Pairs:
-    """Hashes of pairs of grams of ``size`` characters, ``apart`` characters from each other.
+class Band:
+    """Sorted keys of the items' walks in one band, the item and the place in it of each.
 
-    ``keys`` are sorted; rows of ``Items.block`` and ``Items.within`` begin at ``first``.
-    ``bitmap`` has the first bits of the keys.
+    ``backwards``: the walk ran from the end of the item, and places count from there.
     """
 
-    size: int
-    apart: int
     keys: np.ndarray
-    first: int
-    shift: int
+    item: np.ndarray
+    place: np.ndarray
     bitmap: np.ndarray
+    backwards: bool
 
 
 @dataclass(frozen=True)
 class Items:
-    """Normalised items, their blocks, and the pairs of grams that lead to them.
-
-    ``item``, ``start`` (in the item), ``place`` (in ``classes``), ``length`` and
-    ``edits`` are by block. ``block`` and ``within`` (the place of the first gram in its
-    block) are by pair. ``short`` has the items under ``SHORTEST`` by length: hashes,
-    sorted, and the items.
-    """
+    """Normalised items, their most edits, and the bands of each grade and seed."""
 
     ids: list
     texts: list[str]
-    classes: np.ndarray
-    item: np.ndarray
-    start: np.ndarray
-    place: np.ndarray
-    length: np.ndarray
-    edits: np.ndarray
-    pairs: list[Pairs]
-    block: np.ndarray
-    within: np.ndarray
-    short: dict[int, tuple[np.ndarray, np.ndarray]]
+    sizes: np.ndarray
+    most: np.ndarray
+    votes: np.ndarray
+    meet: np.ndarray
+    bands: dict[tuple[Grade, int], list[list[Band]]]
+    # By item and key of a short walk, a bit.
+    short: np.ndarray
     similarity: float
 
 
-def _joined(first: np.ndarray, second: np.ndarray) -> np.ndarray:
-    return first * np.uint32(0x9E3779B1) + second
+def _most(length: int, similarity: float) -> int:
+    """Edits that an occurrence may have."""
+    return int((1.0 - similarity) * length + 1e-9)
+
+
+def _grade(length: int) -> int:
+    return next(g for g, grade in enumerate(GRADES) if length >= grade.least)
+
+
+def _key(walk: np.ndarray, band: int) -> np.ndarray:
+    return (walk >> (_STEP_BITS + _KEY_BITS * band)) & ((1 << _KEY_BITS) - 1)
+
+
+def _band(keys: np.ndarray, item: np.ndarray, place: np.ndarray, backwards: bool) -> Band:
+    order = np.argsort(keys, kind="stable")
+    bits = min(22, max(14, math.ceil(math.log2(32 * max(1, len(keys))))))
+    # The last bits of a sum of random numbers are even.
+    bitmap = np.zeros(1 << bits, bool)
+    bitmap[keys & ((1 << bits) - 1)] = True
+    return Band(keys[order].astype(np.uint32), item[order].astype(np.int32), place[order].astype(np.int32), bitmap, backwards)
 
 
 def index(items: list[tuple], similarity: float = SIMILARITY) -> Items:
     """Index (id, text) pairs; null and empty texts are left out."""
-    if similarity < 0.1:
-        raise ValueError("similarity under 0.1 leaves no pieces to search by")
-    ids, texts, codes = [], [], [np.zeros(0, np.uint32)]
-    rows: list[tuple[int, int, int, int, int]] = []
-    by_length: dict[int, list[int]] = {}
-    base = 0
+    ids, texts = [], []
     for i, text in items:
         whole = Normal([plain(text)]).text(0).strip(" ")
-        if not whole:
-            continue
-        size, blocks = _cut(len(whole), _most(len(whole), similarity)) if len(whole) >= SHORTEST else (0, [])
-        if not blocks:
-            by_length.setdefault(len(whole), []).append(len(ids))
-        start = 0
-        for edits in blocks:
-            rows.append((len(ids), start, base + start, size, edits))
-            start += size * (edits + 2)
-        ids.append(i)
-        texts.append(whole)
-        codes.append(codepoints(whole))
-        base += len(whole)
-    flat = np.concatenate(codes)
-    item, start, place, size, edits = np.array(rows, np.int64).reshape(-1, 5).T
-    found: dict[tuple[int, int], list[tuple[np.ndarray, np.ndarray, np.ndarray]]] = {}
-    for q in np.unique(size).tolist():
-        grams = _grams(flat, q)
-        for e in np.unique(edits[size == q]).tolist():
-            those = np.flatnonzero((size == q) & (edits == e))
-            for i in range(e + 1):
-                for j in range(i + 1, e + 2):
-                    keys = _joined(grams[place[those] + q * i], grams[place[those] + q * j])
-                    for moved in range(i + 1 - j, j - i):
-                        many = found.setdefault((q, q * (j - i) + moved), [])
-                        many.append((keys, those, np.full(len(those), q * i)))
-    pairs, block, within, first = [], [np.zeros(0, np.int32)], [np.zeros(0, np.int16)], 0
-    for (q, apart), many in sorted(found.items()):
-        keys, those, at = (np.concatenate(x) for x in zip(*many))
-        order = np.argsort(keys, kind="stable")
-        bits = min(22, max(16, math.ceil(math.log2(64 * len(keys)))))
-        bitmap = np.zeros(1 << bits, bool)
-        bitmap[keys >> np.uint32(32 - bits)] = True
-        pairs.append(Pairs(q, apart, keys[order], first, 32 - bits, bitmap))
-        block.append(those[order].astype(np.int32))
-        within.append(at[order].astype(np.int16))
-        first += len(keys)
-    short = {}
-    for n, those in sorted(by_length.items()):
-        hashes = np.array([_sum(codepoints(texts[k]), np.zeros(1, np.int64), n)[0] for k in those], np.uint32)
-        order = np.argsort(hashes, kind="stable")
-        short[n] = hashes[order], np.array(those, np.int64)[order]
+        if whole:
+            ids.append(i)
+            texts.append(whole)
+    sizes = np.array([len(t) for t in texts], np.int64)
+    grades = np.array([_grade(len(t)) for t in texts], np.int64)
+    bands: dict[tuple[Grade, int], list[list[Band]]] = {}
+    for g in np.unique(grades).tolist():
+        grade = GRADES[g]
+        mine = np.flatnonzero(grades == g)
+        flat = codepoints("".join(texts[k] for k in mine))
+        lengths = sizes[mine]
+        ends = np.cumsum(lengths)
+        item = np.repeat(mine, lengths)
+        place = np.arange(len(flat)) - np.repeat(ends - lengths, lengths)
+        for seed in range(grade.seeds):
+            walks = Walks(grade, seed)
+            sides = []
+            for backwards in (False, True) if grade.edges else (False,):
+                rows = walks.rows(flat[::-1] if backwards else flat)
+                if grade.edges:
+                    # Reversed texts begin where the texts end, the last one first.
+                    held = len(flat) - ends[::-1] if backwards else ends - lengths
+                    whose, at = mine[::-1] if backwards else mine, np.zeros(len(mine), np.int64)
+                else:
+                    # Only walks that the item's own characters last for.
+                    held = np.flatnonzero(place + walks.seen(rows, len(flat)) <= np.repeat(lengths, lengths))
+                    whose, at = item[held], place[held]
+                walk = walks.written(rows, slice(0, len(flat)))[held]
+                sides.append([_band(_key(walk, b), whose, at, backwards) for b in range(grade.bands)])
+            bands[grade, seed] = sides
+    short = np.zeros((len(texts), (1 << SHORT_BITS) >> 3), np.uint8)
+    long = np.flatnonzero(sizes >= SHORT.least)
+    flat = codepoints("".join(texts[k] for k in long))
+    keys, owner = _short_keys(flat), np.repeat(long, sizes[long])
+    np.bitwise_or.at(short, (owner, keys >> 3), np.uint8(1) << (keys & 7).astype(np.uint8))
     return Items(
         ids,
         texts,
-        _classes(flat),
-        item,
-        start,
-        place,
-        size * (edits + 2),
-        edits,
-        pairs,
-        np.concatenate(block),
-        np.concatenate(within),
+        sizes,
+        np.array([_most(len(t), similarity) for t in texts], np.int64),
+        np.array([GRADES[g].votes for g in grades], np.int64),
+        np.array([GRADES[g].meet for g in grades], np.float64),
+        bands,
         short,
         similarity,
     )
 
 
-def _sum(codes: np.ndarray, places: np.ndarray, length: int) -> np.ndarray:
-    """A hash of the ``length`` characters from each of some places."""
-    out = np.zeros(len(places), np.uint32)
-    for k in range(length):
-        out += codes.take(places + k) * _SALTS[k % len(_SALTS)]
-        out = _spread(out)
-    return out
-
-
-def _near_blocks(items: Items, classes: np.ndarray, at: np.ndarray, block: np.ndarray) -> np.ndarray:
-    """Whether each block occurs nearly in the text around, where its beginning is ``at``.
-
-    The bit-parallel search of :func:`nearest`, for many blocks side by side. Characters
-    of a class count as equal, so the distance is never too large. ``classes`` begin
-    with ``2 * WORD`` places that lie before the text.
-    """
-    length, edits = items.length[block], items.edits[block]
-    least = np.where(length > WORD, np.int8(0), np.int8(127))
-    own, row = np.unique(block, return_inverse=True)
-    here, sizes = items.place[own], np.minimum(items.length[own], WORD)
-    masks = np.zeros(len(own) * CLASSES, np.uint64)
-    for k in range(int(sizes.max(initial=0))):
-        on = np.flatnonzero(sizes > k)
-        masks[on * CLASSES + items.classes[here[on] + k]] |= np.uint64(1 << k)
-    one, top = np.uint64(1), (np.minimum(length, WORD) - 1).astype(np.uint64)
-    plus = np.full(len(block), ~np.uint64(0))
-    minus = np.zeros(len(block), np.uint64)
-    score = np.minimum(length, WORD).astype(np.int8)
-    row = row.reshape(-1) * CLASSES
-    place = at - edits + 2 * WORD
-    for _ in range(int((np.minimum(length, WORD) + 2 * edits).max(initial=0))):
-        match = masks.take(row + classes.take(place, mode="clip"))
-        place += 1
-        vertical = match | minus
-        match = (((match & plus) + plus) ^ plus) | match | minus
-        up = minus | ~(match | plus)
-        down = plus & match
-        score += ((up >> top) & one).astype(np.int8)
-        score -= ((down >> top) & one).astype(np.int8)
-        np.minimum(least, score, out=least)
-        up <<= one
-        down <<= one
-        plus = down | ~(vertical | up)
-        minus = up & vertical
-    return least <= edits
+def _short_keys(codes: np.ndarray) -> np.ndarray:
+    """A few bits of the short walk from each place."""
+    walks = Walks(SHORT, 0)
+    rows = walks.rows(codes)
+    parts = [
+        walks.written(rows, slice(low, min(low + PLACES_AT_ONCE, len(codes))))
+        for low in range(0, len(codes), PLACES_AT_ONCE)
+    ]
+    walk = np.concatenate(parts or [np.zeros(0, np.int64)])
+    return (_key(walk, 0) & ((1 << SHORT_BITS) - 1)).astype(np.int32)
+
+
+def _alike(items: Items, shorts: np.ndarray, low: np.ndarray, high: np.ndarray, item: np.ndarray) -> np.ndarray:
+    """Whether enough short walks between two places are those of the item."""
+    flags = items.short.ravel()
+    many = np.zeros(len(item), np.int64)
+    for part in chunks(item, (high - low).tolist(), AT_ONCE):
+        size = high[part] - low[part]
+        ends = np.cumsum(size)
+        at = np.arange(int(ends[-1])) + np.repeat(low[part] - (ends - size), size)
+        key = shorts.take(at)
+        met = flags.take(np.repeat(item[part] * items.short.shape[1], size) + (key >> 3)) >> (key & 7).astype(np.uint8)
+        total = np.concatenate([[0], np.cumsum(met & 1)])
+        many[part] = total[ends] - total[ends - size]
+    return many >= items.meet[item] * items.sizes[item]
+
+
+def _met(band: Band, walk: np.ndarray, number: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Which walks a band has met: their number, the item and the place in it, a row for each meeting."""
+    last = (walk >> (_STEP_BITS + _KEY_BITS * number)) & (len(band.bitmap) - 1)
+    near = np.flatnonzero(band.bitmap.take(last))
+    keys = _key(walk[near], number).astype(np.uint32)
+    first = np.searchsorted(band.keys, keys, side="left")
+    many = np.searchsorted(band.keys, keys, side="right") - first
+    held = np.flatnonzero(many)
+    ends = np.cumsum(many[held])
+    row = np.arange(int(ends[-1]) if len(ends) else 0)
+    row += np.repeat(first[held] - (ends - many[held]), many[held])
+    return np.repeat(near[held], many[held]), band.item[row].astype(np.int64), band.place[row].astype(np.int64)
+
+
+def _candidates(items: Items, codes: np.ndarray, starts: np.ndarray) -> Iterator[tuple[int, int, int, int]]:
+    """Text, item, and the first and last place where it may begin."""
+    left = int(items.sizes.max(initial=0))
+    wide = len(codes) + left + 1
+    many = len(items.sizes)
+    found: list[tuple[np.ndarray, np.ndarray]] = []
+    bounds = None
+
+    def add(here: np.ndarray, item: np.ndarray, begin: np.ndarray, place: np.ndarray) -> None:
+        doc = np.searchsorted(starts, here, side="right") - 1
+        found.append(((doc * many + item) * wide + begin - starts[doc] + left, place))
+
+    for (grade, seed), sides in items.bands.items():
+        walks = Walks(grade, seed)
+        for side in sides:
+            backwards = side[0].backwards
+            rows = walks.rows(codes[::-1] if backwards else codes)
+            places: np.ndarray | None = None
+            if grade.edges:
+                if bounds is None:
+                    bounds = _bounds(codes)
+                # Where a word may begin, and the last characters of words.
+                inside = (codes != 32) & (codes != 0)
+                places = np.flatnonzero((bounds[1:] if backwards else bounds[:-1]) & inside)
+                places = np.sort(len(codes) - 1 - places) if backwards else places
+            for low in range(0, len(codes) if places is None else len(places), PLACES_AT_ONCE):
+                if places is None:
+                    part: slice | np.ndarray = slice(low, min(low + PLACES_AT_ONCE, len(codes)))
+                else:
+                    part = places[low : low + PLACES_AT_ONCE]
+                walk = walks.written(rows, part)
+                for number, band in enumerate(side):
+                    at, item, place = _met(band, walk, number)
+                    here = at + low if places is None else part[at]
+                    if backwards:
+                        here = len(codes) - 1 - here
+                        add(here, item, here + 1 - items.sizes[item], place)
+                    else:
+                        add(here, item, here - place, place)
+    if not found:
+        return
+    key, place = (np.concatenate(x) for x in zip(*found))
+    order = np.lexsort((place, key))
+    key, place = key[order], place[order]
+    new = np.ones(len(key), bool)
+    new[1:] = (key[1:] != key[:-1]) | (place[1:] - place[:-1] > GAP)
+    run = np.flatnonzero(new)[np.cumsum(new) - 1]
+    counted = (place - place[run]) // SPAN
+    new[1:] |= counted[1:] != counted[:-1]
+    both, at = np.divmod(key[new], wide)
+    item = both % many
+    shorts: np.ndarray | None = None
+    # As many places as the item needs votes, all within its most edits.
+    for votes in np.unique(items.votes[item]).tolist():
+        mine = np.flatnonzero(items.votes[item] == votes)
+        if votes > 1 and len(mine):
+            ahead = mine[votes - 1 :]
+            first = mine[: len(ahead)]
+            near = (both[ahead] == both[first]) & (at[ahead] - at[first] <= items.most[item[first]])
+            kept = np.zeros(len(mine), bool)
+            for k in range(votes):
+                kept[k : k + len(near)] |= near
+            mine = mine[kept]
+        key = np.unique(both[mine] * wide + at[mine])
+        pair, begin = np.divmod(key, wide)
+        doc, which = np.divmod(pair, many)
+        # Places near each other are compared at a time.
+        new = np.ones(len(begin), bool)
+        new[1:] = (pair[1:] != pair[:-1]) | (np.diff(begin) > items.most[which[1:]])
+        first = np.flatnonzero(new)
+        last = np.append(first[1:], len(begin))[: len(first)] - 1
+        doc, which, begin, end = doc[first], which[first], begin[first] - left, begin[last] - left
+        if not len(doc):
+            continue
+        if shorts is None and (items.sizes >= SHORT.least).any():
+            shorts = _short_keys(codes)
+        if shorts is not None:
+            low = starts[doc] + np.maximum(begin - items.most[which], 0)
+            high = np.minimum(starts[doc + 1], starts[doc] + end + items.sizes[which] + items.most[which])
+            kept = np.flatnonzero(_alike(items, shorts, low, np.maximum(low, high), which))
+            doc, which, begin, end = doc[kept], which[kept], begin[kept], end[kept]
+        yield from zip(doc.tolist(), which.tolist(), begin.tolist(), end.tolist())
 
 
 def nearest(item: str, text: str) -> tuple[int, int]:
@@ -341,15 +483,82 @@ def nearest(item: str, text: str) -> tuple[int, int]:
     return best, end
 
 
-def _verify(items: Items, k: int, text: str, first: int, last: int) -> tuple[int, int, int] | None:
+def _in_part(bounds: np.ndarray, begin: int, end: int) -> int:
+    """Letters of the words at both ends that a place cuts off."""
+    before, after = begin, end
+    while not bounds[before]:
+        before -= 1
+    while not bounds[after]:
+        after += 1
+    return begin - before + after - end
+
+
+def _allowed(items: Items, k: int, bounds: np.ndarray, begin: int, end: int) -> bool:
+    """Whether the place cuts no more of the words at its ends than the item may."""
+    spare = max(0, CUT_LETTERS * (len(items.texts[k]) - WHOLE_WORDS))
+    reach = slice(max(0, begin - spare), begin + 1), slice(end, end + spare + 1)
+    return bool(bounds[reach[0]].any() and bounds[reach[1]].any()) and _in_part(bounds, begin, end) <= spare
+
+
+def _ends(item: str, region: str) -> list[tuple[int, int]]:
+    """(distance, end) for each end of a part of ``region``, by falling likeness to ``item``."""
+    m = len(item)
+    last = list(range(m + 1))
+    out = []
+    for j, c in enumerate(region, 1):
+        row = [0] * (m + 1)
+        for i in range(1, m + 1):
+            row[i] = min(last[i] + 1, row[i - 1] + 1, last[i - 1] + (item[i - 1] != c))
+        last = row
+        out.append((row[m], j))
+    return sorted(out)
+
+
+def _begins_of(item: str, region: str) -> list[tuple[int, int]]:
+    """(distance, length) of each part of ``region`` that ends at its end, whole ``item`` compared."""
+    m = len(item)
+    last = list(range(m + 1))
+    out = []
+    for j, c in enumerate(reversed(region), 1):
+        row = [j] + [0] * m
+        for i in range(1, m + 1):
+            row[i] = min(last[i] + 1, row[i - 1] + 1, last[i - 1] + (item[m - i] != c))
+        last = row
+        out.append((row[m], j))
+    return sorted(out)
+
+
+def _whole_words(items: Items, k: int, region: str, bounds: np.ndarray, low: int) -> tuple[int, int, int] | None:
+    """The nearest place in a region that is allowed to begin and end there, for short items."""
+    item, most = items.texts[k], int(items.most[k])
+    best: tuple[int, int, int] | None = None
+    for distance, end in _ends(item, region):
+        if distance > most or (best and distance > best[0]):
+            break
+        part = region[max(0, end - len(item) - most) : end]
+        for whole, length in _begins_of(item, part):
+            if whole > most or (best and whole > best[0]):
+                break
+            place = whole, low + end - length, low + end
+            if _allowed(items, k, bounds, place[1], place[2]) and (best is None or place < best):
+                best = place
+    return best
+
+
+def _verify(
+    items: Items, k: int, text: str, bounds: Callable[[], np.ndarray], first: int, last: int
+) -> tuple[int, int, int] | None:
     """Distance, begin and end if the item begins about ``first`` to ``last`` of a normalised text."""
-    item = items.texts[k]
-    most = _most(len(item), items.similarity)
+    item, most = items.texts[k], int(items.most[k])
     low = max(0, first - most)
     region = text[low : last + len(item) + most]
     at = region.find(item)
-    if at >= 0:
-        return 0, low + at, low + at + len(item)
+    while at >= 0:
+        if _allowed(items, k, bounds(), low + at, low + at + len(item)):
+            return 0, low + at, low + at + len(item)
+        at = region.find(item, at + 1)
+    if not most:
+        return None
     # Each edit spoils at most GRAM grams of the item; the others occur in the region.
     there = {region[i : i + GRAM] for i in range(len(region) - GRAM + 1)}
     grams = len(item) - GRAM + 1
@@ -360,98 +569,42 @@ def _verify(items: Items, k: int, text: str, first: int, last: int) -> tuple[int
         return None
     # The shortest part that ends there: the same search from the other side.
     _, length = nearest(item[::-1], region[:end][::-1])
-    return distance, low + end - length, low + end
+    if _allowed(items, k, bounds(), low + end - length, low + end):
+        return distance, low + end - length, low + end
+    # Another place may be as near, or near enough, and lie between ends of words.
+    return _whole_words(items, k, region, bounds(), low) if len(item) <= 2 * WHOLE_WORDS else None
 
 
-def _begins(items: Items, codes: np.ndarray, starts: np.ndarray) -> Iterator[tuple[int, int, int, int]]:
-    """Text, item of ``SHORTEST`` characters and more, and the first and last place where it may begin."""
-    classes = np.concatenate([np.zeros(2 * WORD, np.uint8), _classes(codes), np.zeros(1, np.uint8)])
-    grams = {q: _grams(codes, q) for q in {p.size for p in items.pairs}}
-    found = [np.zeros(0, np.int64)]
-    # A place may lie before the text.
-    left = max(len(t) for t in items.texts)
-    wide = len(codes) + left + 1
-    for low in range(0, len(codes), POSITIONS_AT_ONCE):
-        places, first, many = [], [], []
-        leading = {q: g[low : low + POSITIONS_AT_ONCE] * np.uint32(0x9E3779B1) for q, g in grams.items()}
-        for p in items.pairs:
-            second = grams[p.size][low + p.apart : low + p.apart + POSITIONS_AT_ONCE]
-            key = leading[p.size][: len(second)] + second
-            near = np.flatnonzero(p.bitmap.take(key >> np.uint32(p.shift)))
-            key = key[near]
-            begin = np.searchsorted(p.keys, key, side="left")
-            count = np.searchsorted(p.keys, key, side="right") - begin
-            held = np.flatnonzero(count)
-            places.append(near[held] + low)
-            first.append(begin[held] + p.first)
-            many.append(count[held])
-        if not places:
-            break
-        place, row, ends = np.concatenate(places), np.concatenate(first), np.cumsum(np.concatenate(many))
-        for begin in range(0, int(ends[-1]) if len(ends) else 0, PAIRS_AT_ONCE):
-            flat = np.arange(begin, min(begin + PAIRS_AT_ONCE, int(ends[-1])))
-            met = np.searchsorted(ends, flat, side="right")
-            pair = row[met] + flat - np.where(met > 0, ends[met - 1], 0)
-            block = items.block[pair].astype(np.int64)
-            at = place[met] - items.within[pair]
-            near = _near_blocks(items, classes, at, block)
-            block, at = block[near], at[near]
-            doc = np.searchsorted(starts, place[met[near]], side="right") - 1
-            at += left - items.start[block] - starts[doc]
-            found.append(np.unique((doc * len(items.ids) + items.item[block]) * wide + at))
-    both, at = np.divmod(np.unique(np.concatenate(found)), wide)
-    doc, item = np.divmod(both, len(items.ids))
-    # Places near each other are compared at a time.
-    sizes = np.array([_most(len(t), items.similarity) for t in items.texts], np.int64)
-    new = np.ones(len(at), bool)
-    new[1:] = (both[1:] != both[:-1]) | (np.diff(at) > sizes[item[1:]])
-    first = np.flatnonzero(new)
-    last = np.append(first[1:], len(at))[: len(first)] - 1
-    yield from zip(doc[first].tolist(), item[first].tolist(), (at[first] - left).tolist(), (at[last] - left).tolist())
-
-
-def _short(items: Items, codes: np.ndarray) -> Iterator[tuple[int, int]]:
-    """Items under ``SHORTEST`` characters, and where they occur between ends of words."""
-    if not items.short:
-        return
-    bounds = _bounds(codes)
-    places = np.flatnonzero(bounds[:-1] & (codes != 32) & (codes != 0))
-    for length, (hashes, those) in items.short.items():
-        here = places[places + length <= len(codes)]
-        here = here[bounds[here + length]]
-        key = _sum(codes, here, length)
-        first = np.searchsorted(hashes, key, side="left")
-        many = np.searchsorted(hashes, key, side="right") - first
-        for k in np.flatnonzero(many).tolist():
-            for item in those[first[k] : first[k] + many[k]].tolist():
-                yield item, int(here[k])
-
-
-def search(items: Items, texts: list[str]) -> list[list[tuple[int, int, int, int]]]:
+def search(items: Items, texts: list[str], exhaustive: bool = False) -> list[list[tuple[int, int, int, int]]]:
     """For each text: (item, distance, begin, end), the nearest place of each item that occurs.
 
     Places are code points of the given text. Of equally near places the first counts.
+    ``exhaustive`` looks up pairs of unchanged grams instead of bands, which no occurrence
+    escapes (of items of two characters and more): a measure for tests, and slower.
     """
     found: list[list[tuple[int, int, int, int]]] = [[] for _ in texts]
     if not items.ids:
         return found
+    blocks = leak_pairs.blocks_of(items.texts, items.most.tolist()) if exhaustive else None
     for part in chunks(texts, [len(t) for t in texts], AT_ONCE):
         normal = Normal(texts[part])
         best: dict[tuple[int, int], tuple[int, int, int]] = {}
         words: dict[int, str] = {}
-
-        for item, at in _short(items, normal.codes):
-            d = int(np.searchsorted(normal.starts, at, side="right")) - 1
-            if (d, item) not in best:
-                if d not in words:
-                    words[d] = normal.text(d)
-                b, e = at - int(normal.starts[d]), at - int(normal.starts[d]) + len(items.texts[item])
-                if words[d][b:e] == items.texts[item]:
-                    best[d, item] = 0, b, e
-        for d, item, first, last in _begins(items, normal.codes, normal.starts):
+        ends: dict[int, np.ndarray] = {}
+        if blocks is None:
+            places = _candidates(items, normal.codes, normal.starts)
+        else:
+            places = leak_pairs.begins(blocks, normal.codes, normal.starts)
+        for d, item, first, last in places:
             if d not in words:
                 words[d] = normal.text(d)
-            hit = _verify(items, item, words[d], first, last)
+
+            def bounds(d: int = d) -> np.ndarray:
+                if d not in ends:
+                    ends[d] = _bounds(codepoints(words[d]))
+                return ends[d]
+
+            hit = _verify(items, item, words[d], bounds, first, last)
             if hit and ((d, item) not in best or hit < best[d, item]):
                 best[d, item] = hit
         for (d, item), (distance, b, e) in sorted(best.items()):
@@ -460,14 +613,15 @@ def search(items: Items, texts: list[str]) -> list[list[tuple[int, int, int, int
     return found
 
 
-def _rounds(items: DataFrame, item_id: str, text: str, similarity: float) -> Iterator[Items]:
-    """Indexes of the items, a bounded part of them at a time."""
-    known = items.select(F.col(item_id).alias("i"), F.col(text).alias("t")).where(F.col("t").isNotNull())
-    chars = known.agg(F.sum(F.length("t")).alias("n")).first()["n"] or 0
-    rounds = max(1, math.ceil(chars / ITEM_CHARS))
+def _rounds(items: DataFrame, text: str, similarity: float) -> Iterator[Items]:
+    """Indexes of the distinct item texts, a bounded part of them at a time."""
+    known = items.select(F.col(text).alias("t")).where(F.col("t").isNotNull()).distinct()
+    size = known.agg(F.sum(F.length("t")).alias("chars"), F.count(F.lit(1)).alias("n")).first()
+    rounds = max(1, math.ceil((size["chars"] or 0) / ITEM_CHARS), math.ceil(size["n"] / ITEMS))
     for k in range(rounds):
         part = known.where(F.pmod(F.xxhash64("t"), F.lit(rounds)) == k) if rounds > 1 else known
-        yield index(sorted(((r["i"], r["t"]) for r in part.collect()), key=repr), similarity)
+        texts = sorted(r["t"] for r in part.collect())
+        yield index([(t, t) for t in texts], similarity)
 
 
 def _locator(shared: Broadcast) -> Callable[[Iterator[pd.Series]], Iterator[pd.Series]]:
@@ -505,27 +659,28 @@ def find_leaks(
     ``doc_id``, ``item_id``, ``distance`` (edits, of lower-case text with single
     spaces), ``similarity`` (1 - distance / length of the item), ``begin`` and ``end``
     (code points of the text). Null texts and ids: a null text has no occurrence, a
-    null id stays null. Items under ``SHORTEST`` characters occur only exactly, between
-    ends of words; empty ones are left out. Repeated documents and items give repeated
-    rows; other columns are not read, whatever their names. Items are broadcast, at most
-    ``ITEM_CHARS`` characters of them at a time.
+    null id stays null. The same share of edits holds at every length; a place may cut
+    words at its ends only as ``CUT_LETTERS`` says, and empty items are left out. Repeated
+    documents and items give repeated rows; other columns are not read, whatever their
+    names. Distinct item texts are broadcast, at most ``ITEM_CHARS`` characters at a time;
+    an item text is searched once however often it is there.
     """
-    kind = dict(items.dtypes)[item_id]
     result = None
-    for part in _rounds(items, item_id, item_text, similarity):
+    for part in _rounds(items, item_text, similarity):
         shared = docs.sparkSession.sparkContext.broadcast(part)
-        hit = f"array<struct<item_id: {kind}, distance: int, similarity: double, begin: int, end: int>>"
+        hit = "array<struct<item: string, distance: int, similarity: double, begin: int, end: int>>"
         found = docs.select(
             F.col(doc_id).alias("doc_id"), F.explode(F.pandas_udf(_locator(shared), hit)(F.col(text))).alias("hit")
         ).select("doc_id", "hit.*")
         result = found if result is None else result.unionByName(found)
-    return result
+    asked = items.select(F.col(item_id).alias("item_id"), F.col(item_text).alias("item"))
+    return result.join(asked, "item").select("doc_id", "item_id", "distance", "similarity", "begin", "end")
 
 
-def is_clean(items: DataFrame, text: Column, item_id: str = "item_id", item_text: str = "text") -> Column:
+def is_clean(items: DataFrame, text: Column, item_text: str = "text") -> Column:
     """True where no item occurs in the text; see :func:`find_leaks`."""
     clean = F.lit(True)
-    for part in _rounds(items, item_id, item_text, SIMILARITY):
+    for part in _rounds(items, item_text, SIMILARITY):
         shared = SparkSession.active().sparkContext.broadcast(part)
         clean = clean & F.pandas_udf(_acquitter(shared), "boolean")(text)
     return clean

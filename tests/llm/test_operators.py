@@ -250,9 +250,9 @@ def test_leaks_of_short_items(rows):
     for k, item in enumerate(items):
         for _, around, _ in rows[:20]:
             text = f"{around} {item} {around}"
-            hits = {h[0]: h for h in leaks.search(index, [text])[0]}
+            hits = {h[0]: h for h in leaks.search(index, [text], exhaustive=True)[0]}
             assert hits[k][1] == 0 and text[hits[k][2] : hits[k][3]].lower().split() == item.lower().split()
-    # Short ones as they are and between ends of words; longer ones also in part.
+    # Short ones between ends of words; longer ones also in part.
     assert leaks.search(index, ["eyes, yesterday", "(Yes)", "a  B", "a bc"]) == [[], [(2, 0, 1, 4)], [(3, 0, 0, 4)], []]
     assert leaks.search(index, ["who rote romeo and juliet", "who wrote hamlet and macbeth?"]) == [[(0, 2, 0, 25)], []]
 
@@ -271,13 +271,13 @@ def test_leaks_without_spaces():
             if k >= 7:
                 before, after = before + " ", " " + after
             text = before + item + after
-            assert (k, 0, len(before), len(before) + len(item)) in leaks.search(index, [text])[0]
-            if len(item) >= leaks.SHORTEST:
+            assert (k, 0, len(before), len(before) + len(item)) in leaks.search(index, [text], exhaustive=True)[0]
+            if len(item) >= 5:
                 for _ in range(5):
                     edited = list(item)
                     for at in rng.sample(range(len(item)), len(item) // 5):
                         edited[at] = rng.choice(["", "x"])
-                    assert k in {h[0] for h in leaks.search(index, [before + "".join(edited) + after])[0]}
+                    assert k in {h[0] for h in leaks.search(index, [before + "".join(edited) + after], exhaustive=True)[0]}
 
 
 def edits(rng, text, share):
@@ -298,7 +298,7 @@ def test_leak_recall_by_brute_force(benchmark_items, rows, share):
     for k, item in enumerate(items):
         around = " ".join(rng.choice(rows)[1][:300].lower().split())
         text = " ".join(f"{around} {edits(rng, item, share)} {around}".split())
-        found = {h[0]: h[1] for h in leaks.search(index, [text])[0]}
+        found = {h[0]: h[1] for h in leaks.search(index, [text], exhaustive=True)[0]}
         for other in {k, *range(k % 20, len(items), 20)}:
             assert (other in found) == occurs(items[other], text)
         near += k in found
@@ -306,6 +306,59 @@ def test_leak_recall_by_brute_force(benchmark_items, rows, share):
     assert near >= 0.95 * len(items)
 
 
+LENGTHS = [(5, 8), (8, 12), (12, 20), (20, 32), (32, 56), (56, 90), (90, 160), (160, 400)]
+
+
+@pytest.mark.parametrize("least, most", LENGTHS)
+@pytest.mark.parametrize("share", [0.0, 0.05, 0.1, 0.15, 0.2])
+def test_walks_against_the_exact_way(benchmark_items, rows, least, most, share):
+    rng = random.Random(f"{least} {share}")
+    items = set()
+    for r in benchmark_items.collect():
+        words = r["text"].lower().split()
+        for k in range(0, len(words) - 1, 4):
+            text, more = words[k], iter(words[k + 1 :])
+            while len(text) < least and (word := next(more, None)):
+                text += " " + word
+            if least <= len(text) < most:
+                items.add(text)
+    items = rng.sample(sorted(items), min(60, len(items)))
+    index = leaks.index(list(enumerate(items)))
+    there = met = 0
+    for k, item in enumerate(items):
+        around = " ".join(rng.choice(rows)[1][:200].lower().split())
+        text = " ".join(f"{around} {edits(rng, item, share)} {around}".split())
+        exact = {h[0]: h for h in leaks.search(index, [text], exhaustive=True)[0]}
+        found = {h[0]: h for h in leaks.search(index, [text])[0]}
+        # The walks find nothing that does not occur, and no farther place where they find one.
+        assert found.items() <= exact.items() or all(found[i][1] >= exact[i][1] for i in found)
+        there += k in exact
+        met += k in exact and k in found
+    assert there >= 0.9 * len(items) and met >= leaks.RECALL * there
+    if not share:
+        assert met == len(items)
+
+
+def test_one_rule_of_nearness_for_every_length():
+    items = ["the capital of France", "the capital of France is", "Paris"]
+    index = leaks.index(list(enumerate(items)))
+    for text in ("so the capitol of France it was", "The Capital of Frankce", "it is the capital of Franc"):
+        assert 0 in {h[0] for h in leaks.search(index, [text])[0]}
+    assert {h[0] for h in leaks.search(index, ["the capitol of france is"])[0]} == {0, 1}
+    assert [h[0] for h in leaks.search(index, ["In Parris, as"])[0]] == [2]
+    # Whole words only: five letters inside another word say nothing.
+    assert leaks.search(index, ["a comparison", "disparisher"]) == [[], []]
+
+
+def test_copies_of_an_item_are_searched_once(spark):
+    items = spark.createDataFrame([(i, "one two three four five six seven eight") for i in range(500)], "item_id long, text string")
+    (part,) = leaks._rounds(items, "text", 0.8)
+    assert len(part.texts) == 1
+    docs = spark.createDataFrame([(1, "so one two three four five six seven eight it is")], "doc_id long, text string")
+    found = leaks.find_leaks(docs, items).collect()
+    assert sorted(r["item_id"] for r in found) == list(range(500)) and {r["distance"] for r in found} == {0}
+
+
 # --- licenses
 
 
