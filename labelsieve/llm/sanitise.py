@@ -14,7 +14,7 @@ import hashlib
 import math
 import re
 from bisect import bisect_left, bisect_right
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 import pyarrow as pa
@@ -235,6 +235,14 @@ def term_spans(text: str, base: list[Span], terms: dict[str, tuple[float]]) -> l
     return [(a, b, share[0]) for a, b, share in places if share is not None]
 
 
+def _locator(shared: Broadcast) -> Callable[[Iterator[pd.Series]], Iterator[pd.Series]]:
+    def locate(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for batch in batches:
+            yield pd.Series([term_spans(t, base_spans(t), shared.value) for t in batch], dtype=object)
+
+    return locate
+
+
 def sanitised(text: str, base: list[Span], terms: list[tuple[int, int, float]], remove: float = REMOVE) -> str:
     """The text with base spans named by their kind, and terms generalised or removed."""
     cuts = [(a, b, f"[{KINDS[k].upper()}]") for a, k, b in base]
@@ -272,12 +280,7 @@ def sanitise(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Dat
     rounds = list(_rounds(terms, "share"))
     last = rounds.pop() if rounds else None
     for shared in rounds:
-
-        def locate(batches: Iterator[pd.Series], shared: Broadcast = shared) -> Iterator[pd.Series]:
-            for batch in batches:
-                yield pd.Series([term_spans(t, base_spans(t), shared.value) for t in batch], dtype=object)
-
-        found = F.concat(found, F.pandas_udf(locate, located)(F.col("t")))
+        found = F.concat(found, F.pandas_udf(_locator(shared), located)(F.col("t")))
 
     def describe(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
         table = last.value if last is not None else {}
