@@ -15,6 +15,7 @@ import math
 import unicodedata
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, replace
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -147,7 +148,8 @@ class Grade:
 # the README.
 GRADES = (
     Grade(160, 28, 20, 2, 1, 2, 0.22),
-    Grade(90, 28, 20, 2, 1, 1, 0.15),
+    Grade(120, 28, 20, 2, 1, 1, 0.18),
+    Grade(80, 28, 20, 2, 1, 1, 0.15),
     Grade(56, 24, 18, 2, 2, 1, 0.1),
     Grade(32, 16, 14, 2, 2, 1, 0.06),
     Grade(WHOLE_WORDS, 10, 9, 2, 2, 1),
@@ -166,6 +168,7 @@ _KEY_BITS, _STEP_BITS = 28, 6
 _STEP_MASK = (1 << _STEP_BITS) - 1
 
 
+@lru_cache(maxsize=64)
 def _walk_table(grade: Grade, seed: int) -> np.ndarray:
     """By class and step: how many steps the walk stays, and what that adds to each band.
 
@@ -287,9 +290,10 @@ def index(items: list[tuple], similarity: float = SIMILARITY) -> Items:
     sizes = np.array([len(t) for t in texts], np.int64)
     grades = np.array([_grade(len(t)) for t in texts], np.int64)
     bands: dict[tuple[Grade, int], list[list[Band]]] = {}
-    for g in np.unique(grades).tolist():
-        grade = GRADES[g]
-        mine = np.flatnonzero(grades == g)
+    # Grades with the same walks share them, whatever votes they ask for.
+    walked = {g: replace(GRADES[g], least=0, votes=0, meet=0.0) for g in np.unique(grades).tolist()}
+    for grade in dict.fromkeys(walked.values()):
+        mine = np.flatnonzero([walked[g] == grade for g in grades.tolist()])
         flat = codepoints("".join(texts[k] for k in mine))
         lengths = sizes[mine]
         ends = np.cumsum(lengths)
@@ -447,8 +451,10 @@ def _candidates(items: Items, codes: np.ndarray, starts: np.ndarray) -> Iterator
         if shorts is None and (items.sizes >= SHORT.least).any():
             shorts = _short_keys(codes)
         if shorts is not None:
-            low = starts[doc] + np.maximum(begin - items.most[which], 0)
-            high = np.minimum(starts[doc + 1], starts[doc] + end + items.sizes[which] + items.most[which])
+            # Drops and additions mostly even out.
+            drift = items.most[which] // 3
+            low = starts[doc] + np.maximum(begin - drift, 0)
+            high = np.minimum(starts[doc + 1], starts[doc] + end + items.sizes[which] + drift)
             kept = np.flatnonzero(_alike(items, shorts, low, np.maximum(low, high), which))
             doc, which, begin, end = doc[kept], which[kept], begin[kept], end[kept]
         yield from zip(doc.tolist(), which.tolist(), begin.tolist(), end.tolist())

@@ -306,7 +306,7 @@ def test_leak_recall_by_brute_force(benchmark_items, rows, share):
     assert near >= 0.95 * len(items)
 
 
-LENGTHS = [(5, 8), (8, 12), (12, 20), (20, 32), (32, 56), (56, 90), (90, 160), (160, 400)]
+LENGTHS = [(5, 8), (8, 12), (12, 20), (20, 32), (32, 56), (56, 80), (80, 120), (120, 160), (160, 400)]
 
 
 @pytest.mark.parametrize("least, most", LENGTHS)
