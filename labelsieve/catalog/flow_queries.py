@@ -9,15 +9,17 @@ from pyspark.sql import functions as F
 
 from labelsieve.catalog import fixtures as fx
 from labelsieve.catalog.registry import query, r6, s6, table
-from labelsieve.catalog.text_queries import masked_sql
+from labelsieve.catalog.text_queries import TOKENS_SQL, masked_sql
 from labelsieve.operators import labels as lab
+from labelsieve.operators.metrics import confusion
 from labelsieve.operators.perplexity import count_tokens
 from labelsieve.operators.sampling import assign_split
 from labelsieve.operators.scoring import filter_rows, map_batches, map_rows, remaining
 from labelsieve.plans.evaluate import score_held_out
-from labelsieve.plans.predict_and_flag import FlaggedTable, flag_into, predict, predict_and_flag
-from labelsieve.plans.train import train_text_classifier
-from labelsieve.session import scratch_path
+from labelsieve.plans.count_classifier import CountClassifier
+from labelsieve.plans.predict_and_flag import FlaggedTable, flag_into, predict, predict_and_flag, score_into
+from labelsieve.plans.train import COUNTS, TrainingRun, train_text_classifier
+from labelsieve.session import scratch_path, spool
 from labelsieve.sources.tables import prediction_columns, read_labelled_csv, write_flagged
 from labelsieve.streaming.flags import read_text_stream, stream_flags
 
@@ -132,11 +134,12 @@ _BIG = "CASE WHEN doc_id % 3 = 0 THEN NULL ELSE 9007199254740993 + 2 * doc_id EN
 
 @query(f"""
 SELECT doc_id, {_BIG} AS big, reverse(lang) AS lang, CAST(length(text) AS BIGINT) AS size
-FROM documents WHERE length(text) >= 500
+FROM documents WHERE length(text) >= 500 AND ({_BIG} IS NULL OR ({_BIG}) % 4 = 1)
 """)
 def user_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "documents").select("doc_id", "lang", "text", F.expr(_BIG).alias("big"))
     long_texts = filter_rows(rows, lambda batch: batch["text"].str.len() >= 500, ["text"])
+    long_texts = filter_rows(long_texts, lambda batch: batch["big"].isna() | (batch["big"] % 4 == 1), ["big"])
     sized = map_batches(
         long_texts,
         lambda b: b.assign(size=b["text"].str.len()).drop(columns="text"),
@@ -172,6 +175,59 @@ def resume_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _resumed(spark, sf_dir).summary.select("flagged", "total")
 
 
+class _Killed(Exception):
+    pass
+
+
+def _kill_half_way(done: int, slices: int) -> None:
+    if done * 2 >= slices:
+        raise _Killed
+
+
+_EARLY = "instr('01234567', substr(md5(CAST(doc_id AS VARCHAR)), 1, 1)) > 0"
+
+
+@query(f"""
+SELECT doc_id, {_EARLY} AS from_first_run, {s6(f"CASE WHEN {_EARLY} THEN l0 ELSE l0 + 7 END")} AS model_saw
+FROM ({_SCORED})
+""")
+def resume_after_failure(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A run is killed half way; the next keeps what it had committed and scores the rest.
+
+    Each run's model leaves its mark on the rows that it scored.
+    """
+    docs, out = table(spark, sf_dir, "documents").select("doc_id", "text"), scratch_path(spark, "killed")
+    quarter = max(1, -(-docs.count() // 4))
+
+    def marked(more: float) -> Callable:
+        def load():
+            import numpy as np
+
+            def model(texts):
+                size = texts.str.len().to_numpy(dtype="float64") / 1000.0 + more
+                return np.stack([size, np.full(len(size), -1000.0)], axis=1)
+
+            return model
+
+        return load
+
+    labels = {0: "first", 1: "never"}
+    try:
+        score_into(docs, out, marked(0.0), labels, "doc_id", commit_rows=quarter, committed=_kill_half_way)
+    except _Killed:
+        pass
+    first = spark.read.parquet(out).select("doc_id", F.lit(True).alias("from_first_run"))
+    # Read now: the second run appends to the same table.
+    first = spool(first)
+    scored = score_into(docs, out, marked(7.0), {0: "second", 1: "never"}, "doc_id", commit_rows=quarter)
+    size = F.length("text") / F.lit(1000.0)
+    return scored.join(first, "doc_id", "left").select(
+        "doc_id",
+        F.coalesce("from_first_run", F.lit(False)).alias("from_first_run"),
+        r6(F.when(F.col("predicted_label") == "first", size).otherwise(size + 7)).alias("model_saw"),
+    )
+
+
 _HELD = f"""
 SELECT l.*, s.split FROM (
   SELECT doc_id, y, p0, p1, -ln(CASE y WHEN 1 THEN p1 ELSE p0 END + 1e-12) AS loss
@@ -274,3 +330,66 @@ def train_label_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
         rows, ["safe", "unsafe"], key="doc_id", extra=extra, n_features=1 << 12, max_iter=2
     )
     return run.label_counts.select("split", "label", "n_rows")
+
+
+_COUNTED = f"""
+WITH d AS (SELECT doc_id, split, quality AS label, {TOKENS_SQL} AS ts FROM ({fx.LABELLED})
+           JOIN ({fx.split_sql(f"({fx.LABELLED})", "doc_id")}) USING (doc_id)),
+t AS (SELECT label, w, count(*) AS c FROM (SELECT label, unnest(ts) AS w FROM d WHERE split = 'train') GROUP BY ALL),
+v AS (SELECT w, coalesce(sum(c) FILTER (label = 0), 0) AS c0, coalesce(sum(c) FILTER (label = 1), 0) AS c1 FROM t GROUP BY w),
+n AS (SELECT count(*) AS v, sum(c0) AS t0, sum(c1) AS t1 FROM v),
+p AS (SELECT count(*) FILTER (label = 0) AS d0, count(*) FILTER (label = 1) AS d1 FROM d WHERE split = 'train'),
+o AS (SELECT doc_id, unnest(ts) AS w FROM d WHERE split <> 'train'),
+s AS (SELECT doc_id, sum(ln(c0 + 1.0::DOUBLE) - ln(CAST(t0 + v AS DOUBLE))) AS s0,
+             sum(ln(c1 + 1.0::DOUBLE) - ln(CAST(t1 + v AS DOUBLE))) AS s1 FROM o JOIN v USING (w), n GROUP BY doc_id),
+r AS (SELECT doc_id, split, label, coalesce(s1, 0) - coalesce(s0, 0) + ln((d1 + 1.0::DOUBLE) / (d0 + 1.0::DOUBLE)) AS gap
+      FROM d LEFT JOIN s USING (doc_id), p WHERE split <> 'train')
+SELECT doc_id, split, label, CAST(round(gap, 6) > 0 AS INTEGER) AS predicted, round(gap, 4) + 0.0 AS log_odds FROM r
+"""
+
+
+def _counted(spark: SparkSession, sf_dir: str) -> TrainingRun:
+    rows = lab.prepare_labelled(fx.labelled(spark, sf_dir), "text", "quality", keep=["doc_id"])
+    return train_text_classifier(rows, ["low", "good"], key="doc_id", learner=COUNTS)
+
+
+def _predicted(scored: DataFrame) -> DataFrame:
+    gap = F.col("logits")[1] - F.col("logits")[0]
+    return scored.select(
+        "doc_id",
+        "split",
+        "label",
+        (F.round(gap, 6) > 0).cast("int").alias("predicted"),
+        (F.round(gap, 4) + F.lit(0.0)).alias("log_odds"),
+    )
+
+
+@query(_COUNTED)
+def count_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Predictions for the held-out parts by a classifier of token counts."""
+    return _predicted(_counted(spark, sf_dir).scored)
+
+
+@query(_COUNTED)
+def count_classifier_loaded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same predictions by the classifier as saved and loaded again."""
+    run, path = _counted(spark, sf_dir), scratch_path(spark, "counts")
+    run.classifier.save(path)
+    held = run.parts.where(F.col("split") != "train")
+    return _predicted(CountClassifier.load(path).logits(held))
+
+
+_JUDGED = f"""
+{_COUNTED.replace("SELECT doc_id, split, label, CAST", "SELECT split, label, CAST")}
+"""
+
+
+@query(f"""
+SELECT split AS part, count(*) FILTER (label = 0 AND predicted = 0) AS tn, count(*) FILTER (label = 0 AND predicted = 1) AS fp,
+       count(*) FILTER (label = 1 AND predicted = 0) AS fn, count(*) FILTER (label = 1 AND predicted = 1) AS tp
+FROM ({_JUDGED}) GROUP BY split
+""")
+def count_classifier_confusion(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Confusion counts of the held-out parts, by the library's own metric."""
+    found = _predicted(_counted(spark, sf_dir).scored)
+    return confusion(found, "label", "predicted", by=["split"]).withColumnRenamed("split", "part")

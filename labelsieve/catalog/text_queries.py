@@ -55,7 +55,7 @@ def eos_append(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-_TOKENS = r"list_filter(regexp_split_to_array(lower(text), '[^\p{L}\p{N}]+'), lambda t: t <> '')"
+TOKENS_SQL = r"list_filter(regexp_split_to_array(lower(text), '[^\p{L}\p{N}]+'), lambda t: t <> '')"
 _LIMIT = 512
 
 
@@ -65,7 +65,7 @@ SELECT doc_id, CAST(len(ts) AS INT) AS n_tokens, CAST(least(len(ts), {_LIMIT}) A
        CAST({_LIMIT} AS INT) AS n_padded,
        md5(array_to_string(ts[1:{_LIMIT}] || list_transform(range(greatest(0, {_LIMIT} - len(ts))), lambda k: '<pad>'), ' '))
          AS padded
-FROM (SELECT doc_id, {_TOKENS} AS ts FROM documents)
+FROM (SELECT doc_id, {TOKENS_SQL} AS ts FROM documents)
 """)
 def token_truncate(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = fill_cores(table(spark, sf_dir, "documents").select("doc_id", "text"))
@@ -85,7 +85,7 @@ def token_truncate(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"""
 SELECT lang, count(*) AS n_docs, CAST(sum(len(ts)) AS BIGINT) AS n_tokens,
        CAST(max(len(ts)) AS INT) AS longest, count(*) FILTER (len(ts) > 256) AS n_truncated
-FROM (SELECT lang, {_TOKENS} AS ts FROM documents) GROUP BY lang
+FROM (SELECT lang, {TOKENS_SQL} AS ts FROM documents) GROUP BY lang
 """)
 def token_lengths(spark: SparkSession, sf_dir: str) -> DataFrame:
     limit = txt.effective_length(512, 256)
@@ -103,7 +103,7 @@ def token_lengths(spark: SparkSession, sf_dir: str) -> DataFrame:
 def masked_sql(docs: str) -> str:
     """``docs``, ``occ`` and ``tok``, token scores of the test part of (doc_id, text, split) rows."""
     return f"""
-WITH docs AS (SELECT doc_id, split, {_TOKENS} AS ts FROM ({docs})),
+WITH docs AS (SELECT doc_id, split, {TOKENS_SQL} AS ts FROM ({docs})),
 occ AS (SELECT doc_id, split, CAST(i AS INT) AS position, ts[i] AS w,
                coalesce(CASE WHEN i > 1 THEN ts[i - 1] END, '<s>') AS l, coalesce(ts[i + 1], '</s>') AS r
         FROM (SELECT *, unnest(range(1, len(ts) + 1)) AS i FROM docs)),

@@ -23,15 +23,18 @@ BATCH_SIZE = 32
 Model = Callable[[pd.Series], np.ndarray]
 
 
-# The model that this worker process used last.
+# Models that one worker process keeps, so that several in one plan are not loaded in turn.
+KEPT_MODELS = 4
 _loaded: dict[str, Model] = {}
 
 
 def _model(key: str, load: Callable[[], Model]) -> Model:
-    if key not in _loaded:
-        _loaded.clear()
-        _loaded[key] = load()
-    return _loaded[key]
+    """The loaded model; of more than ``KEPT_MODELS`` the one unused for longest goes."""
+    model = _loaded.pop(key) if key in _loaded else load()
+    while len(_loaded) >= KEPT_MODELS:
+        del _loaded[next(iter(_loaded))]
+    _loaded[key] = model
+    return model
 
 
 def score_column(
@@ -120,16 +123,20 @@ def filter_rows(
     """Rows that a user function over batches of ``columns`` (all by default) keeps.
 
     Only these columns are copied to Python, and what comes back is one boolean a row:
-    the rows themselves are never converted.
+    the rows themselves are never converted. Batches have nullable types, as in
+    :func:`map_batches`, so a large whole number stays exact beside a null; a row for
+    which the answer is missing is not kept.
     """
     names = list(df.columns if columns is None else columns)
     require_columns(df, names)
 
-    def kept(batch: pd.DataFrame) -> pd.Series:
-        return pd.Series(np.asarray(keep(batch), dtype=bool))
+    def kept(rows: pa.Array) -> pa.Array:
+        batch = pa.RecordBatch.from_struct_array(rows).to_pandas(types_mapper=_NULLABLE.get)
+        answer = pd.array(list(keep(batch)), dtype="boolean")
+        return pa.array(answer.fillna(False).to_numpy(dtype=bool))
 
-    kept.__annotations__ = {"batch": pd.DataFrame, "return": pd.Series}
-    return df.where(F.pandas_udf(kept, "boolean")(F.struct(*[F.col(f"`{c}`") for c in names])))
+    kept.__annotations__ = {"rows": pa.Array, "return": pa.Array}
+    return df.where(F.arrow_udf(kept, "boolean")(F.struct(*[F.col(f"`{c}`") for c in names])))
 
 
 def check_same_keys(left: DataFrame, right: DataFrame, on: str) -> None:

@@ -27,6 +27,11 @@ SINGLE_LABEL = "single_label_classification"
 MULTI_LABEL = "multi_label_classification"
 
 
+# Rows that are scored between two commits, and most commits of a run.
+COMMIT_ROWS = 1_000_000
+MOST_COMMITS = 256
+
+
 class Classifier(Protocol):
     """A fitted model that scores a frame itself."""
 
@@ -133,6 +138,18 @@ class FlaggedTable:
     calibration: Calibration
 
 
+def commit_slice(key: str, slices: int) -> Column:
+    """Which of ``slices`` parts of a run a row is scored in, by the digest of its key.
+
+    A power of two of even parts is cut into consecutive slices, so any SQL can tell them.
+    Rows without a key are in the first.
+    """
+    digest = F.md5(F.coalesce(F.col(key).cast("string"), F.lit("")).cast("binary"))
+    bucket = F.conv(F.substring(digest, 1, 2), 16, 10).cast("int")
+    slice_ = F.floor(bucket * F.lit(slices) / F.lit(MOST_COMMITS)).cast("int")
+    return F.when(F.col(key).isNull(), F.lit(0)).otherwise(slice_)
+
+
 def score_into(
     df: DataFrame,
     out: str,
@@ -140,6 +157,8 @@ def score_into(
     id2label: Mapping[int, str],
     key: str = "row_id",
     resume: bool = True,
+    commit_rows: int = COMMIT_ROWS,
+    committed: Callable[[int, int], None] | None = None,
     **options,
 ) -> DataFrame:
     """Score rows into a parquet table, leaving out those it already holds, and read it.
@@ -148,16 +167,32 @@ def score_into(
     model runs once per row. With ``resume=False`` the table must not exist yet. Ids
     that a reader numbered itself (see ``read_labelled_csv``) may move when files are
     added; they are refused for resuming.
+
+    The run is cut by a digest of the key into slices of about ``commit_rows`` rows (at
+    most ``MOST_COMMITS``); each is a write of its own, committed before the next begins,
+    so a run that ends early keeps its finished slices. ``committed`` is told the slices
+    done and their number after each. The input is read once for every slice: against a
+    model, reading is cheap.
     """
     require_columns(df, [key], "input table")
+    if commit_rows < 1:
+        raise ValueError(f"a commit needs a row at least, got {commit_rows}")
     spark = df.sparkSession
     if resume and df.schema[key].metadata.get(GENERATED):
         raise ValueError(f"{key!r} numbers rows as they were read; resume needs ids that stay")
     done = read_if_there(lambda: spark.read.parquet(out)) if resume else None
     rest = df if done is None else remaining(df, done, key)
-    scored = predict(rest, load, id2label, **options)
-    scored.write.mode("append" if resume else "errorifexists").parquet(out)
-    return spark.read.schema(scored.schema).parquet(out)
+    slices = max(1, min(MOST_COMMITS, -(-rest.select(key).count() // commit_rows)))
+    schema = None
+    for k in range(slices):
+        # The digest is taken before the join with the finished rows, on both of its sides.
+        part = rest.where(commit_slice(key, slices) == k) if slices > 1 else rest
+        scored = predict(part, load, id2label, **options)
+        scored.write.mode("append" if resume or k else "errorifexists").parquet(out)
+        schema = scored.schema
+        if committed is not None:
+            committed(k + 1, slices)
+    return spark.read.schema(schema).parquet(out)
 
 
 def flag_into(
@@ -178,6 +213,7 @@ def flag_into(
 
     Only scoring resumes. The flags of every row, old or new, and the summary come
     from the stored scores under this call's threshold; ``out``/flagged is replaced.
+    ``options`` are those of :func:`score_into` and :func:`predict`.
     """
     calibration = confidence_threshold(reference, model, alpha, default_threshold, confidence_column)
     scored = score_into(df, f"{out}/scores", load, id2label, key, resume, **options)

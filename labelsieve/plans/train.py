@@ -16,11 +16,23 @@ from labelsieve.functions.text import TOKEN_BREAK, model_text, present_text
 from labelsieve.operators.labels import append_train, label_distribution
 from labelsieve.operators.metrics import mean_cross_entropy
 from labelsieve.operators.sampling import assign_split
+from labelsieve.plans.count_classifier import fit_count_classifier
 from labelsieve.plans.evaluate import evaluate, tuned_thresholds
-from labelsieve.plans.predict_and_flag import MULTI_LABEL, SINGLE_LABEL, check_problem_type, probabilities
+from labelsieve.plans.predict_and_flag import (
+    MULTI_LABEL,
+    SINGLE_LABEL,
+    Classifier,
+    check_problem_type,
+    probabilities,
+)
 from labelsieve.session import spool
 
 
+# Learners: logistic regression on Spark ML, or counts of tokens in closed form.
+LOGISTIC = "logistic"
+COUNTS = "counts"
+
+
 @dataclass(frozen=True)
 class TextClassifier:
     """Fitted stages: the shared text features, and one model, or one per label."""
@@ -105,12 +117,13 @@ def fit_text_classifier(
 
 @dataclass(frozen=True)
 class TrainingRun:
-    """The model, its metrics, the split rows, label counts by part, and the eval loss."""
+    """The model, its metrics, split rows, scored held-out rows, label counts by part, eval loss."""
 
-    classifier: TextClassifier
+    classifier: Classifier
     eval_metrics: DataFrame
     test_metrics: DataFrame
     parts: DataFrame
+    scored: DataFrame
     label_counts: DataFrame
     eval_loss: DataFrame | None
 
@@ -131,14 +144,18 @@ def train_text_classifier(
     tune: bool = False,
     eos: str | None = None,
     max_length: int | None = None,
+    learner: str = LOGISTIC,
     **fit_options,
 ) -> TrainingRun:
     """Prompt, split, add extra rows to the training part only, fit, and judge.
 
     With ``tune``, multi-label thresholds come from the eval part and are applied
     to both parts. ``test_ratio=0`` is the two-way split: the test metrics are
-    then those of the eval part.
+    then those of the eval part. ``learner`` is ``LOGISTIC`` or, for exclusive
+    classes, ``COUNTS`` (see ``fit_count_classifier``).
     """
+    if learner not in (LOGISTIC, COUNTS) or learner == COUNTS and problem_type != SINGLE_LABEL:
+        raise ValueError(f"learner {learner!r} does not fit {problem_type}")
     prompted = df.withColumn(text, model_text(F.col(text), template, chat, eos, max_length))
     # Fitting, counting and scoring all read the split rows; what they come from is read once.
     parts = spool(assign_split(spool(prompted), key, test_ratio, eval_ratio, seed))
@@ -152,13 +169,17 @@ def train_text_classifier(
         for name, rows in (("extra", added), ("train and extra", train)):
             counted = label_distribution(rows.withColumn("split", F.lit(name)), label, by=["split"])
             counts = counts.unionByName(counted)
-    classifier = fit_text_classifier(train, problem_type, len(labels), text, label, **fit_options)
+    classifier: Classifier
+    if learner == COUNTS:
+        classifier = fit_count_classifier(train, len(labels), text, label, **fit_options)
+    else:
+        classifier = fit_text_classifier(train, problem_type, len(labels), text, label, **fit_options)
 
     held = parts.where(F.col("split") != "train")
     scored = spool(
         classifier.logits(held, text)
         .withColumn("probs", probabilities(F.col("logits"), problem_type))
-        .select(key, "split", label, "probs")
+        .select(key, "split", label, "logits", "probs")
     )
     held_eval = scored.where(F.col("split") == "eval")
     held_test = scored.where(F.col("split") == "test") if test_ratio else held_eval
@@ -170,4 +191,4 @@ def train_text_classifier(
         for part in (held_eval, held_test)
     ]
     loss = mean_cross_entropy(held_eval, "probs", label) if problem_type == SINGLE_LABEL else None
-    return TrainingRun(classifier, judged[0], judged[1], parts, counts, loss)
+    return TrainingRun(classifier, judged[0], judged[1], parts, scored, counts, loss)
