@@ -156,7 +156,9 @@ def resample(docs: DataFrame, labels: DataFrame, share: float = SHARE, rows: int
     good = labels.where((F.col("quality") == 1) & F.col("doc_id").isNotNull()).select("doc_id")
     n_good = good.count()
     near = F.lit(int((1 << 30) * min(1.0, rows / max(1, n_good))))
-    good = good.where(F.pmod(F.xxhash64("doc_id", F.lit(SEED)), F.lit(1 << 30)) < near).limit(rows)
+    # In an order of their own, so that every run takes the same rows.
+    hashed = F.xxhash64("doc_id", F.lit(SEED))
+    good = good.where(F.pmod(hashed, F.lit(1 << 30)) < near).orderBy(hashed, "doc_id").limit(rows)
     found = spool(score(docs, fit(docs, good, "doc_id", "text"), "doc_id", "text"))
     n = found.count()
     if not n:

@@ -57,7 +57,8 @@ def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Toxicity of each document, learnt from four fifths of the labels."""
     docs = table(spark, sf_dir, "documents")
     model = toxicity.fit_on(docs, table(spark, sf_dir, "labels"))
-    return toxicity.score_documents(docs, model)
+    blamed = F.transform("offending", lambda s: F.concat_ws(":", s["begin"], s["end"]))
+    return toxicity.score_documents(docs, model).withColumn("offending", F.array_join(blamed, ","))
 
 
 @query

@@ -119,7 +119,8 @@ def training_sample(
     chosen = None
     for y, n in sorted(counts.items()):
         share = F.pmod(F.xxhash64("id", F.lit(7)), F.lit(1 << 30)) < F.lit(int((1 << 30) * min(1.0, rows / n)))
-        part = known.where((F.col("y") == y) & share).limit(rows)
+        # In an order of their own, so that every run takes the same rows.
+        part = known.where((F.col("y") == y) & share).orderBy(F.xxhash64("id", F.lit(7)), "id").limit(rows)
         chosen = part if chosen is None else chosen.unionByName(part)
     if chosen is None:
         return []
@@ -203,15 +204,25 @@ def toxicity(model: ToxicityModel, text: Column) -> Column:
     return F.pandas_udf(score, "double")(text)
 
 
-def offending(model: ToxicityModel, text: Column, least: float = 0.5) -> Column:
-    """The sentences to blame: array of begin, end (code points) and probability."""
+def judged(model: ToxicityModel, text: Column, least: float = 0.5) -> Column:
+    """Struct of ``score`` and ``offending``: begin and end (code points) and probability of the
+    sentences to blame, which only a text that scores ``least`` can have."""
 
-    def locate(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    def judge(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         scorer = Scorer(model)
         for batch in batches:
-            yield pd.Series([scorer.spans(plain(t), least) for t in batch], dtype=object)
+            texts = [plain(t) for t in batch]
+            scores = [scorer.text(t) for t in texts]
+            spans = [scorer.spans(t, least) if s >= least else [] for t, s in zip(texts, scores)]
+            yield pd.DataFrame({"score": scores, "offending": pd.Series(spans, dtype=object)})
+
+    kind = "score double, offending array<struct<begin: int, end: int, p: double>>"
+    return F.pandas_udf(judge, kind)(text)
 
-    return F.pandas_udf(locate, "array<struct<begin: int, end: int, p: double>>")(text)
+
+def offending(model: ToxicityModel, text: Column, least: float = 0.5) -> Column:
+    """The sentences to blame: array of begin, end (code points) and probability."""
+    return judged(model, text, least)["offending"]
 
 
 def fit_on(docs: DataFrame, labels: DataFrame, label: str = "toxic") -> ToxicityModel:
@@ -221,14 +232,15 @@ def fit_on(docs: DataFrame, labels: DataFrame, label: str = "toxic") -> Toxicity
 
 
 def score_documents(docs: DataFrame, model: ToxicityModel) -> DataFrame:
-    """A row per row: ``doc_id``, ``held_out``, ``score``, ``predicted``.
+    """A row per row: ``doc_id``, ``held_out``, ``score``, ``predicted``, ``offending``.
 
+    ``offending`` has the sentences to blame, from 0.5 on; texts under 0.5 have none.
     Null and empty texts get the model's bias. A null id is held out. Repeated rows
     give repeated rows; other columns are not read, whatever their names.
     """
     scored = docs.select(
         F.col("doc_id").alias("doc_id"),
         held_out("doc_id", 5, 0).alias("held_out"),
-        toxicity(model, F.col("text")).alias("score"),
-    )
+        judged(model, F.col("text")).alias("j"),
+    ).select("doc_id", "held_out", F.col("j.score").alias("score"), F.col("j.offending").alias("offending"))
     return scored.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
