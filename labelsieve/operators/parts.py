@@ -10,9 +10,10 @@ from pyspark.sql import types as T
 
 from labelsieve.operators.prefix import BUCKET_ROWS, running_totals
 
-# Order values that one piece of a group spans. It decides how the work is spread, not
-# what comes out.
-SPAN = 65_536
+# Rows of a group that are joined in one task, and pieces that are joined at a time. They
+# decide how the work is spread, not what comes out.
+PIECE_ROWS = 65_536
+PIECES = 64
 
 
 def _whole_number(df: DataFrame, order: str) -> None:
@@ -29,44 +30,52 @@ def join_in_order(
     name: str,
     sums: Mapping[str, Column] | None = None,
     first: Sequence[str] = (),
-    span: int = SPAN,
+    piece_rows: int = PIECE_ROWS,
+    pieces: int = PIECES,
 ) -> DataFrame:
     """One row per group: its texts joined in order, sums, and the first row's columns.
 
     ``order`` is a whole-number column, unique within a group; its least value comes
-    out under its own name. Null texts are left out. First the rows of each span of
-    order values are joined, then these pieces: a key with very many rows is sorted by
-    as many tasks as it has spans, and only its finished string is put together in
-    one. A string beyond Spark's row limit fails the job; nothing is ever cut.
+    out under its own name. Null texts are left out. Groups of up to ``piece_rows`` rows
+    are joined at once. If there is a larger one, rows are numbered by running totals,
+    whatever gaps the order has; each ``piece_rows`` rows become a piece, and ``pieces``
+    neighbouring ones become one until a group is whole: no task but the last sees more
+    than that. A string beyond Spark's row limit fails the job; nothing is ever cut.
     """
     _whole_number(df, order)
     sums = dict(sums or {})
     quoted = separator.replace("\\", "\\\\").replace("'", "\\'").replace("\n", "\\n")
-
-    def joined(column: str, by: str) -> Column:
-        return F.expr(f"listagg(`{column}`, '{quoted}') WITHIN GROUP (ORDER BY `{by}`)")
-
     rest = F.struct(*[F.col(f"`{c}`") for c in first], F.lit(0).alias("_"))
-    pieces = (
-        df.withColumns({"_text": text, "_rest": rest, "_piece": F.expr(f"`{order}` div {int(span)}")})
-        .withColumns({f"_sum_{n}": c for n, c in sums.items()})
-        .groupBy(*group, "_piece")
-        .agg(
-            F.min(order).alias("_least"),
-            F.min_by("_rest", order).alias("_rest"),
-            joined("_text", order).alias("_text"),
-            *[F.sum(f"_sum_{n}").alias(f"_sum_{n}") for n in sums],
-        )
+    rows = df.select(
+        *group,
+        F.col(order).alias("_least"),
+        text.alias("_text"),
+        rest.alias("_rest"),
+        *[c.alias(f"_sum_{n}") for n, c in sums.items()],
     )
-    return (
-        pieces.groupBy(*group)
-        .agg(
-            F.min("_least").alias(order),
+
+    def joined(rows: DataFrame, *keys: str) -> DataFrame:
+        return rows.groupBy(*group, *keys).agg(
             F.min_by("_rest", "_least").alias("_rest"),
-            joined("_text", "_piece").alias(name),
-            *[F.sum(f"_sum_{n}").alias(n) for n in sums],
+            F.expr(f"listagg(`_text`, '{quoted}') WITHIN GROUP (ORDER BY `_least`)").alias("_text"),
+            *[F.sum(f"_sum_{n}").alias(f"_sum_{n}") for n in sums],
+            F.min("_least").alias("_least"),
         )
-        .select(*group, order, *[F.col(f"_rest.`{c}`").alias(c) for c in first], name, *sums)
+
+    most = df.groupBy(*group).agg(F.count(F.lit(1)).alias("_n")).agg(F.max("_n")).first()[0] or 0
+    left = -(-most // piece_rows)
+    if left > 1:
+        numbered = with_parts(rows, group, "_least", piece_rows, bucket_rows=piece_rows)
+        rows = joined(numbered.withColumnRenamed("part", "_piece"), "_piece")
+        while left > pieces:
+            rows = joined(rows.withColumn("_piece", F.expr(f"_piece div {int(pieces)}")), "_piece")
+            left = -(-left // pieces)
+    return joined(rows).select(
+        *group,
+        F.col("_least").alias(order),
+        *[F.col(f"_rest.`{c}`").alias(c) for c in first],
+        F.col("_text").alias(name),
+        *[F.col(f"_sum_{n}").alias(n) for n in sums],
     )
 
 

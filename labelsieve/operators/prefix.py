@@ -1,94 +1,28 @@
 """Running totals over a global order, without putting the order in one task.
 
-Rows are cut into consecutive buckets of the order. Each bucket's total is a
-small partial aggregate; a bucket starts from the total of the buckets before it
-and only its own rows are sorted together.
+Rows are cut into consecutive buckets of the order (:mod:`order_tree`), of a bounded
+number of rows each. A bucket's total is a small partial aggregate; a bucket starts from
+the total of the buckets before it and only its own rows are sorted together.
 """
 
 from __future__ import annotations
 
-import math
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from labelsieve.operators.order_tree import find_cuts, with_bucket
 from labelsieve.session import spool
 
-# A group of at most this many rows is sorted as one window partition.
+# A group of at most this many rows is sorted as one window partition, and a larger one is
+# cut into buckets of at most so many.
 BUCKET_ROWS = 1_000_000
-# Most buckets one group is cut into, and the sketch accuracy that goes with it.
-MAX_BUCKETS = 4096
-_SKETCH_ACCURACY = 4 * MAX_BUCKETS
-# Most groups that are cut at all, so that the edges stay few however many rows there are.
-_MAX_CUT_GROUPS = 10_000
-# Rows per bucket that the sketch looks at: edges only have to be about right.
-_SKETCH_ROWS = 1000
 
 _BUCKET = "_bucket"
 _KIND = "_kind"
 
 
-def _group_bounds(df: DataFrame, order: str, by: Sequence[str], bucket_rows: int) -> list:
-    """Bucket edges of each group that holds more than ``bucket_rows`` rows.
-
-    Counting comes first: without such a group there is nothing to cut. Then
-    ``bucket_rows`` is raised, if need be, until at most ``_MAX_CUT_GROUPS`` groups
-    can exceed it; a group gets one edge per ``bucket_rows`` rows, so at most about
-    twice that many edges reach the driver. Edges decide how rows are spread over
-    tasks, not what comes out, so a sample is enough for them and keeps the
-    sketches of many tasks small where they meet.
-    """
-    sizes = df.groupBy(*by).agg(F.count(F.lit(1)).alias("_n"))
-    seen = sizes.agg(F.max("_n").alias("most"), F.sum("_n").alias("rows")).first()
-    if not seen["rows"] or seen["most"] <= bucket_rows:
-        return []
-    bucket_rows = max(bucket_rows, seen["rows"] // _MAX_CUT_GROUPS)
-    shares = ", ".join(f"{i / MAX_BUCKETS!r}D" for i in range(1, MAX_BUCKETS))
-    edges = F.expr(
-        f"percentile_approx(cast(`{order}` as double), array({shares}), {_SKETCH_ACCURACY})"
-    )
-    share = min(1.0, _SKETCH_ROWS / bucket_rows)
-    looked_at = df if share == 1.0 else df.sample(share, seed=0)
-    wanted = F.ceil(F.col("_n") / F.lit(bucket_rows * share))
-    step = F.greatest(F.lit(1), F.floor(F.lit(MAX_BUCKETS) / wanted))
-    return (
-        looked_at.groupBy(*by)
-        .agg(F.count(F.lit(1)).alias("_n"), edges.alias("_edges"))
-        .where(F.col("_n") > bucket_rows * share)
-        .select(*by, F.filter("_edges", lambda _, i: (i + 1) % step == 0).alias("_edges"))
-        .collect()
-    )
-
-
-def _edges_below(edges: Column, value: Column) -> Column:
-    """How many sorted edges lie below ``value``: a binary search in log2 steps."""
-    steps = [2**k for k in reversed(range(math.ceil(math.log2(MAX_BUCKETS)) + 1))]
-    return F.aggregate(
-        F.lit(steps),
-        F.lit(0),
-        lambda at, s: F.when(F.try_element_at(edges, at + s) < value, at + s).otherwise(at),
-    )
-
-
-def _with_bucket(df: DataFrame, order: str, by: Sequence[str], bounds: list) -> DataFrame:
-    value = F.col(order).cast("double")
-    if not by:
-        edges = F.lit(bounds[0]["_edges"])
-        return df.withColumn(_BUCKET, _edges_below(edges, value))
-    fields = [df.schema[c] for c in by]
-    schema = ", ".join(f"`_by{i}` {f.dataType.simpleString()}" for i, f in enumerate(fields))
-    table = df.sparkSession.createDataFrame([tuple(r) for r in bounds], f"{schema}, _edges array<double>")
-    same = F.lit(True)
-    for i, c in enumerate(by):
-        same = same & F.col(c).eqNullSafe(F.col(f"_by{i}"))
-    return (
-        df.join(F.broadcast(table), same, "left")
-        .withColumn(_BUCKET, F.coalesce(_edges_below(F.col("_edges"), value), F.lit(0)))
-        .drop("_edges", *[f"_by{i}" for i in range(len(by))])
-    )
-
-
 def running_totals(
     df: DataFrame,
     order: str,
@@ -106,12 +40,12 @@ def running_totals(
     shared folder first, for inputs that are costly to compute again.
     """
     by = list(by)
-    bounds = _group_bounds(df, order, by, bucket_rows)
+    cuts = find_cuts(df, order, by, bucket_rows)
 
     def sorted_in(*keys: str):
         return F.col(order).desc() if descending else F.col(order).asc()
 
-    if not bounds:
+    if not cuts:
         window = Window.partitionBy(*by)
         running = window.orderBy(sorted_in()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
         return df.select(
@@ -122,7 +56,7 @@ def running_totals(
 
     if spool_large:
         df = spool(df)
-    rows = _with_bucket(df, order, by, bounds)
+    rows = with_bucket(df, order, by, cuts)
 
     step = F.col(_BUCKET).desc() if descending else F.col(_BUCKET).asc()
     group = Window.partitionBy(*by)

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from labelsieve.functions.text import number_text
-from labelsieve.operators.parts import SPAN, join_in_order, with_parts
+from labelsieve.operators.parts import PIECE_ROWS, join_in_order, with_parts
 from labelsieve.session import require_columns
 
 # Names of the rating table and of the columns derived from it.
@@ -63,7 +63,7 @@ def aggregate_ratings(
     rating: str = RATING,
     order: str = "row_id",
     split: str | None = None,
-    span: int = SPAN,
+    piece_rows: int = PIECE_ROWS,
 ) -> DataFrame:
     """One row per key: first-seen other columns, all ratings as text, mean as float32.
 
@@ -79,7 +79,7 @@ def aggregate_ratings(
     value = F.col(rating).cast("double")
     text = number_text(F.col(rating), df.schema[rating].dataType.typeName())
     counted = {"_total": value, "_count": value.isNotNull().cast("long")}
-    joined = join_in_order(df, group, order, text, ", ", JOINED, counted, rest, span)
+    joined = join_in_order(df, group, order, text, ", ", JOINED, counted, rest, piece_rows)
     mean = F.try_divide("_total", "_count").cast("float")
     return joined.withColumn(MEAN, mean).drop("_total", "_count")
 

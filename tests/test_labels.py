@@ -132,7 +132,7 @@ def test_large_group_is_one_row_and_parts_count_rows(spark, gap):
     hot = [k for k in range(n) if k % 5]
     want = ", ".join(str(k % 7) for k in hot)
     for span in (7, 100, 65_536):
-        rows = {r["text"]: r for r in rat.aggregate_ratings(df, span=span).collect()}
+        rows = {r["text"]: r for r in rat.aggregate_ratings(df, piece_rows=span).collect()}
         assert len(rows) == 201 and rows["hot"][rat.JOINED] == want
         assert rows["hot"][rat.MEAN] == pytest.approx(sum(k % 7 for k in hot) / len(hot))
         assert rows["hot"]["row_id"] == gap

@@ -197,10 +197,8 @@ def test_known_areas(spark):
 
 def test_edges_and_brackets_from_samples(spark, monkeypatch):
     """Samples steer only how the work is cut; the answers stay exact."""
-    from labelsieve.operators import prefix
     from labelsieve.operators import quantile as quantile_module
 
-    monkeypatch.setattr(prefix, "_SKETCH_ROWS", 10)
     monkeypatch.setattr(quantile_module, "SKETCH_ROWS", 200)
     df = spark.range(5000).select((F.col("id") * 7919 % 5003).alias("k"), F.lit(1).alias("one"))
     got = running_totals(df, "k", ["one"], bucket_rows=100)

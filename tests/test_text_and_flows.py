@@ -100,7 +100,7 @@ def test_chat(spark):
                                   F.col("id").cast("string").alias("text"))
     want = "".join(f"<|u|>\n{k}\n" for k in range(50))
     for span in (8, 65_536):
-        rows = render_chat(long, ["c"], "turn", "role", "text", span=span).collect()
+        rows = render_chat(long, ["c"], "turn", "role", "text", piece_rows=span).collect()
         assert [(r["n_turns"], r["text"]) for r in rows] == [(50, want)]
 
 
