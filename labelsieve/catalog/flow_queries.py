@@ -306,6 +306,18 @@ def csv_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return back.select("conv_id", "turn", "role", F.md5("text").alias("text_md5"))
 
 
+@query("""
+SELECT conv_id, turn, role, md5(CASE WHEN text IN ('', 'NA', 'nan', 'null') THEN NULL ELSE text END) AS text_md5
+FROM conversations
+""")
+def csv_split_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same, by a reader that splits files inside quoted cells."""
+    path = scratch_path(spark, "csv")
+    write_flagged(table(spark, sf_dir, "conversations"), path, "csv")
+    back = read_labelled_csv(spark, path, {"conv_id": "bigint", "turn": "bigint"}, ["text"], row_id="place", split=True)
+    return back.select("conv_id", "turn", "role", F.md5("text").alias("text_md5"))
+
+
 @query()
 def train_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = lab.prepare_labelled(fx.labelled(spark, sf_dir), "text", "quality", keep=["doc_id"])

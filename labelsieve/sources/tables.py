@@ -10,6 +10,7 @@ from pyspark.sql import types as T
 
 from labelsieve.operators.report import MISSING, single_values
 from labelsieve.session import GENERATED, read_if_there, require_columns
+from labelsieve.sources.split_csv import csv_records
 
 # Cell texts that mean "missing" in a CSV file.
 MISSING_CELLS = (
@@ -35,6 +36,9 @@ MISSING_CELLS = (
 )
 
 
+_CSV = {"quote": '"', "escape": '"', "mode": "PERMISSIVE", "maxCharsPerColumn": "-1"}
+
+
 def read_labelled_csv(
     spark: SparkSession,
     path: str | Sequence[str],
@@ -42,6 +46,7 @@ def read_labelled_csv(
     required: Sequence[str] = (),
     row_id: str | None = None,
     multi_line: bool = True,
+    split: bool = False,
 ) -> DataFrame:
     """CSV with a header and doubled quotes.
 
@@ -50,8 +55,14 @@ def read_labelled_csv(
     unique id of this reading; the ids move when files are added, so the column is
     marked and cannot be resumed on. A file with quoted line breaks is read by one
     task; without any, ``multi_line=False`` lets Spark split it.
+
+    With ``split`` many tasks read a file though its cells hold line breaks (see
+    :mod:`labelsieve.sources.split_csv`); files must not change between its passes. Ids
+    are then texts of a row's file and place in it: they stay when files are added, and
+    serve for resuming.
     """
-    raw = spark.read.csv(path, header=True, multiLine=multi_line, escape='"', quote='"', inferSchema=False)
+    # With split, only the header is read here.
+    raw = spark.read.csv(path, header=True, multiLine=multi_line or split, escape='"', quote='"', inferSchema=False)
     require_columns(raw, [*required, *(types or {})], "CSV file")
     typed = types or {}
 
@@ -61,6 +72,12 @@ def read_labelled_csv(
         return (value.try_cast(typed[name]) if name in typed else value).alias(name)
 
     columns = [cell(c) for c in raw.columns]
+    if split:
+        records = csv_records(spark, path).where(F.col("number") > 0)
+        parsed = F.from_csv("record", ", ".join(f"`{c}` STRING" for c in raw.columns), _CSV)
+        rows = records.select(F.concat_ws(":", "file", "number").alias("_place"), parsed.alias("_row"))
+        rows = rows.select("_place", *[F.col(f"_row.`{c}`").alias(c) for c in raw.columns])
+        return rows.select(*([F.col("_place").alias(row_id)] if row_id else []), *columns)
     if row_id:
         columns.insert(0, F.monotonically_increasing_id().alias(row_id, metadata={GENERATED: True}))
     return raw.select(*columns)
