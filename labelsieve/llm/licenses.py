@@ -3,8 +3,10 @@
 Documents and templates are cut into windows of word shingles. Each window has a few
 MinHash values, one a band; a document window that has a value of a template window
 in the same band retrieves that template. The template's shingles are then looked for
-around the window, and the share of them that is there decides. All of it happens
-inside a row: nothing is shuffled, and no window leaves its document.
+around the window, and the share of them that is there decides. Notices of sibling
+licenses share most of their words, so of each such pair a share of what sets the notice
+apart must be there too. All of it happens inside a row: nothing is shuffled, and no
+window leaves its document.
 """
 
 from __future__ import annotations
@@ -19,6 +21,10 @@ from labelsieve.functions.once import once
 
 SHINGLE = 5
 CONTAINMENT = 0.8
+# Notices of other licenses that share so much of a notice are its siblings; of the
+# shingles that a sibling lacks so large a share must be there as well.
+SIBLING = 0.5
+OWN = 0.5
 # Shingles of a window of long templates, and how far the next window begins.
 WINDOW = 4
 STEP = 2
@@ -46,16 +52,41 @@ NOTICES = {
     ],
     "BSD-3-Clause": [
         "Licensed under the BSD 3-Clause License",
+        "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote "
+        "products derived from this software without specific prior written permission",
+    ],
+    "BSD-2-Clause": [
+        "Licensed under the BSD 2-Clause License",
         "Redistribution and use in source and binary forms, with or without modification, are permitted provided "
         "that the following conditions are met",
     ],
+    "GPL-2.0": [
+        "This work is licensed under the GNU General Public License, version 2",
+        "Licensed under the GNU General Public License v2.0",
+        "it under the terms of the GNU General Public License as published by the Free Software Foundation, either "
+        "version 2 of the License, or (at your option) any later version",
+    ],
     "GPL-3.0": [
         "This work is licensed under the GNU General Public License, version 3",
         "Licensed under the GNU General Public License v3.0",
         "it under the terms of the GNU General Public License as published by the Free Software Foundation, either "
         "version 3 of the License, or (at your option) any later version",
     ],
-    "LGPL-3.0": ["Licensed under the GNU Lesser General Public License, version 3"],
+    "LGPL-2.1": [
+        "Licensed under the GNU Lesser General Public License, version 2.1",
+        "it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation, either "
+        "version 2.1 of the License, or (at your option) any later version",
+    ],
+    "LGPL-3.0": [
+        "Licensed under the GNU Lesser General Public License, version 3",
+        "it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation, either "
+        "version 3 of the License, or (at your option) any later version",
+    ],
+    "AGPL-3.0": [
+        "Licensed under the GNU Affero General Public License, version 3",
+        "it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either "
+        "version 3 of the License, or (at your option) any later version",
+    ],
     "MPL-2.0": [
         "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0",
     ],
@@ -71,10 +102,25 @@ NOTICES = {
         "Licensed under CC BY-NC 4.0",
         "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License",
     ],
+    "CC-BY-ND-4.0": [
+        "Licensed under CC BY-ND 4.0",
+        "This work is licensed under a Creative Commons Attribution-NoDerivatives 4.0 International License",
+    ],
+    "CC-BY-NC-SA-4.0": [
+        "Licensed under CC BY-NC-SA 4.0",
+        "This work is licensed under a Creative Commons Attribution-NonCommercial-ShareAlike 4.0 International License",
+    ],
+    "CC-BY-NC-ND-4.0": [
+        "Licensed under CC BY-NC-ND 4.0",
+        "This work is licensed under a Creative Commons Attribution-NonCommercial-NoDerivatives 4.0 International License",
+    ],
     "CC0-1.0": ["This work is dedicated to the public domain under CC0 1.0 Universal"],
     "Unlicense": ["This is free and unencumbered software released into the public domain"],
 }
 
+# A license whose words another one repeats and adds to: found beside that one, it goes.
+WITHIN = {"BSD-2-Clause": "BSD-3-Clause"}
+
 
 def bands_for(overlap: float = OVERLAP, chance: float = CHANCE) -> int:
     """Bands of one minimum so that windows of that Jaccard similarity meet with that chance."""
@@ -151,12 +197,15 @@ def scan(
 
     ``doc_id``, ``license``, ``containment`` (share of the notice's five-word shingles
     within its own length around the place, of its best place) and ``first_word`` of
-    that place's window. A notice of under five words has no shingle and is never
-    found. Null texts have no notices, null notices and licenses are left out, a null
+    that place's window. A notice counts only with a share ``OWN`` of what sets it apart
+    from each of its siblings. A license that another found one
+    repeats (``WITHIN``) is left out. A notice of under five words has no shingle and is
+    never found. Null texts have no notices, null notices and licenses are left out, a null
     id stays null, repeated rows give repeated rows, other columns are not read,
     whatever their names.
     """
     known = notices.where(F.col("notice").isNotNull() & F.col("license").isNotNull()).select("license", "notice")
+    known = _with_own(known)
     # Rounds are by license, so that each license's best place is found in one of them.
     chars = known.agg(F.sum(F.length("notice")).alias("n")).first()["n"] or 0
     rounds = max(1, math.ceil(chars / TEMPLATE_CHARS))
@@ -168,6 +217,24 @@ def scan(
     return result
 
 
+def _with_own(notices: DataFrame) -> DataFrame:
+    """Add ``own``: for each sibling of a notice, the shingles that the sibling lacks."""
+    cut = notices.distinct().withColumn("s", F.array_distinct(_shingles(words(F.col("notice")))))
+    each = cut.select("license", "notice", "s", F.explode("s").alias("g"))
+    other = each.select(F.col("license").alias("l2"), F.col("notice").alias("n2"), F.col("s").alias("s2"), "g")
+    siblings = (
+        each.join(other, "g")
+        .where(F.col("license") != F.col("l2"))
+        .groupBy("license", "notice", "s", "l2", "n2", "s2")
+        .agg(F.count(F.lit(1)).alias("n"))
+        .where(F.col("n") >= F.lit(SIBLING) * F.size("s"))
+    )
+    apart = siblings.select("license", "notice", F.array_except("s", "s2").alias("o")).where(F.size("o") > 0)
+    own = apart.groupBy("license", "notice").agg(F.collect_set(F.array_sort("o")).alias("own"))
+    none = F.array().cast("array<array<long>>")
+    return notices.join(own, ["license", "notice"], "left").withColumn("own", F.coalesce("own", none))
+
+
 def _scan_round(
     docs: DataFrame, notices: DataFrame, doc_id: str, text: str, containment: float
 ) -> DataFrame:
@@ -179,7 +246,7 @@ def _scan_round(
             _keys(F.col("shingles"), WINDOW, 1, bands)
         ),
     )
-    rows = whole.select("license", "shingles", F.col("keys.key").alias("keys")).collect()
+    rows = whole.select("license", "shingles", "own", F.col("keys.key").alias("keys")).collect()
     if not rows:
         return docs.select(F.col(doc_id).alias("doc_id")).limit(0).selectExpr(
             "doc_id", "'' AS license", "0.0D AS containment", "0 AS first_word"
@@ -191,8 +258,8 @@ def _scan_round(
     keys = sorted(of_key)
     # Literals of the plan: the templates, and which of them a key retrieves.
     table = F.from_json(
-        F.lit(json.dumps([{"license": r["license"], "shingles": r["shingles"]} for r in rows])),
-        "array<struct<license: string, shingles: array<bigint>>>",
+        F.lit(json.dumps([{"license": r["license"], "shingles": r["shingles"], "own": sorted(r["own"])} for r in rows])),
+        "array<struct<license: string, shingles: array<bigint>, own: array<array<bigint>>>>",
     )
     retrieved = F.from_json(
         F.lit(json.dumps({str(key): sorted(of_key[key]) for key in keys})), "map<string, array<int>>"
@@ -214,8 +281,13 @@ def _scan_round(
                 share = F.size(F.array_intersect(template["shingles"], near)) / F.size(
                     F.array_distinct(template["shingles"])
                 )
+                own = F.forall(
+                    template["own"], lambda o: F.size(F.array_intersect(o, near)) >= F.lit(OWN) * F.size(o)
+                )
                 return F.struct(
-                    template["license"].alias("license"), share.alias("containment"), (-hit["at"]).alias("back")
+                    template["license"].alias("license"),
+                    F.when(own, share).otherwise(F.lit(0.0)).alias("containment"),
+                    (-hit["at"]).alias("back"),
                 )
 
             return once(F.get(table, i), place)
@@ -229,6 +301,8 @@ def _scan_round(
     def best(found: Column) -> Column:
         """The best place of each license, of equal ones the first."""
         names = F.array_distinct(F.transform(found, lambda h: h["license"]))
+        for inner, outer in WITHIN.items():
+            names = F.when(F.array_contains(names, outer), F.array_remove(names, inner)).otherwise(names)
         return F.transform(
             names,
             lambda name: F.array_max(

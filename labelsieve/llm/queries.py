@@ -125,18 +125,31 @@ def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 _NOTICES_SQL = ", ".join(
     f"({_quoted(name)}, {_quoted(notice)})" for name, notices in licenses.NOTICES.items() for notice in notices
 )
+_WITHIN_SQL = " OR ".join(
+    f"f.license = {_quoted(inner)} AND x.license = {_quoted(outer)}" for inner, outer in licenses.WITHIN.items()
+)
 _LICENSE_SQL = f"""
 WITH n AS (SELECT license, notice, {_words_sql("notice", _NOT_WORD)} AS ws
            FROM (VALUES {_NOTICES_SQL}) t(license, notice)),
 ns AS (SELECT DISTINCT license, notice, array_to_string(ws[i : i + 4], ' ') AS g
        FROM (SELECT *, unnest(range(1, len(ws) - 3)) AS i FROM n)),
 size AS (SELECT license, notice, count(*) AS n FROM ns GROUP BY ALL),
+sib AS (SELECT a.license, a.notice, b.license AS l2, b.notice AS n2 FROM ns a JOIN ns b USING (g)
+        JOIN size z ON z.license = a.license AND z.notice = a.notice WHERE a.license <> b.license
+        GROUP BY ALL HAVING count(*) >= {licenses.SIBLING} * any_value(z.n)),
+own AS (SELECT s.*, a.g FROM sib s JOIN ns a USING (license, notice)
+        WHERE NOT EXISTS (SELECT 1 FROM ns b WHERE b.license = s.l2 AND b.notice = s.n2 AND b.g = a.g)),
 d AS (SELECT doc_id, {_words_sql("text", _NOT_WORD)} AS ws FROM documents),
 ds AS (SELECT DISTINCT doc_id, g FROM (SELECT doc_id, array_to_string(ws[i : i + 4], ' ') AS g
        FROM (SELECT *, unnest(range(1, len(ws) - 3)) AS i FROM d)) WHERE g IN (SELECT g FROM ns)),
-c AS (SELECT doc_id, license, notice, count(*) AS k FROM ds JOIN ns USING (g) GROUP BY ALL)
-SELECT doc_id, license, max(k / n) AS containment FROM c JOIN size USING (license, notice)
-WHERE k / n >= 0.8 GROUP BY doc_id, license
+c AS (SELECT doc_id, license, notice, count(*) AS k FROM ds JOIN ns USING (g) GROUP BY ALL),
+no AS (SELECT license, notice, l2, n2, count(*) AS n_own FROM own GROUP BY ALL),
+co AS (SELECT doc_id, license, notice, l2, n2, count(*) AS k_own FROM ds JOIN own USING (g) GROUP BY ALL),
+bad AS (SELECT DISTINCT doc_id, license, notice FROM (SELECT DISTINCT doc_id, license, notice FROM c) JOIN no USING (license, notice)
+        LEFT JOIN co USING (doc_id, license, notice, l2, n2) WHERE coalesce(k_own, 0) < {licenses.OWN} * n_own),
+f AS (SELECT doc_id, license, max(k / n) AS containment FROM c JOIN size USING (license, notice)
+      ANTI JOIN bad USING (doc_id, license, notice) WHERE k / n >= 0.8 GROUP BY doc_id, license)
+SELECT * FROM f WHERE NOT EXISTS (SELECT 1 FROM f x WHERE x.doc_id = f.doc_id AND ({_WITHIN_SQL}))
 """
 
 
