@@ -20,6 +20,8 @@ from labelsieve.operators.quantile import quantile
 from labelsieve.operators.review import flag_review, review_summary
 from labelsieve.operators.scoring import attach
 from labelsieve.plans.predict_and_flag import MULTI_LABEL, with_predictions
+from labelsieve.session import scratch_path
+from labelsieve.sources.tables import read_reference, write_flagged
 
 ID2LABEL = {0: "safe", 1: "unsafe"}
 
@@ -187,6 +189,33 @@ def threshold_confidence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _calibrate(spark, sf_dir, ["prediction_confidence", "class_probabilities"])
 
 
+def _calibrate_from(spark: SparkSession, sf_dir: str, fmt: str, **options) -> DataFrame:
+    """Calibrate on a reference that an earlier run has stored."""
+    path = f"{scratch_path(spark, 'reference')}.{fmt}"
+    write_flagged(fx.reference(spark, sf_dir), path, fmt)
+    return _as_row(spark, confidence_threshold(read_reference(spark, path), "m", **options))
+
+
+@query(
+    _threshold_sql(
+        f"exp(-quantile_cont({fx.clean_sql('m_per_item_loss')}, 0.95))",
+        "reference_csv:m_per_item_loss->exp(-q_0.95)",
+    )
+)
+def threshold_from_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _calibrate_from(spark, sf_dir, "csv")
+
+
+@query(
+    _threshold_sql(
+        f"exp(-quantile_cont({fx.clean_sql('m_per_item_loss')}, 0.8))",
+        "reference_csv:m_per_item_loss->exp(-q_0.80)",
+    )
+)
+def threshold_from_parquet(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _calibrate_from(spark, sf_dir, "parquet", alpha=0.2)
+
+
 def _greatest(*columns: str) -> str:
     return f"quantile_cont(greatest({', '.join(fx.clean_sql(c) for c in columns)}), 0.05)"
 
