@@ -153,6 +153,30 @@ def test_perplexity(spark, hot_rows):
     assert [t["token"] for t in rows[2]["token_scores"]] == ["the", "bird", "sat"]
 
 
+def test_corpus_and_scored_texts_meet_in_one_shuffle(spark):
+    corpus = spark.createDataFrame([(t,) for t in CORPUS], "text string")
+    target = spark.createDataFrame(list(TARGET.items()), "id int, text string")
+    scored = score_tokens(target, count_tokens(corpus), "id")
+    plan = scored._jdf.queryExecution().executedPlan().toString()
+    dealt = re.findall(r"hashpartitioning\((\w+)#", plan)
+    assert dealt.count("_c1") == 1 and not {"prev", "next", "_d1"} & set(dealt)
+    # Rows are sorted once for both counts.
+    assert len(re.findall(r"\bSort \[_c1", plan)) == 1
+
+
+def test_counts_kept_score_the_same(spark, tmp_path):
+    corpus = spark.createDataFrame([(t,) for t in CORPUS], "text string")
+    target = spark.createDataFrame(list(TARGET.items()), "id int, text string")
+    counts = count_tokens(corpus)
+    counts.save(str(tmp_path / "counts"))
+    kept = MaskedCounts.load(spark, str(tmp_path / "counts"))
+    for hot_rows in (1, 1000):
+        fresh, again = (
+            sorted(map(str, score_tokens(target, c, "id", hot_rows=hot_rows).collect())) for c in (counts, kept)
+        )
+        assert fresh == again
+
+
 def test_counts_can_be_kept(spark, tmp_path):
     counts = count_tokens(spark.createDataFrame([(t,) for t in CORPUS], "text string"))
     counts.save(str(tmp_path / "counts"))
