@@ -252,7 +252,8 @@ FROM h LEFT JOIN p USING (doc_id)
 """)
 def held_out_predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = lab.prepare_labelled(fx.labelled(spark, sf_dir), "text", "toxic", keep=["doc_id"])
-    parts = assign_split(rows, "doc_id")
+    # Read several times below; as a table, so that texts and labels meet once.
+    parts = spool(assign_split(rows, "doc_id"))
     scored = score_held_out(
         parts.where(F.col("split") == "test"),
         length_model(),

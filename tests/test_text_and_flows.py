@@ -18,7 +18,7 @@ from labelsieve.operators.skew import lookup_join
 from labelsieve.plans.labelled_data import load_labelled, load_labelled_csv
 from labelsieve.plans.predict_and_flag import flag_into, predict_and_flag
 from labelsieve.plans.train import TextClassifier, train_text_classifier
-from labelsieve.session import release, scratch_dir, spool
+from labelsieve.session import fill_cores, release, scratch_dir, spool
 from labelsieve.sources import tables
 from labelsieve.streaming.flags import read_text_stream, stream_flags
 
@@ -164,6 +164,19 @@ def test_corpus_and_scored_texts_meet_in_one_shuffle(spark):
     assert len(re.findall(r"\bSort \[_c1", plan)) == 1
 
 
+def test_texts_behind_a_join_fill_all_shuffle_partitions(spark):
+    names = ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.shuffle.partitions")
+    before = [spark.conf.get(n) for n in names]
+    for name, value in zip(names, ("-1", "24")):
+        spark.conf.set(name, value)
+    try:
+        rows = spark.range(200).join(spark.range(200).withColumn("text", F.lit("a")), "id")
+        assert fill_cores(rows, "id").rdd.getNumPartitions() == 24
+    finally:
+        for name, value in zip(names, before):
+            spark.conf.set(name, value)
+
+
 def test_counts_kept_score_the_same(spark, tmp_path):
     corpus = spark.createDataFrame([(t,) for t in CORPUS], "text string")
     target = spark.createDataFrame(list(TARGET.items()), "id int, text string")
